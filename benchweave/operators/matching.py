@@ -1,7 +1,7 @@
 """Names against a catalogue: exact, corrected, genus-level and close matches.
 
-Names are matched once per distinct text; the result joins back to the rows. The catalogue side is broadcast only
-after its size was counted.
+Names are matched once per distinct text, where plain joins are left to adaptive execution; the finished name table
+joins back to the rows, broadcast only after its size was counted.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from benchweave.functions.names import canonical_name, genus_of, name_key, name_key_loose, non_blank, sanitize_meta, sanitize_name
 from benchweave.operators.blocks import block_join
 from benchweave.operators.ranking import top_rows
-from benchweave.session import small_side
+from benchweave.session import cut_lineage, small_side
 
 # Thresholds, list length and the tags of a genus-only match.
 GLOBAL_CUTOFF = 0.88
@@ -154,7 +154,7 @@ def suggest(names: DataFrame, catalogue: DataFrame, name: str = "normalized_spec
 def exact_match(names: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
     """Left join of a key column to the catalogue, last record of a key winning; adds ``record``."""
     records = by_key(catalogue).select(F.col("species_key").alias(key), F.struct(*RECORD).alias("record"))
-    return names.join(small_side(records), key, "left")
+    return names.join(records, key, "left")
 
 
 def match_names(
@@ -173,21 +173,22 @@ def match_names(
     given = non_blank(canonical_name(explicit)) if explicit else F.lit(None).cast("string")
     own = canonical_name("raw_species_name", unicode=False)
     if corrections is not None:
-        cleaned = cleaned.join(small_side(correction_map(corrections)), "raw_key", "left")
+        cleaned = cleaned.join(correction_map(corrections), "raw_key", "left")
         normalized = F.coalesce(given, F.col("corrected"), own)
     else:
         normalized = F.coalesce(given, own)
     keyed = cleaned.withColumn("_normal", normalized).withColumn("_key", F.lower("_normal"))
     matched = exact_match(keyed, catalogue, "_key")
     matched = matched.withColumn("genus_key", F.lower(F.substring_index("_normal", " ", 1)))
-    matched = matched.join(small_side(genus_table(catalogue)), "genus_key", "left")
+    matched = matched.join(genus_table(catalogue), "genus_key", "left")
+    matched = cut_lineage(matched) if scorer is not None else matched
     hit = F.col("record").isNotNull()
     by_genus = ~hit & F.col("genus_names").isNotNull() & F.lit(genus_fallback)
     suggestions = F.lit("")
     if scorer is not None:
         open_names = matched.where(~hit & ~by_genus).select(F.col("_normal").alias("_open"))
         close = suggest(open_names, catalogue, "_open", scorer)
-        matched = matched.join(small_side(close), F.col("_normal") == F.col("_open"), "left").drop("_open")
+        matched = matched.join(close, F.col("_normal") == F.col("_open"), "left").drop("_open")
         suggestions = F.coalesce("suggestions", F.lit(""))
     status = (
         F.when(hit & (F.col("_key") == F.col("raw_key")), "exact_species_match")
@@ -223,10 +224,10 @@ def annotate_raw_first(names: DataFrame, catalogue: DataFrame, corrections: Data
     fixes = corrections.select(name_key_loose("raw_name").alias("_raw_key"), F.trim("corrected_name").alias("_fix"))
     fixes = fixes.where((F.col("_raw_key") != "") & (F.col("_fix") != "")).groupBy("_raw_key").agg(F.max("_fix").alias("_fix"))
     distinct = names.select(raw).distinct().withColumn("_raw_key", name_key_loose(raw))
-    fixed = distinct.join(small_side(fixes), "_raw_key", "left")
+    fixed = distinct.join(fixes, "_raw_key", "left")
     fixed = fixed.withColumn("corrected_species_name", F.coalesce("_fix", F.col(raw)))
     fixed = fixed.withColumn("_fix_key", name_key_loose("corrected_species_name"))
-    side = small_side(records.select("_loose", record.alias("_rec")))
+    side = records.select("_loose", record.alias("_rec"))
     out = fixed.join(side.select(F.col("_loose").alias("_raw_key"), F.col("_rec").alias("_a")), "_raw_key", "left")
     out = out.join(side.select(F.col("_loose").alias("_fix_key"), F.col("_rec").alias("_b")), "_fix_key", "left")
     best = F.coalesce("_a", "_b")
@@ -251,6 +252,8 @@ def annotate_raw_first(names: DataFrame, catalogue: DataFrame, corrections: Data
 
 
 def attach(rows: DataFrame, matches: DataFrame, on: list[str]) -> DataFrame:
-    """Matches back onto the rows by the raw texts they were made from."""
-    side = small_side(matches)
-    return rows.join(side, on)
+    """Matches back onto the rows by the raw texts they were made from.
+
+    The name table is computed once and cut off here: its size is then known and the rows never wait on it twice.
+    """
+    return rows.join(small_side(cut_lineage(matches)), on)
