@@ -55,6 +55,8 @@ def block_join(
         rhs = right.join(sizes, keys).withColumn("_rb", _block(right_id, F.col("_nr")))
         rhs = rhs.withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1))).drop("_nl", "_nr")
     cut = [*keys, "_lb", "_rb"]
+    # Fresh column identities: both sides may come from one table.
+    rhs = rhs.select(*[F.col(c).alias(c) for c in rhs.columns])
 
     def run(left_block: pd.DataFrame, right_block: pd.DataFrame) -> pd.DataFrame:
         return kernel(left_block.drop(columns=["_lb", "_rb"]), right_block.drop(columns=["_lb", "_rb"]))

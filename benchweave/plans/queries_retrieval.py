@@ -154,7 +154,7 @@ def _(spark, sf):
     aggs = []
     for m in ("macro", "micro"):
         rows = F.array_sort(F.collect_list(F.when(F.col("modality") == m, F.struct("vec_id", "id", "species", "genus", "embedding"))))
-        aggs += [F.transform(rows, lambda r, f=f: r[f]).alias(f"{m}_{name}") for f, name in (("embedding", "embeddings"), ("species", "labels"), ("genus", "genus"), ("id", "ids"))]
+        aggs += [rows.getField(f).alias(f"{m}_{name}") for f, name in (("embedding", "embeddings"), ("species", "labels"), ("genus", "genus"), ("id", "ids"))]
     packed = emb.groupBy("piece").agg(*aggs).drop("piece")
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)
     return from_parallel_arrays(packed).select("id", "modality", "species", "genus", F.round(total, 5).alias("total"))
