@@ -14,7 +14,7 @@ from benchweave.plans.queries_splits import ROWS, rows
 from benchweave.plans.registry import query
 from benchweave.plans.views import check, view
 from benchweave.schemas import MANIFEST_COLUMNS
-from benchweave.session import ensure_checkpoint_dir
+from benchweave.session import cut_lineage, ensure_checkpoint_dir
 from benchweave.sources import embeddings, files, sinks, tables
 
 
@@ -142,6 +142,6 @@ def _(spark, sf):
 
 @query("snk_split_files", check("items", "SELECT 'P3' AS protocol, split, item_id FROM rows", **ROWS))
 def _(spark, sf):
-    done = rows(spark, sf)
+    done = cut_lineage(rows(spark, sf))
     paths = sinks.write_splits(done, "P3", scratch(spark), splits.split_summary(done), splits.class_counts(done, "P3"))
     return tables.read_table(spark, paths["splits"]).select("protocol", "split", "item_id")

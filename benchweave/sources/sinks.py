@@ -11,6 +11,17 @@ from benchweave.functions.names import tokens
 from benchweave.operators import reports
 from benchweave.operators.manifest import manifest_sort_keys, project_manifest
 from benchweave.schemas import PROTOCOLS
+from benchweave.session import cut_lineage
+
+
+# Values are kept as they are: the writer would otherwise trim blanks at the ends.
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def fixed_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -27,7 +38,7 @@ def fixed_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
-    writer = fixed_columns(df, columns).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "")
+    writer = fixed_columns(df, columns).write.mode(mode).options(**CSV_OPTIONS)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
@@ -58,11 +69,14 @@ def by_protocol(manifest: DataFrame) -> DataFrame:
 
 
 def write_bundle(manifest: DataFrame, catalogue: DataFrame, root: str, ordered: bool = False) -> dict[str, str]:
-    """Manifests by modality and by protocol, plus overlap, uncertain and summary reports."""
+    """Manifests by modality and by protocol, plus overlap, uncertain and summary reports.
+
+    The manifest is computed once and kept on shared storage; the five outputs read it from there.
+    """
     paths = {k: f"{root.rstrip('/')}/{k}" for k in ("by_modality", "by_protocol", "overlap", "uncertain", "summary")}
-    rows = project_manifest(manifest)
+    rows = cut_lineage(project_manifest(manifest))
     rows = rows.orderBy(*manifest_sort_keys()) if ordered else rows
-    options = {"header": "true", "escape": '"', "emptyValue": ""}
+    options = CSV_OPTIONS
     rows.withColumn("part", F.col("modality")).write.mode("overwrite").options(**options).partitionBy("part").csv(paths["by_modality"])
     by_protocol(rows).write.mode("overwrite").options(**options).partitionBy("protocol").csv(paths["by_protocol"])
     write_csv(reports.overlap_report(rows, catalogue), paths["overlap"], reports.OVERLAP_COLUMNS)
@@ -74,7 +88,7 @@ def write_bundle(manifest: DataFrame, catalogue: DataFrame, root: str, ordered:
 def write_splits(rows: DataFrame, protocol: str, root: str, summary: DataFrame, class_counts: DataFrame) -> dict[str, str]:
     """Split rows in protocol/split folders (only this protocol's are replaced), with summary and class counts."""
     paths = {k: f"{root.rstrip('/')}/{k}" for k in ("splits", "summary", "class_counts")}
-    options = {"header": "true", "escape": '"', "emptyValue": "", "partitionOverwriteMode": "dynamic"}
+    options = {**CSV_OPTIONS, "partitionOverwriteMode": "dynamic"}
     tagged = rows.withColumn("protocol", F.lit(protocol))
     tagged.write.mode("overwrite").options(**options).partitionBy("protocol", "split").csv(paths["splits"])
     write_json(summary, f"{paths['summary']}/protocol={protocol}")

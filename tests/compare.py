@@ -56,8 +56,9 @@ def compare(spark, con, sf_dir, name):
     if got_cols != want_cols:
         return "columns differ", got_cols, want_cols
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        only_got = [r for r in got if r not in need][:3]
+        only_want = [r for r in want if r not in have][:3]
         return "rows differ", (len(got), only_got), (len(want), only_want)
     return "ok", len(got), None
 
