@@ -130,7 +130,8 @@ def branch_blend(macro, micro, macro_weight: float = 0.5, micro_weight: float =
     wa = F.when(a.isNotNull(), F.lit(float(macro_weight))).otherwise(0.0)
     wb = F.when(b.isNotNull(), F.lit(float(micro_weight))).otherwise(0.0)
     total = wa + wb
-    return F.when(total > 0, (wa * F.coalesce(a, F.lit(0.0)) + wb * F.coalesce(b, F.lit(0.0))) / total).otherwise(0.0)
+    blend = wa / total * F.coalesce(a, F.lit(0.0)) + wb / total * F.coalesce(b, F.lit(0.0))
+    return F.when(total > 0, blend).otherwise(0.0)
 
 
 def tradeoff(macro, micro) -> Column:

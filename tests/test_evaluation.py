@@ -125,7 +125,7 @@ def test_bootstrap_centre_and_suite(spark):
     assert row["point_estimate"] == 0.25 and abs(row["mean"] - 0.25) < 0.01
     assert abs(row["std"] - math.sqrt(0.25 * 0.75 / 400)) < 0.004 and row["ci_lower"] < 0.25 < row["ci_upper"]
     rng = np.random.default_rng(1)
-    emb = [(f"v{i}", ["macro", "micro"][i % 2], f"G{i % 3} s{i % 6}", f"G{i % 3}", [float(x) for x in rng.normal(size=4)]) for i in range(80)]
+    emb = [(f"v{i}", ["macro", "micro"][i % 2], f"G{i // 2 % 3} s{i // 2 % 6}", f"G{i // 2 % 3}", [float(x) for x in rng.normal(size=4)]) for i in range(80)]
     df = spark.createDataFrame(emb, "id string, modality string, species string, genus string, embedding array<float>")
     suite = {r["task"]: r for r in retrieval.bootstrap_suite(df, 50).collect()}
     assert sorted(suite) == ["M2m_exact_R1", "M2m_exact_R5", "M2m_genus_R1", "m2M_exact_R1", "m2M_exact_R5", "m2M_genus_R1"]
