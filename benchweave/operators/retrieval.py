@@ -13,6 +13,7 @@ from benchweave.functions.hashing import hash_uniform
 from benchweave.functions.names import genus_of, non_blank
 from benchweave.operators.blocks import block_join
 from benchweave.operators.ranking import top_rows
+from benchweave.session import cut_lineage, small_side
 
 # Similarities are compared after rounding, so that equal vectors tie whatever block they were in.
 TIE_DECIMALS = 9
@@ -146,7 +147,8 @@ def bootstrap_values(hits: DataFrame, keys: Sequence[str], resamples: int, seed=
     one row per resample before the shuffle. ``seed`` may be a column name.
     """
     keys = list(keys)
-    totals = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("hit").alias("_h"))
+    # One row per task; counted before it is broadcast, because the few tasks are far too coarse as shuffle keys.
+    totals = small_side(hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("hit").alias("_h")))
     base = hits.select(*keys, "id", *([seed] if isinstance(seed, str) and seed not in keys else []))
     joined = base.join(totals, keys)
     draws = joined.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
@@ -159,6 +161,8 @@ def bootstrap_ci(hits: DataFrame, keys: Sequence[str], resamples: int = 1000, se
     """Point estimate, resampled mean, deviation and percentile interval per key."""
     keys = list(keys)
     alpha = (1.0 - confidence) / 2.0
+    # Totals, draws and point estimates all read the hits: score the queries once, keep one small row per query.
+    hits = cut_lineage(hits)
     values = bootstrap_values(hits, keys, resamples, seed)
     spread = values.groupBy(*keys).agg(
         F.avg("value").alias("mean"),

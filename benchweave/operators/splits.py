@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from benchweave.functions.hashing import hex_prefix, stable_hash
 from benchweave.functions.names import non_blank
 from benchweave.operators.ranking import row_numbers, running_total, top_rows
-from benchweave.operators.reports import dense_fill
 from benchweave.schemas import CLASS_COUNT_COLUMNS, MODALITIES, PHASES, SPLITS
 from benchweave.session import cut_lineage
 
@@ -144,15 +143,18 @@ def _seed_split(seed: int) -> Column:
 
 def seed_groups(units: DataFrame, seed: int = 42) -> DataFrame:
     """The groups that guarantee coverage, with their splits."""
-    hashed = units.withColumn("_h", stable_hash(seed, "group_key"))
-    rows = units.join(_anchors(hashed, seed), STRATUM).withColumn("split", _seed_split(seed))
+    hashed = cut_lineage(units.withColumn("_h", stable_hash(seed, "group_key")))
+    rows = hashed.join(_anchors(hashed, seed), STRATUM).withColumn("split", _seed_split(seed))
     return rows.where(F.col("split").isNotNull()).select(*units.columns, "split")
 
 
 def grouped_split(units: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
-    """Groups with their split."""
+    """Groups with their split.
+
+    The group table is read four times (anchors, offsets, running sums), so it is built once and kept on shared storage.
+    """
     ratios = check_ratios(ratios)
-    hashed = units.withColumn("_h", stable_hash(seed, "group_key"))
+    hashed = cut_lineage(units.withColumn("_h", stable_hash(seed, "group_key")))
     rows = hashed.join(_anchors(hashed, seed), STRATUM).withColumn("_seed", _seed_split(seed))
     free = rows.withColumn("_free", F.when(F.col("_seed").isNull(), F.col("size")).otherwise(0))
     ranked = running_total(free, STRATUM, ["_h", "group_key"], "_free", "_upto", bucket=hex_prefix(F.col("_h"), 3))
@@ -305,15 +307,20 @@ def class_counts(rows: DataFrame, protocol: str, entities: DataFrame | None = No
     counts = rows.groupBy("split", "species").agg(
         F.count(F.lit(1)).alias("total_samples"),
         F.count_distinct(ident).alias("groups_in_split"),
+        F.max("protocol_group").alias("_group"),
         F.count_if(macro).alias("macro_samples"),
         F.count_if(micro).alias("micro_samples"),
         *[F.count_if(macro & (F.col("phase") == p)).alias(f"{p.lower()}_macro_samples") for p in PHASES],
     )
-    groups = rows.groupBy("species").agg(F.max("protocol_group").alias("protocol_group"))
-    known = groups if entities is None else entities.select("species").distinct().join(groups, "species", "left").na.fill("")
-    splits = rows.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
-    full = dense_fill(counts, known.select("species"), splits, [c for c in counts.columns if c not in ("split", "species")])
-    out = full.join(known, "species").withColumn("protocol", F.lit(protocol))
+    names = [c for c in counts.columns if c not in ("split", "species", "_group")]
+    # At most one entry per split and entity: a lookup list of three, not a join, fills the gaps with zeros.
+    packed = counts.groupBy("species").agg(F.max("_group").alias("protocol_group"), F.collect_list(F.struct("split", *names)).alias("_c"))
+    if entities is not None:
+        packed = entities.select("species").distinct().join(packed, "species", "left").na.fill("")
+    found = lambda s: F.get(F.filter("_c", lambda x: x["split"] == s), F.lit(0))
+    filled = F.array(*[F.struct(F.lit(s).alias("split"), *[F.coalesce(found(s)[c], F.lit(0)).alias(c) for c in names]) for s in SPLITS])
+    out = packed.select("species", "protocol_group", F.explode(filled).alias("x")).select("species", "protocol_group", "x.*")
+    out = out.withColumn("protocol", F.lit(protocol))
     return out.withColumn("present_in_split", (F.col("total_samples") > 0).cast("int")).select(*CLASS_COUNT_COLUMNS)
 
 
