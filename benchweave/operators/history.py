@@ -20,16 +20,21 @@ def _sign(mode: str) -> float:
 
 
 def number_epochs(history: DataFrame, run: str, order: Sequence, out: str = "epoch") -> DataFrame:
-    """Positions 0..n-1 of each run in ``order``."""
-    return row_numbers(history, [run], order, "_e").withColumn(out, F.col("_e") - 1).drop("_e")
+    """Positions 0..n-1 of each run in ``order``, kept on shared storage for the passes that follow."""
+    return cut_lineage(row_numbers(history, [run], order, "_e").withColumn(out, F.col("_e") - 1).drop("_e"))
 
 
-def running_best(history: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric", mode: str = "max", bucket: Column | None = None) -> DataFrame:
+def epoch_bucket(epoch: str) -> Column:
+    """Whole epochs in pieces of 8,192: rises with the epoch and bounds the rows per run and piece."""
+    return F.floor(F.col(epoch) / 8192).cast("bigint")
+
+
+def running_best(history: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric", mode: str = "max") -> DataFrame:
     """Adds ``improved`` (strictly better than all before), ``best_metric`` and ``best_epoch`` so far."""
     sign = F.lit(_sign(mode))
     # The earliest epoch wins among equal values because only a strict improvement replaces the best.
     mark = F.struct((to_col(metric) * sign).alias("m"), (-to_col(epoch)).alias("e"))
-    ranked = running_max(history.withColumn("_mark", mark), [run], [epoch], "_mark", "_before", bucket)
+    ranked = running_max(history.withColumn("_mark", mark), [run], [epoch], "_mark", "_before", epoch_bucket(epoch))
     improved = F.col("_before").isNull() | (F.col("_mark.m") > F.col("_before.m"))
     best = F.greatest("_mark", "_before")
     out = ranked.withColumns(
@@ -72,7 +77,7 @@ def early_stop(history: DataFrame, patience: int, run: str = "run", epoch: str =
         accepted = accepted_bests(history, min_delta, run, epoch, metric, mode).select(run, epoch, F.lit(1).alias("_ok"))
         marked = history.join(cut_lineage(accepted), [run, epoch], "left")
         last = F.when(F.col("_ok") == 1, F.struct(F.col(epoch).alias("e"), F.col(metric).alias("m")))
-        ranked = running_max(marked.withColumn("_last", last), [run], [epoch], "_last", "_before")
+        ranked = running_max(marked.withColumn("_last", last), [run], [epoch], "_last", "_before", epoch_bucket(epoch))
         spot = F.coalesce("_last", "_before")
         rows = ranked.withColumns({"best_epoch": spot["e"], "best_metric": spot["m"]})
     else:

@@ -10,6 +10,7 @@ from benchweave.functions.names import canonical_name, non_blank, sanitize_meta,
 from benchweave.operators.matching import annotate_raw_first, attach, match_names
 from benchweave.operators.ranking import row_numbers
 from benchweave.schemas import MANIFEST_COLUMNS
+from benchweave.session import cut_lineage
 
 
 def normalize_log(log: DataFrame, root: str) -> DataFrame:
@@ -99,6 +100,8 @@ def macro_manifest(
             "phase": P.phase_of("rel_path", F.col("entry.phase")),
         }
     ).select("rel_path", "_raw", "_given", "_folder", "phase")
+    # Names are matched from these rows and joined back to them: with a log, two large joins need not run twice.
+    rows = cut_lineage(rows) if log is not None else rows
     matches = match_names(rows, catalogue, corrections, "_raw", "_given", genus_fallback=False, scorer=scorer)
     return _manifest(rows, matches, ["_raw", "_given"], dataset, "macro", view, root, output_root)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchweave.functions.names import to_col
-from benchweave.session import spread
+from benchweave.session import cut_lineage, small_side, spread
 
 SAMPLE_PER_BUCKET = 32
 
@@ -113,9 +113,10 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str
     keys = list(keys)
     if not keys:
         raise ValueError("percentiles needs at least one key column")
-    rows = df.where(F.col(value).isNotNull())
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    # The counts feed the boundary sample, the totals and the running sums: they are taken once.
+    counts = cut_lineage(counts)
+    totals = small_side(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")))
     ranked = running_total(counts, keys, [value], "_n", "_upto")
     ranked = ranked.join(totals, keys)
     aggs = []
