@@ -10,12 +10,14 @@ from benchweave.schemas import PHASES
 
 # Fixed values: "12. Genus species" folders, specimen codes in file names, image suffixes.
 ENTITY_FOLDER = r"^\s*\d+\s*\.\s*(.+?)\s*$"
+# The leftmost directory of that form whose name has more than blanks, dots and underscores.
+FIRST_ENTITY_FOLDER = r"(?:^|/)(\s*\d+\s*\.\s*[^/]*[^/\s._][^/]*)/"
 SPECIMEN_CODE = r"^([A-Za-z]{1,8}\d{2,}[A-Za-z0-9-]*)[_-].*$"
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
 
 
 def _parts(path) -> Column:
-    return F.filter(F.split(to_col(path), "/"), lambda p: p != "")
+    return F.array_remove(F.split(to_col(path), "/"), "")
 
 
 def directories(path) -> Column:
@@ -58,7 +60,7 @@ def _label(part: Column) -> Column:
 
 def entity_folder(path) -> Column:
     """Outermost numbered directory that carries a name; NULL when there is none."""
-    return F.get(F.filter(directories(path), lambda p: p.rlike(ENTITY_FOLDER) & (_label(p) != "")), F.lit(0))
+    return non_blank(F.regexp_extract(to_col(path), FIRST_ENTITY_FOLDER, 1))
 
 
 def entity_label(folder: Column) -> Column:

@@ -16,6 +16,7 @@ from benchweave.functions.names import to_col
 from benchweave.session import cut_lineage, small_side, spread
 
 SAMPLE_PER_BUCKET = 32
+MAX_BUCKETS = 256
 
 
 def range_bucket(df: DataFrame, order: Sequence, buckets: int | None = None) -> Column:
@@ -24,7 +25,7 @@ def range_bucket(df: DataFrame, order: Sequence, buckets: int | None = None) ->
     The sample is the rows with the smallest hashes: exact in size, the same on every run, and taken with a
     top-n that keeps only ``buckets * 32`` rows per task and on the driver.
     """
-    count = buckets or spread(df)
+    count = buckets or spread(df, MAX_BUCKETS)
     key = F.struct(*[to_col(c).alias(f"o{i}") for i, c in enumerate(order)])
     sample = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(count * SAMPLE_PER_BUCKET)
     rows = [r["k"] for r in sample.orderBy("k").collect()]
@@ -36,8 +37,21 @@ def range_bucket(df: DataFrame, order: Sequence, buckets: int | None = None) ->
     if not bounds:
         return F.lit(0)
     types = [f.dataType for f in df.select(key.alias("k")).schema["k"].dataType.fields]
-    literals = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, types))]) for row in bounds]
-    return F.size(F.filter(F.array(*literals), lambda b: b <= key))
+    if len(order) == 1:
+        probe = to_col(order[0])
+        literals = [F.lit(row[0]).cast(types[0]) for row in bounds]
+    else:
+        probe = key
+        literals = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, types))]) for row in bounds]
+
+    def search(low: int, high: int) -> Column:
+        """Nested comparisons: log2(buckets) tests per row, inside generated code."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(probe >= literals[middle], search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, len(literals))
 
 
 def running_total(
