@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchweave.llm.staging import stage
+from benchweave.llm.staging import discard, stage
 
 
 def _fingerprint(edges: DataFrame):
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         following = stage(_small_star(_large_star(current)), "stars")
         state = _fingerprint(following)
+        discard(current)
         current = following
         if state == seen:
             break

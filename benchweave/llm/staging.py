@@ -32,16 +32,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         else:
             spark.conf.set(_CLEANUP, before)
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that no later step reads, that is, whose readers have all been staged themselves."""
+    for table in tables:
+        _delete(table.sparkSession, table._staged_at)
+        _staged[table.sparkSession.sparkContext.applicationId].remove(table._staged_at)
 
 
 def release(spark: SparkSession) -> None:
     """Remove every table staged so far; call it once the results that read them are written."""
-    paths = _staged.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def row_key(*cols: str) -> Column:
@@ -52,8 +63,3 @@ def row_key(*cols: str) -> Column:
 def pieces_for(rows: int, per_piece: int) -> int:
     return max(1, math.ceil(rows / per_piece))
 
-
-def spread_small(df: DataFrame, rows_hint: str | None = None) -> DataFrame:
-    """Deal the rows of a scan evenly over the session's parallel tasks when the scan itself has fewer splits."""
-    width = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= width else df.repartition(width)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from benchweave.llm import recompression
-from benchweave.llm.staging import row_key, stage
+from benchweave.llm.staging import discard, row_key, stage
 from benchweave.llm.words import Words, mix, range_hashes, second_hashes, text_slices
 
 SPAN = 35
@@ -162,18 +162,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "row_id", spa
     weight = F.sum(F.when(F.col("name") == F.col("region"), F.col("last") - F.col("first") + 1).otherwise(1))
     shared = regions.groupBy("name").agg(weight.alias("n")).where("n > 1").select("name")
     candidates = stage(regions.join(shared, "name"), "candidates")
+    discard(regions)
     kinds = candidates.groupBy("name", "region").agg(weight.alias("copies"), F.min(F.struct("row_id", "first")).alias("head"))
     variants = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("variants"))
     judged = candidates.join(kinds.join(variants, "name"), ["name", "region"])
     known = F.col("copies") > 1
     opens = (F.col("variants") > 1) & (~known | (F.struct("row_id", "first") == F.col("head")))
     spans = stage(judged.select("row_id", "first", "last", known.alias("known"), opens.alias("opens")).distinct(), "spans")
+    discard(candidates)
     open_rows = spans.where("opens").groupBy("row_id").agg(F.collect_list(F.struct("first", "last", "known")).alias("spans"))
     spelled = source.join(open_rows, "row_id").mapInArrow(_window_rows(span), "h1 long, h2 long, row_id long, first int, weight int")
     windows = stage(spelled, "windows")
     twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
     single = windows.where("weight = 1").join(twice, ["h1", "h2"]).select("row_id", "first", F.col("first").alias("last"))
     found = spans.where("known").select("row_id", "first", "last").union(single).distinct()
+    found = stage(found, "found")
+    discard(spans, windows)
     return found.select(F.col("row_id").alias(key), "first", "last")
 
 
