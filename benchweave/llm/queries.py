@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchweave.llm import ngram_jaccard, substring_dedup
+from benchweave.llm import embedding_dedup, exact_dedup, ngram_jaccard, substring_dedup, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_jaccard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), n=3, num=90, den=100)
+
+
+@query(
+    "op7_exact_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+           doc_id = min(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256
+    FROM d
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op10_url_filters")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "p_block")
