@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchweave.llm import embedding_dedup, exact_dedup, ngram_jaccard, substring_dedup, url_filters
+from benchweave.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, ngram_jaccard, packing, quality, substring_dedup, url_filters
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +68,42 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+@query("op2_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE, keep=False)
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
+
+
+def fold(parts: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold(3) == 1, F.lit(False)))
+    dictionaries = language_id.learn(docs.where("not held_out"))
+    return language_id.classify(docs.select("doc_id", "held_out", "text"), dictionaries).drop("text")
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(fold(5) != 0)
+    weights = quality.train(quality.draw_labelled(docs, labels))
+    scored = quality.score(docs.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False))), weights)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of the tree source / language / block of ids; those with a licence line stand for licence files."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    scanned = license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+    return license_scan.inherit(scanned.drop("text").withColumn("speaks", F.col("own_licence").isNotNull()), speaks="speaks").select("doc_id", "path", "own_licence", "score", "licence_lines", "licence", "licence_from")

@@ -14,11 +14,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _staged: dict[str, list[str]] = {}
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, held: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     The written table survives lost executors and ends the lineage; the shuffle files of the write are removed as
-    soon as it has finished. ``release`` removes the table.
+    soon as it has finished. ``release`` removes the table unless it is ``held``; ``discard`` removes it in any case.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{label}-{uuid.uuid4().hex}"
@@ -31,7 +31,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not held:
+        _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -46,7 +47,9 @@ def discard(*tables: DataFrame) -> None:
     """Remove staged tables that no later step reads, that is, whose readers have all been staged themselves."""
     for table in tables:
         _delete(table.sparkSession, table._staged_at)
-        _staged[table.sparkSession.sparkContext.applicationId].remove(table._staged_at)
+        known = _staged.get(table.sparkSession.sparkContext.applicationId, [])
+        if table._staged_at in known:
+            known.remove(table._staged_at)
 
 
 def release(spark: SparkSession) -> None:
@@ -63,3 +66,17 @@ def row_key(*cols: str) -> Column:
 def pieces_for(rows: int, per_piece: int) -> int:
     return max(1, math.ceil(rows / per_piece))
 
+
+
+def ship(spark: SparkSession, payload: bytes, label: str) -> str:
+    """Write ``payload`` to the shared folder and have every executor fetch it; tasks open it by the returned name."""
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{name}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(payload))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return name
