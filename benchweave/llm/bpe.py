@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ from benchweave.llm.words import text_slices
 
 LEXICON_WORDS = 30_000
 CACHE = 200_000
+WORD_CACHE = 400_000
 FLUSH = 300_000
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # A pre-token never runs from a non-blank into a blank, so blanks with the non-blanks after them can be treated alone.
@@ -46,13 +48,16 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary: exact merging by rank, and decoding."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        symbols = _byte_symbols()
+        spec, symbols = read_spec(path), _byte_symbols()
         vocab = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.first = [vocab[bytes([b])] for b in range(256)]
@@ -204,3 +209,58 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     schema = f"id {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", key)
+
+
+class WordBpe:
+    """A lower-casing BPE vocabulary whose last symbol of a word carries an end mark; blanks only separate.
+
+    The tokenizer encodes each distinct piece (a run of letters, a digit, a run of other signs) once per worker and many
+    at a time; the end marks tell whose ids are whose. Words are put together from pieces. Words with special tokens,
+    other than Latin letters, or not in composed form go to the tokenizer whole.
+    """
+
+    _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    _OTHER = re.compile("[^\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]|<\\|")
+    _TOGETHER = 256
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        spec = read_spec(path)["model"]
+        self.ends = np.zeros(max(spec["vocab"].values()) + 1, dtype=bool)
+        self.ends[[i for t, i in spec["vocab"].items() if t.endswith(spec["end_of_word_suffix"])]] = True
+        # A task has one core; the library's threads would only contend for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.words, self.pieces = {}, {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        chunks = [pieces[i : i + self._TOGETHER] for i in range(0, len(pieces), self._TOGETHER)]
+        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.append(0, 4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            for piece, a, b in zip(chunk, cuts[:-1], cuts[1:], strict=True):
+                self.pieces[piece] = raw[a:b]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Id bytes of whole texts; the caches are bounded."""
+        if len(self.words) > WORD_CACHE:
+            self.words.clear()
+        if len(self.pieces) > WORD_CACHE:
+            self.pieces.clear()
+        words = [(t or "").encode().split() for t in texts]
+        new, cut = set().union(*words).difference(self.words), {}
+        for word in new:
+            text = word.decode()
+            if self._OTHER.search(text):
+                self.words[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                cut[word] = (self._ASCII if text.isascii() else self._LATIN).findall(text.lower())
+        self._learn(list(set().union(*cut.values()).difference(self.pieces)))
+        for word, own in cut.items():
+            self.words[word] = b"".join([self.pieces[p] for p in own])
+        return [b"".join(map(self.words.__getitem__, own)) for own in words]

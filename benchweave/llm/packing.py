@@ -13,17 +13,16 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from benchweave.llm.bpe import WordBpe
 from benchweave.llm.staging import pieces_for, stage
 from benchweave.llm.words import text_slices
 
 GROUP = 16_384
-CACHE = 300_000
 
 
 class Tournament:
@@ -58,26 +57,14 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
     return out
 
 
-_WORKERS: dict[str, tuple] = {}
+_WORKERS: dict[str, WordBpe] = {}
 
 
-def _ids_of(path: str, texts: list[str | None]) -> list[bytes]:
-    """Id bytes of whole texts. The tokenizer drops blanks, so each blank-separated word is encoded once per worker."""
-    from tokenizers import Tokenizer
-
+def _encoder(path: str) -> WordBpe:
+    """One encoder per Python worker, kept between tasks."""
     if path not in _WORKERS:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _WORKERS[path] = tokenizer, {}
-    tokenizer, cache = _WORKERS[path]
-    if len(cache) > CACHE:
-        cache.clear()
-    words = [(t or "").encode().split() for t in texts]
-    new = list({w for own in words for w in own if w not in cache})
-    for word, found in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-        cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, own)) for own in words]
+        _WORKERS[path] = WordBpe(path)
+    return _WORKERS[path]
 
 
 def _cut(path: str, end_id: int, capacity: int):
@@ -88,7 +75,7 @@ def _cut(path: str, end_id: int, capacity: int):
             texts, keys = batch.column("text"), batch.column("id")
             for a, b in text_slices(texts):
                 row, start, length, crc, total = [], [], [], [], []
-                for i, ids in enumerate(_ids_of(path, texts.slice(a, b - a).to_pylist())):
+                for i, ids in enumerate(_encoder(path).encode(texts.slice(a, b - a).to_pylist())):
                     ids += tail
                     n = len(ids) // 4
                     for at in range(0, n, capacity):
