@@ -31,7 +31,7 @@ from benchweave.llm.staging import ship
 from benchweave.llm.words import text_slices
 
 LEXICON_WORDS = 30_000
-CACHE = 200_000
+CACHE = 400_000
 WORD_CACHE = 400_000
 FLUSH = 300_000
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -66,6 +66,11 @@ class ByteBpe:
             left, right = bytes(symbols[c] for c in a), bytes(symbols[c] for c in b)
             self.ranks[vocab[left], vocab[right]] = rank
             self.made.append(vocab[left + right])
+        self.none = len(self.made)
+        pairs = np.array([a << 32 | b for a, b in self.ranks], dtype=np.int64)
+        order = np.argsort(pairs)
+        self.pair_keys, self.pair_ranks = pairs[order], np.array(list(self.ranks.values()), dtype=np.int64)[order]
+        self.first_ids, self.made_ids = np.array(self.first, dtype=np.int64), np.array(self.made, dtype=np.int64)
         self.text = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -103,6 +108,56 @@ class ByteBpe:
                     heapq.heappush(heap, (r, a))
         return [p for p in parts if p is not None]
 
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.none)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words side by side, as id bytes: each round merges every word's lowest-ranked pair."""
+        long = [i for i, w in enumerate(words) if len(w) > _LONG or not w]
+        out: list[bytes] = [b""] * len(words)
+        for i in long:
+            out[i] = np.array(self.merge(words[i]), dtype="<u4").tobytes()
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= _LONG]
+        if not short:
+            return out
+        sizes = np.array([len(words[i]) for i in short])
+        word = np.repeat(np.arange(len(short)), sizes)
+        ids = self.first_ids[np.frombuffer(b"".join([words[i] for i in short]), dtype=np.uint8)]
+        rank = np.full(len(ids), self.none)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self._rank_of(ids[inner], ids[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(ids))))
+            ended = least == self.none
+            if ended.any():
+                done.append((word[ended], ids[ended]))
+                word, ids, rank, least = word[~ended], ids[~ended], rank[~ended], least[~ended]
+            at = np.flatnonzero(rank == least)
+            if not len(at):
+                break
+            at = at[np.diff(word[at], prepend=-1) > 0]  # the leftmost one of each word
+            ids[at] = self.made_ids[rank[at]]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))
+            word, ids, rank = word[keep], ids[keep], rank[keep]
+            for left in (at, at[at > 0] - 1):
+                same = np.append(word[:-1] == word[1:], False)[left]
+                rank[left] = self.none
+                left = left[same]
+                rank[left] = self._rank_of(ids[left], ids[left + 1])
+        word, ids = np.concatenate([w for w, _ in done]), np.concatenate([i for _, i in done])
+        order = np.argsort(word, kind="stable")
+        raw = ids[order].astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(word[order], np.arange(len(short) + 1))).tolist()
+        for i, a, b in zip(short, cuts[:-1], cuts[1:], strict=True):
+            out[i] = raw[a:b]
+        return out
+
     def pretokens(self, unit: str) -> list[str]:
         return _PRETOKEN.findall(unit)
 
@@ -123,9 +178,9 @@ class Encoder:
         parts = {u: self.bpe.pretokens(u) for u in units}
         words = [w.encode() for w in set().union(*parts.values())]
         ranks = self.lexicon.ranks(words) if self.lexicon and words else np.full(len(words), -1)
-        ids = {}
-        for word, rank in zip(words, ranks.tolist(), strict=True):
-            ids[word.decode()] = self.lexicon.output(rank) if rank >= 0 else np.array(self.bpe.merge(word), dtype="<u4").tobytes()
+        ids = {w.decode(): self.lexicon.output(r) for w, r in zip(words, ranks.tolist(), strict=True) if r >= 0}
+        unseen = [w for w, r in zip(words, ranks.tolist(), strict=True) if r < 0]
+        ids.update(zip([w.decode() for w in unseen], self.bpe.merge_many(unseen), strict=True))
         for unit, own in parts.items():
             self.cache[unit] = b"".join([ids[w] for w in own])
 

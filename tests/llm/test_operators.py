@@ -180,6 +180,16 @@ def test_bpe(spark, corpus):
     assert bpe.encode_decode(empty(spark), BYTE_BPE).count() == 0
 
 
+def test_merge_many():
+    from tokenizers import Tokenizer
+
+    rng, tokenizer, own = random.Random(3), Tokenizer.from_file(BYTE_BPE), bpe.ByteBpe(BYTE_BPE)
+    words = ["".join(rng.choice("aaabtheoinr") for _ in range(rng.randint(1, 70))) for _ in range(3000)] + ["é", "a" * 48, "a" * 500]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert own.merge_many([w.encode() for w in words]) == want
+    assert [np.array(own.merge(w.encode()), dtype="<u4").tobytes() for w in words[:300]] == want[:300]
+
+
 def test_exact(spark, corpus):
     rows = corpus.collect()
     digest = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()
