@@ -16,7 +16,8 @@ def grid_bucket(confidence, steps: int = STEPS) -> Column:
     guess = F.floor(c * steps)
     up = F.when((guess + 1) / float(steps) <= c, guess + 1).otherwise(guess)
     exact = F.when(up / float(steps) > c, up - 1).otherwise(up)
-    return F.least(exact, F.lit(steps)).cast("bigint")
+    inside = F.greatest(F.least(exact, F.lit(steps)), F.lit(-1))
+    return F.when(c.isNull() | F.isnan(c), -1).otherwise(inside).cast("bigint")
 
 
 def bucket_counts(predictions: DataFrame, steps: int = STEPS, confidence: str = "confidence", correct: str = "correct") -> DataFrame:
@@ -38,12 +39,13 @@ def _curve(rows: DataFrame, steps: int) -> DataFrame:
 def calibrate(predictions: DataFrame, steps: int = STEPS) -> DataFrame:
     """tau, coverage, precision (NULL when nothing is kept) and flagged count for tau = 0, 1/steps, ... 1.
 
-    Predictions are counted per grid bucket; the cumulative window then runs over the grid, not the predictions.
+    Predictions are counted per grid bucket; the cumulative window then runs over the grid, not the predictions. A
+    confidence that is negative, NaN or NULL is kept by no threshold and stays in the total.
     """
     counts = bucket_counts(predictions, steps)
-    grid = predictions.sparkSession.range(steps + 1).select(F.col("id").alias("bucket"))
+    grid = predictions.sparkSession.range(-1, steps + 1).select(F.col("id").alias("bucket"))
     full = grid.join(counts, "bucket", "left").na.fill(0, ["n", "n_correct"])
-    return _curve(cumulative_kept(full), steps)
+    return _curve(cumulative_kept(full).where("bucket >= 0"), steps)
 
 
 def cumulative_kept(buckets: DataFrame) -> DataFrame:

@@ -30,12 +30,16 @@ def epoch_bucket(epoch: str) -> Column:
 
 
 def running_best(history: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric", mode: str = "max") -> DataFrame:
-    """Adds ``improved`` (strictly better than all before), ``best_metric`` and ``best_epoch`` so far."""
+    """Adds ``improved`` (strictly better than all before), ``best_metric`` and ``best_epoch`` so far.
+
+    A NULL or NaN metric never improves; before the first number both bests are NULL.
+    """
     sign = F.lit(_sign(mode))
     # The earliest epoch wins among equal values because only a strict improvement replaces the best.
-    mark = F.struct((to_col(metric) * sign).alias("m"), (-to_col(epoch)).alias("e"))
+    value = to_col(metric)
+    mark = F.when(value.isNotNull() & ~F.isnan(value), F.struct((value * sign).alias("m"), (-to_col(epoch)).alias("e")))
     ranked = running_max(history.withColumn("_mark", mark), [run], [epoch], "_mark", "_before", epoch_bucket(epoch))
-    improved = F.col("_before").isNull() | (F.col("_mark.m") > F.col("_before.m"))
+    improved = F.col("_mark").isNotNull() & (F.col("_before").isNull() | (F.col("_mark.m") > F.col("_before.m")))
     best = F.greatest("_mark", "_before")
     out = ranked.withColumns(
         {"improved": improved.cast("int"), "best_metric": best["m"] * sign, "best_epoch": (-best["e"]).cast("bigint")}

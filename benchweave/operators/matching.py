@@ -217,12 +217,17 @@ def match_names(
 
 
 def annotate_raw_first(names: DataFrame, catalogue: DataFrame, corrections: DataFrame, raw: str = "raw_name") -> DataFrame:
-    """The second matcher: the raw name wins over the corrected one, and the first record of a key wins."""
+    """The second matcher: the raw name wins over the corrected one, and the first record of a key wins.
+
+    Of repeated corrections the one with the last ``position`` counts.
+    """
     records = catalogue.withColumn("_loose", name_key_loose("species", unicode=False)).where(F.col("_loose") != "")
     records = by_key(records, "_loose", keep="first")
     record = F.struct("species", "protocol_group", "overlap_type", "protocol_usage")
-    fixes = corrections.select(name_key_loose("raw_name").alias("_raw_key"), F.trim("corrected_name").alias("_fix"))
-    fixes = fixes.where((F.col("_raw_key") != "") & (F.col("_fix") != "")).groupBy("_raw_key").agg(F.max("_fix").alias("_fix"))
+    position = F.col("position") if "position" in corrections.columns else F.lit(0)
+    fixes = corrections.select(name_key_loose("raw_name").alias("_raw_key"), F.trim("corrected_name").alias("_fix"), position.alias("_p"))
+    fixes = fixes.where((F.col("_raw_key") != "") & (F.col("_fix") != ""))
+    fixes = fixes.groupBy("_raw_key").agg(F.max_by("_fix", F.struct("_p", "_fix")).alias("_fix"))
     distinct = names.select(raw).distinct().withColumn("_raw_key", name_key_loose(raw))
     fixed = distinct.join(fixes, "_raw_key", "left")
     fixed = fixed.withColumn("corrected_species_name", F.coalesce("_fix", F.col(raw)))

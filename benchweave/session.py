@@ -29,12 +29,14 @@ def get_session(app: str = "benchweave", master: str | None = None, shuffle_part
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests)."""
+    """The shared folder named by the cluster; a local one only in local mode without a setting (tests)."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = os.path.join(tempfile.gettempdir(), "benchweave-checkpoints")
     context.setCheckpointDir(configured)

@@ -43,10 +43,14 @@ def history_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
 
 
 def best_epochs(history: DataFrame, metric: str = "metric", mode: str = "max", keys=("run",)) -> DataFrame:
-    """Best epoch per run so far, the earliest one among equals; state holds one row per run."""
+    """Best epoch per run so far, the earliest one among equals; state holds one row per run.
+
+    Rows with a NULL or NaN metric are not counted.
+    """
     value = F.col(metric) if mode == "max" else -F.col(metric)
     best = F.max(F.struct(value.alias("v"), (-F.col("epoch")).alias("e")))
-    out = history.where(F.col(metric).isNotNull()).groupBy(*keys).agg(best.alias("_b"), F.count(F.lit(1)).alias("epochs"))
+    number = F.col(metric).isNotNull() & ~F.isnan(metric)
+    out = history.where(number).groupBy(*keys).agg(best.alias("_b"), F.count(F.lit(1)).alias("epochs"))
     shown = F.col("_b.v") if mode == "max" else -F.col("_b.v")
     return out.select(*keys, (-F.col("_b.e")).alias("best_epoch"), shown.alias("best_metric"), "epochs")
 

@@ -203,3 +203,18 @@ def test_control_labels(spark):
     assert all(a != s for i, (s, a) in ok.items() if i != "x") and sorted(a for i, (_, a) in ok.items() if i != "x") == list("AABB")
     assert all(a is None for i, (_, a) in labels("AAB").items() if i != "x")
     assert labels("A")["m0"][1] is None and labels("A")["x"] == ("A", "A")
+
+
+def test_nan_and_null_metrics_never_improve(spark):
+    rows = [("a", 0, float("nan")), ("a", 1, 0.5), ("a", 2, None), ("a", 3, float("nan")), ("a", 4, 0.6), ("b", 0, float("nan"))]
+    df = spark.createDataFrame(rows, "run string, epoch long, metric double")
+    got = {(r["run"], r["epoch"]): (r["improved"], r["best_epoch"]) for r in history.running_best(df).collect()}
+    assert got == {("a", 0): (0, None), ("a", 1): (1, 1), ("a", 2): (0, 1), ("a", 3): (0, 1), ("a", 4): (1, 4), ("b", 0): (0, None)}
+
+
+def test_confidences_outside_the_grid_stay_in_the_total(spark):
+    rows = [(-0.1, True), (float("nan"), True), (None, False), (0.5, True), (1.5, False)]
+    df = spark.createDataFrame(rows, "confidence double, correct boolean")
+    curve = {round(r["tau"], 3): r for r in calibration.calibrate(df, 10).collect()}
+    assert (curve[0.0]["coverage"], curve[0.0]["n_flagged"]) == (0.4, 3)
+    assert (curve[1.0]["coverage"], curve[1.0]["precision"], curve[1.0]["n_flagged"]) == (0.2, 0.0, 4)

@@ -100,3 +100,10 @@ def test_uncertain_keeps_rows_with_suggestions(spark):
     rows = [{**base, "taxonomy_match_status": "exact_species_match", "taxonomy_suggestions": "A b"}, {**base, "taxonomy_match_status": "unmatched"}, {**base, "taxonomy_match_status": "genus_match_only"}]
     got = reports.uncertain_matches(spark.createDataFrame(rows)).collect()
     assert sorted(r["taxonomy_match_status"] for r in got) == ["exact_species_match", "genus_match_only"]
+
+
+def test_last_correction_wins_in_the_raw_first_matcher(spark):
+    names = spark.createDataFrame([("kaya",)], "raw_name string")
+    fixes = spark.createDataFrame([("kaya", "Zzz wrong", 1), ("kaya", "Khaya ivorensis", 2)], "raw_name string, corrected_name string, position long")
+    got = matching.annotate_raw_first(names, cat(spark), fixes).first()
+    assert got["corrected_species_name"] == "Khaya ivorensis"
