@@ -29,7 +29,7 @@ from benchweave.llm.components import connected_components
 from benchweave.llm.staging import stage
 
 SAMPLE = 8192
-PER_CELL = 1024
+PER_CELL = 8192
 MOST_CELLS = 512
 BLOCK = 1024
 
