@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from benchweave.functions.hashing import hash_uniform, hex_prefix, stable_hash
 from benchweave.operators.metrics import inverse_frequency
 from benchweave.operators.ranking import row_numbers, running_total, top_rows
+from benchweave.schemas import MODALITIES
 from benchweave.session import cut_lineage, spread
 
-FILL_DRAWS = 32
+ENTITY_BLOCK = 4096
 
 
 def entity_weights(samples: DataFrame, power: float = 0.5) -> DataFrame:
     """Entities with their rows per modality and sampling weight 1 / n^power over all their rows."""
     counts = samples.groupBy("species").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("modality") == m).alias(m) for m in ("macro", "micro")]
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("modality") == m).alias(m) for m in MODALITIES]
     )
     return counts.withColumn("weight", inverse_frequency("n", power))
 
@@ -29,14 +30,20 @@ def pool_order(samples: DataFrame, seed: int = 42, epoch: int = 0, cycle: int =
 
 
 def _intervals(entities: DataFrame, keys: list[str], slices: int) -> DataFrame:
-    """Each entity's share of [0, 1) per key, repeated for every slice of [0, 1) it touches."""
-    summed = running_total(entities, keys, ["species"], "weight", "_hi")
-    totals = entities.groupBy(*keys).agg(F.sum("weight").alias("_sum"))
+    """Each entity's share of [0, 1) per key, repeated for every slice of [0, 1) it touches.
+
+    Weights are summed as whole units of the largest weight / 2^40, so neighbours touch exactly and the last ends at 1.
+    """
+    most = entities.groupBy(*keys).agg(F.max("weight").alias("_most"))
+    units = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("_most") * float(1 << 40)).cast("bigint"))
+    whole = entities.join(most, keys).select(*keys, "species", units.alias("_units"))
+    summed = running_total(whole, keys, ["species"], "_units", "_hi")
+    totals = whole.groupBy(*keys).agg(F.sum("_units").alias("_sum"))
     joined = summed.join(totals, keys)
-    low, high = (F.col("_hi") - F.col("weight")) / F.col("_sum"), F.col("_hi") / F.col("_sum")
+    low, high = (F.col("_hi") - F.col("_units")) / F.col("_sum"), F.col("_hi") / F.col("_sum")
     marked = joined.select(*keys, "species", low.alias("_lo"), high.alias("_up"))
-    first, last = F.floor(F.greatest("_lo", F.lit(0.0)) * slices), F.least(F.floor(F.col("_up") * slices), F.lit(slices - 1))
-    return marked.withColumn("_slice", F.explode(F.sequence(first, F.greatest(first, last))))
+    first, last = F.floor(F.col("_lo") * slices), F.least(F.floor(F.col("_up") * slices), F.lit(slices - 1))
+    return marked.withColumn("_slice", F.explode(F.sequence(F.least(first, last), last)))
 
 
 def _resolve(draws: DataFrame, intervals: DataFrame, keys: list[str], slices: int) -> DataFrame:
@@ -46,33 +53,38 @@ def _resolve(draws: DataFrame, intervals: DataFrame, keys: list[str], slices: in
     return hits.drop("_slice", "_lo", "_up")
 
 
-def _slices(entities: DataFrame) -> int:
-    return 1 << max(6, min(20, (4 * entities.count()).bit_length()))
+def _slices(population: int) -> int:
+    return 1 << max(6, min(20, (4 * population).bit_length()))
 
 
 def pick_entities(batches: DataFrame, entities: DataFrame, k: int, seed: int = 42, tag: str = "pick") -> DataFrame:
     """``k`` distinct entities per batch, drawn by weight without replacement: (batch_id, species, place).
 
-    Draws with replacement from the cumulative weights keep the first ``k`` distinct entities, which is sampling
-    without replacement. Batches that saw too few distinct entities draw on with longer sequences until complete.
+    Draws with replacement from the cumulative weights keep the first ``k`` distinct entities. A batch that saw fewer
+    goes on with exponential keys ``-ln(u) / weight`` over the entities it has not seen: the same law, and one step
+    however uneven the weights are.
     """
-    population = entities.count()
+    pool = entities.select("species", "weight")
+    population = pool.count()
     k = min(k, population)
-    slices = _slices(entities)
-    intervals = _intervals(entities.select("species", "weight").withColumn("_all", F.lit(0)), ["_all"], slices)
-    todo, out, length = batches.select("batch_id"), None, 4 * k + 16
-    while True:
-        draws = todo.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("_all", F.lit(0))
-        draws = draws.withColumn("u", hash_uniform(seed, F.lit(tag), "batch_id", "j"))
-        seen = _resolve(draws, intervals, ["_all"], slices).groupBy("batch_id", "species").agg(F.min("j").alias("j"))
-        picked = cut_lineage(top_rows(seen, ["batch_id"], ["j"], k, "place").select("batch_id", "species", "place"))
-        full = picked.groupBy("batch_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == k).select("batch_id")
-        done = picked.join(full, "batch_id", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        todo = todo.join(full, "batch_id", "left_anti")
-        if k == 0 or todo.isEmpty():
-            return out
-        length *= 4
+    if k <= 0:
+        return batches.sparkSession.createDataFrame([], "batch_id bigint, species string, place int")
+    slices = _slices(population)
+    intervals = _intervals(pool.withColumn("_all", F.lit(0)), ["_all"], slices)
+    draws = batches.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(4 * k + 15))).alias("j")).withColumn("_all", F.lit(0))
+    draws = draws.withColumn("u", hash_uniform(seed, F.lit(tag), "batch_id", "j"))
+    seen = _resolve(draws, intervals, ["_all"], slices).groupBy("batch_id", "species").agg(F.min("j").alias("j"))
+    picked = cut_lineage(top_rows(seen, ["batch_id"], ["j"], k, "place").select("batch_id", "species", "place"))
+    short = picked.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_have")).where(F.col("_have") < k)
+    if short.isEmpty():
+        return picked
+    blocks = -(-population // ENTITY_BLOCK)
+    cut = pool.withColumn("_block", F.pmod(F.xxhash64("species"), F.lit(blocks)).cast("int"))
+    open_pairs = short.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "_block")
+    unseen = open_pairs.join(picked.select("batch_id", "species"), ["batch_id", "species"], "left_anti")
+    keyed = unseen.withColumn("_key", -F.log1p(-hash_uniform(seed, F.lit(tag), F.lit("rest"), "batch_id", "species")) / F.col("weight"))
+    ranked = top_rows(keyed, ["batch_id"], ["_key", "species"], k, "_r").withColumn("place", (F.col("_have") + F.col("_r")).cast("int"))
+    return picked.unionByName(ranked.where(F.col("place") <= k).select("batch_id", "species", "place"))
 
 
 def fill_modalities(batch_size: int, pairs: int, target_macro: int) -> list[str]:
@@ -89,18 +101,63 @@ def fill_modalities(batch_size: int, pairs: int, target_macro: int) -> list[str]
 
 
 def _fold_fill(classes: int) -> Column:
-    """Walk the fill slots of a batch: new entities while fewer than ``classes`` are present, then any."""
+    """Walk the fill slots of a batch: new entities while fewer than ``classes`` are present, then the slot's own draw.
+
+    A fresh entity is the first of the modality's order without replacement that is not present yet. Fewer than
+    ``classes`` are present then, so an order of ``classes`` entities holds one whenever the modality has one at all.
+    """
     start = F.struct(F.col("used").alias("used"), F.array().cast("array<string>").alias("picks"))
 
     def step(acc: Column, slot: Column) -> Column:
-        fresh = F.get(F.filter(slot["names"], lambda n: ~F.array_contains(acc["used"], n)), F.lit(0))
-        plain = F.get(slot["names"], F.lit(0))
-        choice = F.when(F.size(acc["used"]) < classes, F.coalesce(fresh, plain)).otherwise(plain)
+        order = F.when(slot["modality"] == "macro", F.col("fresh_macro")).otherwise(F.col("fresh_micro"))
+        fresh = F.get(F.filter(order, lambda n: ~F.array_contains(acc["used"], n)), F.lit(0))
+        choice = F.when(F.size(acc["used"]) < classes, F.coalesce(fresh, slot["species"])).otherwise(slot["species"])
         return F.struct(F.array_union(acc["used"], F.array(choice)).alias("used"), F.concat(acc["picks"], F.array(choice)).alias("picks"))
 
     return F.aggregate("slots", start, step, lambda acc: acc["picks"])
 
 
+def _top_up(plan: DataFrame, samples: DataFrame, steps: int, want: dict[str, int], pools: dict[str, int], salt: int) -> DataFrame:
+    """Fill the slots that an item met twice has left empty: same modality first, then the other one.
+
+    Every short batch walks its modality's shuffled items from a place of its own. A walk of twice the batch size passes
+    at least a batch of items that are not in it yet, so a batch stays short only when no items are left at all.
+    """
+    size = sum(want.values())
+    done = cut_lineage(plan)
+    have = done.groupBy("batch_id").agg(
+        *[F.count_if(F.col("modality") == m).alias(f"_n_{m}") for m in want], F.collect_list(F.col("slot").cast("int")).alias("_taken")
+    )
+    gaps = {f"_need_{m}": F.lit(n) - F.coalesce(f"_n_{m}", F.lit(0)) for m, n in want.items()}
+    free = F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), F.coalesce("_taken", F.array().cast("array<int>")))
+    every = done.sparkSession.range(steps).select(F.col("id").alias("batch_id")).join(have, "batch_id", "left")
+    short = every.select("batch_id", free.alias("_free"), *[c.alias(n) for n, c in gaps.items()]).where(F.size("_free") > 0)
+    if short.isEmpty():
+        return done
+    shuffled = samples.select("id", "species", "modality").withColumn("_h", stable_hash(salt, F.lit("top_up"), "modality", "id"))
+    items = row_numbers(shuffled, ["modality"], ["_h", "id"], "_p", bucket=hex_prefix(F.col("_h"), 3))
+    items = items.select("id", "species", "modality", (F.col("_p") - 1).cast("bigint").alias("_pos"))
+    walks = None
+    for m, n in pools.items():
+        if n:
+            start = F.floor(hash_uniform(salt, F.lit("top_up"), F.lit(m), "batch_id") * n)
+            walk = short.select("batch_id", F.lit(m).alias("modality"), F.explode(F.sequence(F.lit(0), F.lit(min(n, 2 * size) - 1))).alias("_step"), start.alias("_start"))
+            walk = walk.select("batch_id", "modality", "_step", F.pmod(F.col("_start") + F.col("_step"), F.lit(n)).cast("bigint").alias("_pos"))
+            walks = walk if walks is None else walks.unionByName(walk)
+    if walks is None:
+        return done
+    new = walks.join(items, ["modality", "_pos"]).join(done.select("batch_id", "id"), ["batch_id", "id"], "left_anti")
+    new = top_rows(new, ["batch_id", "modality"], ["_step"], size, "_r")
+    found = new.groupBy("batch_id").agg(*[F.count_if(F.col("modality") == m).alias(f"_found_{m}") for m in want])
+    other = {"macro": "micro", "micro": "macro"}
+    take = {m: F.least(F.col(f"_found_{m}"), F.col(f"_need_{m}") + F.greatest(F.lit(0), F.col(f"_need_{o}") - F.col(f"_found_{o}"))) for m, o in other.items()}
+    ready = new.join(short.join(found, "batch_id").withColumns({f"_take_{m}": c for m, c in take.items()}), "batch_id")
+    macro = F.col("modality") == "macro"
+    chosen = ready.where(F.col("_r") <= F.when(macro, F.col("_take_macro")).otherwise(F.col("_take_micro")))
+    place = F.col("_r") - 1 + F.when(macro, 0).otherwise(F.col("_take_macro"))
+    return done.unionByName(chosen.select("batch_id", F.get("_free", place.cast("int")).alias("slot"), "id", "species", "modality"))
+
+
 def plan_batches(
     samples: DataFrame,
     batch_size: int,
@@ -117,7 +174,8 @@ def plan_batches(
 
     Every batch takes paired entities first (one macro and one micro item each), then fills towards the modality
     target. Items come from each pool in shuffled order; a pool that runs out is shuffled anew. An item never occurs
-    twice in a batch, which may leave a batch short.
+    twice in a batch: the slot of a repeated one is filled with another item of its modality, or else of the other one.
+    Batches are short only where fewer items than slots exist; ``drop_last`` leaves those out.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
@@ -139,26 +197,29 @@ def plan_batches(
     slots = fill_modalities(batch_size, k, round(batch_size * fraction))
     batches = spark.range(steps).select(F.col("id").alias("batch_id"))
     salt = seed + epoch
-    duo = pick_entities(batches, paired, k, salt, "pair") if k else spark.createDataFrame([], "batch_id bigint, species string, place int")
-    sides = F.array(*[F.struct(F.lit(m).alias("modality"), F.lit(i).alias("i")) for i, m in enumerate(("macro", "micro"))])
+    duo = pick_entities(batches, paired, k, salt, "pair")
+    sides = F.array(*[F.struct(F.lit(m).alias("modality"), F.lit(i).alias("i")) for i, m in enumerate(MODALITIES)])
     paired_rows = duo.select("batch_id", "species", F.explode(sides).alias("x"), "place")
     paired_rows = paired_rows.select("batch_id", "species", "x.modality", (2 * (F.col("place") - 1) + F.col("x.i")).cast("int").alias("slot"))
     picks = paired_rows
     if slots:
-        flags = F.array(*[F.when(F.col(m) > 0, F.lit(m)) for m in ("macro", "micro")])
+        flags = F.array(*[F.when(F.col(m) > 0, F.lit(m)) for m in MODALITIES])
         by_modality = entities.select("species", "weight", F.explode(flags).alias("modality")).where(F.col("modality").isNotNull())
-        slices = _slices(entities)
+        slices = _slices(n_entities)
         intervals = _intervals(by_modality, ["modality"], slices)
         layout = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(m).alias("modality")) for i, m in enumerate(slots)])
         draws = batches.select("batch_id", F.explode(layout).alias("x")).select("batch_id", "x.s", "x.modality")
-        draws = draws.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(FILL_DRAWS - 1))))
-        draws = draws.withColumn("u", hash_uniform(salt, F.lit("fill"), "batch_id", "s", "j"))
-        named = _resolve(draws, intervals, ["modality"], slices)
-        per_slot = named.groupBy("batch_id", "s").agg(F.array_sort(F.collect_list(F.struct("j", "species"))).alias("l"))
-        per_slot = per_slot.select("batch_id", "s", F.transform("l", lambda x: x["species"]).alias("names"))
-        per_batch = per_slot.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("s", "names"))).alias("slots"))
+        named = _resolve(draws.withColumn("u", hash_uniform(salt, F.lit("fill"), "batch_id", "s")), intervals, ["modality"], slices)
+        per_batch = named.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("s", "modality", "species"))).alias("slots"))
         used = duo.groupBy("batch_id").agg(F.collect_set("species").alias("used"))
         ready = per_batch.join(used, "batch_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
+        for m in MODALITIES:
+            if k < classes and m in slots:
+                order = pick_entities(batches, by_modality.where(F.col("modality") == m), classes, salt, f"fresh_{m}")
+                names = F.transform(F.array_sort(F.collect_list(F.struct("place", "species"))), lambda x: x["species"])
+                ready = ready.join(order.groupBy("batch_id").agg(names.alias(f"fresh_{m}")), "batch_id", "left")
+            else:
+                ready = ready.withColumn(f"fresh_{m}", F.array().cast("array<string>"))
         filled = ready.select("batch_id", F.posexplode(_fold_fill(classes)).alias("s", "species"))
         modality = F.element_at(F.array(*[F.lit(m) for m in slots]), F.col("s") + 1)
         picks = paired_rows.unionByName(filled.select("batch_id", "species", modality.alias("modality"), (F.col("s") + 2 * k).cast("int").alias("slot")))
@@ -175,12 +236,18 @@ def plan_batches(
     shuffled = shuffled.select("id", "species", "modality", "_cycle", (F.col("_p") - 1).alias("_pos"))
     planned = placed.join(shuffled, ["species", "modality", "_cycle", "_pos"])
     once = planned.groupBy("batch_id", "id").agg(F.min(F.struct("slot", "species", "modality")).alias("r"))
-    return once.select(F.lit(epoch).alias("epoch"), "batch_id", "r.slot", "id", "r.species", "r.modality")
+    plan = once.select("batch_id", "r.slot", "id", "r.species", "r.modality")
+    want = {m: k + slots.count(m) for m in MODALITIES}
+    plan = _top_up(plan, samples, steps, want, {"macro": n_macro, "micro": n_micro}, salt)
+    if drop_last:
+        whole = plan.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == batch_size)
+        plan = plan.join(whole.select("batch_id"), "batch_id", "left_semi")
+    return plan.select(F.lit(epoch).alias("epoch"), "batch_id", "slot", "id", "species", "modality")
 
 
 def audit_batches(plan: DataFrame) -> DataFrame:
     """Per batch: size, rows per modality, distinct entities, entities present in both modalities."""
-    per = plan.groupBy("batch_id", "species").agg(*[F.count_if(F.col("modality") == m).alias(m) for m in ("macro", "micro")])
+    per = plan.groupBy("batch_id", "species").agg(*[F.count_if(F.col("modality") == m).alias(m) for m in MODALITIES])
     return per.groupBy("batch_id").agg(
         (F.sum("macro") + F.sum("micro")).alias("size"),
         F.sum("macro").alias("macro"),
