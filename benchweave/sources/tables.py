@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,16 +50,22 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return reader.csv(path).na.fill("")
 
 
-def file_position() -> Column:
-    """Order of rows as read: exact within a file that one task reads, as small dimension files are."""
-    return F.monotonically_increasing_id()
+def with_row_order(table: DataFrame, out: str = "position") -> DataFrame:
+    """Dense row numbers in reading order, exact over any number of files and tasks: by path, then by place in the file."""
+    marked = table.select(
+        *table.columns,
+        F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_m"),
+    )
+    return dense_index(marked, ["_f", "_b", "_m"], out).drop("_f", "_b", "_m")
 
 
 def read_catalogue(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     table = read_table(spark, path)
     if strict:
         require_columns(table, CATALOGUE_REQUIRED)
-    return prepare_catalogue(table.withColumn("position", file_position()))
+    return prepare_catalogue(with_row_order(table))
 
 
 def pick_header(columns: Iterable[str], aliases: Iterable[str]) -> str | None:
@@ -67,12 +73,12 @@ def pick_header(columns: Iterable[str], aliases: Iterable[str]) -> str | None:
     return next((a for a in aliases if a in have), None)
 
 
-def correction_rows(table: DataFrame) -> DataFrame:
-    """(raw_name, corrected_name) picked by header alias."""
+def correction_rows(table: DataFrame, *keep: str) -> DataFrame:
+    """(raw_name, corrected_name) picked by header alias, and the columns to ``keep``."""
     source, target = pick_header(table.columns, CORRECTION_SOURCE_HEADERS), pick_header(table.columns, CORRECTION_TARGET_HEADERS)
     if source is None or target is None:
         raise ValueError("the correction table needs one source and one target column")
-    return table.select(F.col(source).alias("raw_name"), F.col(target).alias("corrected_name"))
+    return table.select(F.col(source).alias("raw_name"), F.col(target).alias("corrected_name"), *keep)
 
 
 def load_corrections(spark: SparkSession, path: str | None = None, defaults: Mapping[str, str] | None = DEFAULT_CORRECTIONS) -> DataFrame:
@@ -81,25 +87,20 @@ def load_corrections(spark: SparkSession, path: str | None = None, defaults: Map
     base = spark.createDataFrame([(k, v, i - len(defaults or {})) for i, (k, v) in enumerate((defaults or {}).items())], schema)
     if path is None:
         return base
-    return base.unionByName(correction_rows(read_table(spark, path)).withColumn("position", file_position()))
+    table = with_row_order(read_table(spark, path), "_position")
+    return base.unionByName(correction_rows(table, "_position").withColumnRenamed("_position", "position"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A processing log with its row position, for ``manifest.normalize_log``."""
-    return require_columns(read_table(spark, path), ["processed_path"]).withColumn("position", file_position())
+    return with_row_order(require_columns(read_table(spark, path), ["processed_path"]))
 
 
 def read_manifest(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """A manifest with its suggestions as an array; ``numbered`` adds dense row numbers over all files."""
     table = read_table(spark, path)
     if numbered:
-        marked = table.select(
-            *table.columns,
-            F.col("_metadata.file_path").alias("_f"),
-            F.col("_metadata.file_block_start").alias("_b"),
-            file_position().alias("_m"),
-        )
-        table = dense_index(marked, ["_f", "_b", "_m"]).drop("_f", "_b", "_m")
+        table = with_row_order(table, "row_index")
     if "taxonomy_suggestions" in table.columns:
         table = table.withColumn("taxonomy_suggestions", pipe_list("taxonomy_suggestions"))
     return table

@@ -28,6 +28,23 @@ def test_scan_and_tables(spark, tmp_path):
         tables.require_columns(spark.range(1), ["id", "x"])
 
 
+def test_later_rows_and_files_win(spark, tmp_path):
+    from benchweave.operators.matching import correction_map
+
+    (tmp_path / "c").mkdir()
+    filler = "".join(f"name{i} x,Genus species\n" for i in range(2000))
+    (tmp_path / "c" / "a.csv").write_text("raw_name,target\nkaya one,Khaya first\n" + filler + "kaya one,Khaya second\n")
+    (tmp_path / "c" / "b.csv").write_text("raw_name,target\nkaya one,Khaya third\n")
+    rows = tables.load_corrections(spark, str(tmp_path / "c"))
+    assert {r["raw_key"]: r["corrected"] for r in correction_map(rows).collect()}["kaya one"] == "Khaya third"
+    log = tmp_path / "log"
+    log.mkdir()
+    for name, n in (("a.csv", 500), ("b.csv", 1)):
+        (log / name).write_text("processed_path\n" + "".join(f"{name}/{i}\n" for i in range(n)))
+    got = [r["processed_path"] for r in tables.read_log(spark, str(log)).orderBy("position").collect()]
+    assert got == [f"a.csv/{i}" for i in range(500)] + ["b.csv/0"]
+
+
 def test_headers_prefer_alias_order():
     assert tables.pick_header(["species", "target", "typo"], tables.CORRECTION_TARGET_HEADERS) == "target"
 
