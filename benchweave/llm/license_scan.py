@@ -114,14 +114,18 @@ def _count_terms(templates: list[tuple[str, str]]):
     return run
 
 
-def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``own_licence``, ``score`` (its cosine, 0 without), ``licence_lines``, and ``licence_first``: on the first line."""
+def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``own_licence``, ``score`` (its cosine, 0 without), ``licence_lines``, and ``licence_first``: on the first line.
+
+    Without ``keep_text`` the texts are read but not handed on.
+    """
     templates = templates or TEMPLATES
     base = docs.drop(*OUTPUTS)
     at = base.columns.index(text)
     totals = base.select(text).mapInArrow(_count_terms(templates), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {r["term"]: r["n"] for r in totals}
     units = counts.pop(None, 0)
+    fields = [f for i, f in enumerate(base.schema.fields) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, counts, units)
@@ -136,14 +140,18 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
                     if s > best[r]:
                         name[r], best[r] = matcher.names[t], s
                 lines = np.bincount(row, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(best), pa.array(lines, pa.int64()), pa.array(first)], [*part.schema.names, *OUTPUTS])
+                kept = part if keep_text else pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at], [f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(name, pa.string()), pa.array(best), pa.array(lines, pa.int64()), pa.array(first)], [*kept.schema.names, *OUTPUTS])
 
     kinds = [T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()]
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in zip(OUTPUTS, kinds, strict=True))]))
+    return base.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(OUTPUTS, kinds, strict=True))]))
 
 
 def inherit(files: DataFrame, path: str = "path", licence: str = "own_licence", speaks: str = "licence_first") -> DataFrame:
-    """``files`` with ``licence`` and ``licence_from``: its own path, the folder it is inherited from, or null."""
+    """``files`` with ``licence`` and ``licence_from``: its own path, the folder it is inherited from, or null.
+
+    ``files`` is read three times (votes, folders, rows): stage it first where it is costly.
+    """
     folder = F.regexp_extract(F.col(path), r"(?s)^(.*)/[^/]*$", 1)
     placed = files.drop("licence", "licence_from").withColumn("__folder", F.when(F.col(path).isNotNull(), folder))
     votes = placed.where(F.col(speaks) & F.col(licence).isNotNull() & F.col("__folder").isNotNull()).groupBy("__folder", licence).count()

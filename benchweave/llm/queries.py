@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchweave.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, ngram_jaccard, packing, quality, substring_dedup, url_filters
+from benchweave.llm.staging import stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -105,5 +106,6 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of the tree source / language / block of ids; those with a licence line stand for licence files."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
-    scanned = license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
-    return license_scan.inherit(scanned.drop("text").withColumn("speaks", F.col("own_licence").isNotNull()), speaks="speaks").select("doc_id", "path", "own_licence", "score", "licence_lines", "licence", "licence_from")
+    scanned = license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), keep_text=False)
+    files = stage(scanned.withColumn("speaks", F.col("own_licence").isNotNull()), "licence-files")
+    return license_scan.inherit(files, speaks="speaks").select("doc_id", "path", "own_licence", "score", "licence_lines", "licence", "licence_from")
