@@ -26,6 +26,8 @@ DEFAULT_RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 MODALITY_WEIGHT = 0.35
 PHASE_WEIGHT = 0.20
 RATIO_TOLERANCE = 0.01
+# Smallest gain in distribution error that counts as one.
+LEAST_GAIN = 1e-12
 
 
 def check_ratios(ratios: Mapping[str, float]) -> dict[str, float]:
@@ -219,31 +221,26 @@ def _current_error(counts: dict, quota: dict) -> float:
     return out
 
 
-def best_move(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
-    """At most one row: the single group move that lowers the distribution error most.
+def _open_moves(counts: dict, quota: dict) -> list[tuple[str, str]]:
+    """(donor, receiver) pairs: a split above its quota and one below it."""
+    gap = {s: counts.get(("total", "", s), 0.0) - quota.get(("total", "", s), 0.0) for s in SPLITS}
+    return [(a, b) for a in SPLITS for b in SPLITS if gap[a] > 0 > gap[b]]
 
-    Moves go from a split above its quota to one below it and never take the last group a required split has of an
-    entity or of its modality. Ties: smaller group, then hash. The search is one pass with a plain ``min``.
+
+def _helpful_moves(assigned: DataFrame, counts: dict, quota: dict, pairs: list[tuple[str, str]], seed: int) -> DataFrame:
+    """Single group moves that lower the distribution error, in one column ``m`` that sorts the best first.
+
+    ``spare_m`` and ``spare_e`` tell how many groups the donor may still give away of the stratum and of the entity.
     """
-    ratios = check_ratios(ratios)
-    counts, quota = _constants(assigned, ratios)
-    pairs = [
-        (a, b)
-        for a in SPLITS
-        for b in SPLITS
-        if a != b and counts.get(("total", "", a), 0.0) > quota[("total", "", a)] and counts.get(("total", "", b), 0.0) < quota[("total", "", b)]
-    ]
-    schema = "group_key string, donor string, receiver string, size bigint, error double"
-    if not pairs:
-        return assigned.sparkSession.createDataFrame([], schema)
     by_stratum = presence(assigned, STRATUM).withColumnRenamed("groups", "_gm")
     by_entity = by_stratum.groupBy("species", "split").agg(F.sum("_gm").alias("_ge"))
     need = required_splits(assigned, seed)
     need_stratum = need.where(F.col("modality") != "").select(*STRATUM, F.split("required", ",").alias("_rm"))
     need_entity = need.where(F.col("modality") == "").select("species", F.split("required", ",").alias("_re"))
     guards = by_stratum.join(by_entity, ["species", "split"]).join(need_stratum, STRATUM).join(need_entity, "species")
-    last = (F.array_contains("_re", F.col("split")) & (F.col("_ge") <= 1)) | (F.array_contains("_rm", F.col("split")) & (F.col("_gm") <= 1))
-    free = guards.where(~last).select(*STRATUM, "split")
+    spare = lambda have, wanted: F.col(have) - F.array_contains(wanted, F.col("split")).cast("int")
+    free = guards.select(*STRATUM, "split", spare("_gm", "_rm").alias("spare_m"), spare("_ge", "_re").alias("spare_e"))
+    free = free.where("spare_m > 0 AND spare_e > 0")
     donors = sorted({a for a, _ in pairs})
     rows = assigned.where(F.col("split").isin(donors)).join(free, [*STRATUM, "split"])
     moves = F.array(
@@ -262,27 +259,74 @@ def best_move(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS,
             for a, b in pairs
         ]
     )
-    candidates = rows.select(F.explode(moves).alias("m")).where(F.col("m").isNotNull() & (F.col("m.error") < _current_error(counts, quota)))
-    best = candidates.agg(F.min("m").alias("m")).where(F.col("m").isNotNull())
-    return best.select("m.group_key", "m.donor", "m.receiver", "m.size", "m.error")
+    out = rows.select(F.explode(moves).alias("m"), *STRATUM, "phase_counts", "spare_m", "spare_e")
+    return out.where(F.col("m").isNotNull() & (F.col("m.error") < _current_error(counts, quota)))
 
 
-def rebalance(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """Apply best moves until none helps or ``rounds`` is reached.
+def best_move(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
+    """At most one row: the single group move that lowers the distribution error most.
 
-    Each round brings one row to the driver; the base table is cut once and moves are kept as a small overlay.
+    Moves go from a split above its quota to one below it and never take the last group a required split has of an
+    entity or of its modality. Ties: smaller group, then hash. The search is one pass with a plain ``min``.
     """
-    base = cut_lineage(assigned)
+    counts, quota = _constants(assigned, check_ratios(ratios))
+    pairs = _open_moves(counts, quota)
+    if not pairs:
+        return assigned.sparkSession.createDataFrame([], "group_key string, donor string, receiver string, size bigint, error double")
+    best = _helpful_moves(assigned, counts, quota, pairs, seed).agg(F.min("m").alias("m")).where(F.col("m").isNotNull())
+    return best.select("m.group_key", "m.donor", "m.receiver", "m.size", "m.error")
+
+
+def _accept(candidates: list, counts: dict, quota: dict) -> dict[str, str]:
+    """Go through the candidates in order and keep those that still lower the error; updates ``counts``."""
+    current = _current_error(counts, quota)
     moved: dict[str, str] = {}
-    current = base
-    for _ in range(rounds):
-        move = best_move(current, ratios, seed).first()
-        if move is None:
-            break
-        moved[move["group_key"]] = move["receiver"]
-        overlay = F.create_map(*[F.lit(v) for pair in moved.items() for v in pair])
-        current = base.withColumn("split", F.coalesce(F.try_element_at(overlay, F.col("group_key")), F.col("split")))
-    return current
+    taken: dict[tuple, int] = {}
+    for c in candidates:
+        donor, receiver, key = c["m"]["donor"], c["m"]["receiver"], c["m"]["group_key"]
+        stratum, entity = (c["species"], c["modality"], donor), (c["species"], donor)
+        if key in moved or (donor, receiver) not in _open_moves(counts, quota):
+            continue
+        if taken.get(stratum, 0) >= c["spare_m"] or taken.get(entity, 0) >= c["spare_e"]:
+            continue
+        parts = {("total", ""): c["m"]["size"], ("modality", c["modality"]): c["m"]["size"]}
+        parts |= {("phase", p): n for p, n in (c["phase_counts"] or {}).items()}
+        after = dict(counts)
+        for (d, i), n in parts.items():
+            after[(d, i, donor)] = after.get((d, i, donor), 0.0) - n
+            after[(d, i, receiver)] = after.get((d, i, receiver), 0.0) + n
+        error = _current_error(after, quota)
+        # A gain within rounding could be undone by the next pass for ever.
+        if error < current - LEAST_GAIN:
+            counts.update(after)
+            current = error
+            moved[key] = receiver
+            for place in (stratum, entity):
+                taken[place] = taken.get(place, 0) + 1
+    return moved
+
+
+def rebalance(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42, per_pass: int = 10_000) -> DataFrame:
+    """Move groups until no single move lowers the distribution error.
+
+    A pass over the groups brings its ``per_pass`` best moves to the driver, which takes them in order as long as each one
+    still helps after those before it; passes go on until one finds nothing. Every move lowers the error, so they end.
+    The moves of a pass are joined to the groups, and the result is kept on shared storage for the next.
+    """
+    ratios = check_ratios(ratios)
+    current = cut_lineage(assigned)
+    while True:
+        counts, quota = _constants(current, ratios)
+        pairs = _open_moves(counts, quota)
+        if not pairs:
+            return current
+        candidates = _helpful_moves(current, counts, quota, pairs, seed).orderBy("m").limit(per_pass).collect()
+        moved = _accept(candidates, counts, quota)
+        if not moved:
+            return current
+        moves = current.sparkSession.createDataFrame(list(moved.items()), "group_key string, _to string")
+        joined = current.join(F.broadcast(moves), "group_key", "left")
+        current = cut_lineage(joined.withColumn("split", F.coalesce("_to", "split")).select(*assigned.columns))
 
 
 def balance_stats(rows: DataFrame) -> DataFrame:

@@ -22,10 +22,18 @@ def scratch(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/io/{uuid.uuid4().hex}"
 
 
-@query("src_files")
+@query(
+    "src_files",
+    """SELECT DISTINCT '_tree/lang=' || coalesce(lang, 'none') || '/source=' || coalesce(source, 'none') AS folder, true AS has_bytes FROM documents
+       UNION ALL SELECT '_tree', false""",
+)
 def _(spark, sf):
-    """All data files below the data folder; names and sizes are outside the reach of the check SQL."""
-    return files.scan_files(spark, sf, [".parquet"]).select("rel_path", "bytes")
+    """Folders of a tree written from the documents, below a hidden folder, and the empty marker file at its top."""
+    path = scratch(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *[F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")])
+    docs.hint("rebalance", "lang", "source").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").partitionBy("lang", "source").parquet(f"{path}/_tree")
+    found = files.scan_files(spark, path, ["", ".parquet"]).select("rel_path", "bytes")
+    return found.select(F.regexp_replace("rel_path", "/[^/]*$", "").alias("folder"), (F.col("bytes") > 0).alias("has_bytes")).distinct()
 
 
 MANIFEST_LIST = ", ".join(MANIFEST_COLUMNS)

@@ -14,6 +14,17 @@ def test_scan_and_tables(spark, tmp_path):
         (tmp_path / name).write_bytes(b"12345")
     got = {r["rel_path"]: r["bytes"] for r in files.scan_files(spark, str(tmp_path)).collect()}
     assert got == {"a/x.PNG": 5, "a/b/y.tif": 5}
+    (tmp_path / "_dir" / ".deep" / "sp ace %20").mkdir(parents=True)
+    (tmp_path / "none").mkdir()
+    hidden = ("_x.png", ".x.png", "_dir/x.png", "_dir/.deep/sp ace %20/empty.jpg")
+    for name in hidden:
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path)
+    rows = files.scan_files(spark, f"file://{tmp_path}").collect()
+    assert sorted(r["rel_path"] for r in rows) == sorted([*got, *hidden]) and all(r["path"] == f"{tmp_path}/{r['rel_path']}" for r in rows)
+    assert files.scan_files(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.scan_files(spark, str(tmp_path / "missing"))
     csv = tmp_path / "t.csv"
     csv.write_text('﻿raw_name,target\n"Albizia ""q"", x",Khaya a\nAlbizia zyia,\nAlbizia zyia,Khaya b\nalbizia_zyia,Khaya c\n', encoding="utf-8")
     rows = tables.read_table(spark, str(csv)).collect()

@@ -81,7 +81,9 @@ def test_best_move_equals_brute_force(spark):
             best = min(best, brute_error(rows, {**where, r[0]: b}, ratios))
     assert move is not None and abs(move["error"] - best) < 1e-9 and best < base
     assert abs(splits.distribution_error(splits.split_counters(assigned), splits.targets(assigned)).first()[0] - base) < 1e-9
-    fixed = splits.rebalance(assigned, rounds=4)
+    fixed = splits.rebalance(assigned)
+    assert splits.best_move(fixed).isEmpty() and splits.best_move(splits.rebalance(assigned, per_pass=9)).isEmpty()
+    assert fixed.columns == assigned.columns and fixed.count() == len(rows)
     after = {r["group_key"]: r["split"] for r in fixed.collect()}
     assert brute_error(rows, after, ratios) < best
     # The thirds above need not cover everything; moves must not open a new gap.
