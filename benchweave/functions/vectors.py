@@ -47,7 +47,8 @@ def softmax_top(scores) -> tuple[Column, Column]:
 
 
 def feature_vector(kind: str) -> Column:
-    """The chosen vector column; an unknown kind is an error."""
+    """The chosen vector column; an unknown kind is an error, and so is a row without that vector."""
     if kind not in FEATURE_COLUMNS:
         raise ValueError(f"unknown feature source {kind!r}; expected one of {sorted(FEATURE_COLUMNS)}")
-    return F.col(FEATURE_COLUMNS[kind])
+    name = FEATURE_COLUMNS[kind]
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"a row has no {name}")))

@@ -28,22 +28,32 @@ def unit_matrix(column: pd.Series) -> np.ndarray:
     return matrix / lengths
 
 
-def _side(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "species", "genus", "embedding")])
+def _side(df: DataFrame, prefix: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "species", "genus", "embedding")])
+
+
+def with_query_rows(queries: DataFrame) -> DataFrame:
+    """Queries with a number per row, ``q_row``, so that queries that share an id stay apart.
+
+    The numbers are kept on shared storage: a task that runs again must not number its rows anew.
+    """
+    if "q_row" in queries.columns:
+        return queries
+    return cut_lineage(queries.select("id", "species", "genus", "embedding", F.monotonically_increasing_id().alias("q_row")))
 
 
 def top_k(queries: DataFrame, gallery: DataFrame, k: int = 5, exclude_self: bool = True, block_rows: int = 2048) -> DataFrame:
-    """The ``k`` most similar gallery rows per query, exact; ties go to the smaller id.
+    """The ``k`` most similar gallery rows per query row (``q_row``), exact; ties go to the smaller id.
 
     Frames carry id, species, genus, embedding. Every block pair multiplies two bounded matrices and returns at most
     ``k`` rows per query; the final rank keeps ``k`` per query before and after the shuffle.
     """
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["q_id", "q_species", "q_genus", "g_id", "g_species", "g_genus", "similarity"]
+        columns = ["q_row", "q_id", "q_species", "q_genus", "g_id", "g_species", "g_genus", "similarity"]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=columns)
-        right = right.sort_values("g_id", kind="stable", ignore_index=True)
+        right = right.sort_values(["g_id", "g_species", "g_genus"], kind="stable", ignore_index=True)
         sims = np.round(unit_matrix(left["q_embedding"]) @ unit_matrix(right["g_embedding"]).T, TIE_DECIMALS)
         if exclude_self:
             sims[left["q_id"].to_numpy()[:, None] == right["g_id"].to_numpy()[None, :]] = -np.inf
@@ -55,29 +65,32 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int = 5, exclude_self: bool
         start = np.searchsorted(rows, rows)
         keep = np.arange(len(rows)) - start < take
         rows, cols = rows[keep], cols[keep]
-        parts = [left[c].to_numpy()[rows] for c in columns[:3]] + [right[c].to_numpy()[cols] for c in columns[3:6]]
+        parts = [left[c].to_numpy()[rows] for c in columns[:4]] + [right[c].to_numpy()[cols] for c in columns[4:7]]
         return pd.DataFrame(dict(zip(columns, [*parts, sims[rows, cols]])))
 
-    schema = "q_id string, q_species string, q_genus string, g_id string, g_species string, g_genus string, similarity double"
-    partial = block_join(_side(queries, "q"), _side(gallery, "g"), kernel, schema, "q_id", "g_id", left_rows=block_rows, right_rows=block_rows * 2)
-    return top_rows(partial, ["q_id"], [F.desc("similarity"), F.col("g_id")], k, "rank")
+    schema = "q_row bigint, q_id string, q_species string, q_genus string, g_id string, g_species string, g_genus string, similarity double"
+    left = _side(with_query_rows(queries), "q", "q_row")
+    partial = block_join(left, _side(gallery, "g"), kernel, schema, "q_row", "g_id", left_rows=block_rows, right_rows=block_rows * 2)
+    return top_rows(partial, ["q_row"], [F.desc("similarity"), F.col("g_id"), F.col("g_species"), F.col("g_genus")], k, "rank")
 
 
 def eligible(queries: DataFrame, gallery: DataFrame, exclude_self: bool = True) -> DataFrame:
     """Per query whether its species and its genus occur in the gallery (not counting itself).
 
-    Gallery labels are counted first; queries join the counts, never the gallery rows.
+    Gallery labels are counted first; queries join the counts, never the gallery rows. ``q_row`` is kept if there is one.
     """
+    keys = [c for c in ("q_row",) if c in queries.columns]
     by_species = gallery.groupBy("species").agg(F.count(F.lit(1)).alias("_ns"))
     by_genus = gallery.groupBy("genus").agg(F.count(F.lit(1)).alias("_ng"))
-    out = queries.select("id", "species", "genus").join(by_species, "species", "left").join(by_genus, "genus", "left")
+    out = queries.select(*keys, "id", "species", "genus").join(by_species, "species", "left").join(by_genus, "genus", "left")
     own_s, own_g = F.lit(0), F.lit(0)
     if exclude_self:
-        twin = gallery.select("id", F.col("species").alias("_ts"), F.col("genus").alias("_tg"))
-        out = out.join(twin, "id", "left")
-        own_s = F.coalesce((F.col("_ts") == F.col("species")).cast("int"), F.lit(0))
-        own_g = F.coalesce((F.col("_tg") == F.col("genus")).cast("int"), F.lit(0))
+        twins_s = gallery.groupBy("id", "species").agg(F.count(F.lit(1)).alias("_ts"))
+        twins_g = gallery.groupBy("id", "genus").agg(F.count(F.lit(1)).alias("_tg"))
+        out = out.join(twins_s, ["id", "species"], "left").join(twins_g, ["id", "genus"], "left")
+        own_s, own_g = F.coalesce("_ts", F.lit(0)), F.coalesce("_tg", F.lit(0))
     return out.select(
+        *keys,
         "id",
         "species",
         "genus",
@@ -88,6 +101,7 @@ def eligible(queries: DataFrame, gallery: DataFrame, exclude_self: bool = True)
 
 def score_queries(queries: DataFrame, gallery: DataFrame, k: int = 5, exclude_self: bool = True) -> DataFrame:
     """One row per query: eligibility, hit@1, hit@k and purity@k on species and genus level."""
+    queries = with_query_rows(queries)
     ranked = top_k(queries, gallery, k, exclude_self)
     same = {"exact": F.col("q_species") == F.col("g_species"), "genus": F.col("q_genus") == F.col("g_genus")}
     aggs = []
@@ -98,9 +112,9 @@ def score_queries(queries: DataFrame, gallery: DataFrame, k: int = 5, exclude_se
             F.max(hit).alias(f"{level}_rk"),
             F.avg(hit.cast("double")).alias(f"{level}_purity"),
         ]
-    scored = ranked.groupBy(F.col("q_id").alias("id")).agg(*aggs)
+    scored = ranked.groupBy("q_row").agg(*aggs)
     zero = [c for level in same for c in (f"{level}_r1", f"{level}_rk", f"{level}_purity")]
-    return eligible(queries, gallery, exclude_self).join(scored, "id", "left").na.fill(0, zero)
+    return eligible(queries, gallery, exclude_self).join(scored, "q_row", "left").na.fill(0, zero).drop("q_row")
 
 
 def direction_report(scored: DataFrame, gallery: DataFrame, label: str) -> DataFrame:

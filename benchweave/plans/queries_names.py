@@ -259,11 +259,11 @@ def _(spark, sf):
 
 @query(
     "fn_feature_source",
-    """SELECT vec_id, cast(len(embedding[1:32]) AS bigint) AS dim, round(list_sum(embedding[1:32]::DOUBLE[]), 5) AS total FROM embeddings WHERE vec_id % 5 <> 0""",
+    """SELECT vec_id, cast(len(embedding) AS bigint) AS dim, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings""",
 )
 def _(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("projected_feature", F.when(F.col("vec_id") % 5 != 0, F.slice("embedding", 1, 32)))
-    picked = rows.select("vec_id", V.feature_vector("projected").alias("v")).where(F.col("v").isNotNull())
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("embedding", "projected_feature")
+    picked = rows.select("vec_id", V.feature_vector("projected").alias("v"))
     total = F.aggregate(V.as_doubles("v"), F.lit(0.0), lambda acc, x: acc + x)
     return picked.select("vec_id", F.size("v").cast("bigint").alias("dim"), F.round(total, 5).alias("total"))
 

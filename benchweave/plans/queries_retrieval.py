@@ -160,14 +160,17 @@ def _(spark, sf):
     return from_parallel_arrays(packed).select("id", "modality", "species", "genus", F.round(total, 5).alias("total"))
 
 
+DIMENSIONS = 64
+
+
 @query(
     "src_embed_wide",
-    check("emb", "SELECT id, modality, species, genus, cast(16 AS bigint) AS dim, round(list_sum(embedding[1:16]::DOUBLE[]), 5) AS total FROM emb"),
+    check("emb", "SELECT id, modality, species, genus, cast(len(embedding) AS bigint) AS dim, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM emb"),
 )
 def _(spark, sf):
     from benchweave.sources.embeddings import from_wide
 
-    cols = [F.get("embedding", F.lit(i)).alias(f"embedding_{i}") for i in range(16)]
+    cols = [F.get("embedding", F.lit(i)).alias(f"embedding_{i}") for i in range(DIMENSIONS)]
     wide = view(spark, sf, "emb").select("modality", "species", F.lit("").alias("genus"), F.col("id").alias("image_path"), *cols)
     rows = retrieval.with_genus(from_wide(wide))
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)

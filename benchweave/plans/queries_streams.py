@@ -58,29 +58,29 @@ def _double(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": batch["id"], "modality": batch["modality"], "total": [round(float(np.sum(v, dtype=np.float64)) * 2, 4) for v in batch["embedding"]]})
 
 
-def _first(batch: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"id": batch["id"], "modality": batch["modality"], "total": [round(float(v[0]), 4) for v in batch["embedding"]]})
+def _largest(batch: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"id": batch["id"], "modality": batch["modality"], "total": [round(float(np.max(v)), 4) for v in batch["embedding"]]})
 
 
 @query(
     "udf_transform_map",
-    check("emb", "SELECT id, modality, CASE WHEN modality = 'macro' THEN round(list_sum(embedding::DOUBLE[]) * 2, 4) ELSE round(embedding[1]::DOUBLE, 4) END AS total FROM emb"),
+    check("emb", "SELECT id, modality, CASE WHEN modality = 'macro' THEN round(list_sum(embedding::DOUBLE[]) * 2, 4) ELSE round(list_max(embedding)::DOUBLE, 4) END AS total FROM emb"),
 )
 def _(spark, sf):
     rows = view(spark, sf, "emb").select("id", "modality", "embedding")
-    return custom.map_items(rows, {"macro": _double, "micro": _first}, "id string, modality string, total double")
+    return custom.map_items(rows, {"macro": _double, "micro": _largest}, "id string, modality string, total double")
 
 
 def _make_scorer():
     def predict(vectors: np.ndarray) -> np.ndarray:
-        return vectors[:, :10] * np.float32(4.0)
+        return vectors * np.float32(4.0)
 
     return predict
 
 
 @query(
     "udf_batch_score",
-    check("", "SELECT vec_id, cast(list_position(s, list_max(s)) - 1 AS bigint) AS pred_label, round(1.0 / list_sum(list_transform(s, lambda x: exp((x - list_max(s)) * 4))), 4) AS confidence FROM f0", f0="SELECT vec_id, embedding[1:10]::DOUBLE[] AS s FROM embeddings"),
+    check("", "SELECT vec_id, cast(list_position(s, list_max(s)) - 1 AS bigint) AS pred_label, round(1.0 / list_sum(list_transform(s, lambda x: exp((x - list_max(s)) * 4))), 4) AS confidence FROM f0", f0="SELECT vec_id, embedding::DOUBLE[] AS s FROM embeddings"),
 )
 def _(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -90,7 +90,7 @@ def _(spark, sf):
 
 def _make_encoder():
     def encode(vectors: np.ndarray) -> np.ndarray:
-        return vectors[:, :16] - vectors[:, 16:32]
+        return vectors[:, :32] - vectors[:, 32:64]
 
     return encode
 
@@ -99,11 +99,11 @@ def _make_encoder():
     "udf_batch_embed",
     check(
         "",
-        "SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS first, round(v[16] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS last FROM f0",
-        f0="SELECT vec_id, list_transform(range(1, 17), lambda i: embedding[i]::DOUBLE - embedding[i + 16]::DOUBLE) AS v FROM embeddings",
+        "SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS first, round(v[32] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS last FROM f0",
+        f0="SELECT vec_id, list_transform(range(1, 33), lambda i: embedding[i]::DOUBLE - embedding[i + 32]::DOUBLE) AS v FROM embeddings",
     ),
 )
 def _(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     encoded = custom.embed(rows, _make_encoder, "embedding", 64)
-    return encoded.select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 4).alias("first"), F.round(F.element_at("embedding", 16).cast("double"), 4).alias("last"))
+    return encoded.select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 4).alias("first"), F.round(F.element_at("embedding", 32).cast("double"), 4).alias("last"))

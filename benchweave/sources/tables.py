@@ -42,9 +42,13 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = False) -> DataFrame:
-    """Header CSV with every value as text and blanks as "". ``columns`` gives the header up front, so nothing is probed."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = True, header: bool = True) -> DataFrame:
+    """Header CSV with every value as text and blanks as "". ``columns`` gives the header up front, so nothing is probed.
+
+    Quoted line breaks stay in their record, for which a file is read as a whole. Files known to hold none are read in
+    pieces with ``multiline=False``.
+    """
+    reader = spark.read.option("header", header).option("escape", '"').option("multiLine", multiline)
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).option("enforceSchema", False)
     return reader.csv(path).na.fill("")
@@ -81,24 +85,31 @@ def correction_rows(table: DataFrame, *keep: str) -> DataFrame:
     return table.select(F.col(source).alias("raw_name"), F.col(target).alias("corrected_name"), *keep)
 
 
-def load_corrections(spark: SparkSession, path: str | None = None, defaults: Mapping[str, str] | None = DEFAULT_CORRECTIONS) -> DataFrame:
-    """Defaults first, then the file; ``position`` lets later entries win."""
+def load_corrections(spark: SparkSession, path: str | None = None, defaults: Mapping[str, str] | None = DEFAULT_CORRECTIONS, headerless: bool = False) -> DataFrame:
+    """Defaults first, then the file; ``position`` lets later entries win.
+
+    With ``headerless``, a file without known headers holds data from its first row on, in its first two columns.
+    """
     schema = "raw_name string, corrected_name string, position bigint"
     base = spark.createDataFrame([(k, v, i - len(defaults or {})) for i, (k, v) in enumerate((defaults or {}).items())], schema)
     if path is None:
         return base
-    table = with_row_order(read_table(spark, path), "_position")
+    table = read_table(spark, path)
+    known = pick_header(table.columns, CORRECTION_SOURCE_HEADERS) and pick_header(table.columns, CORRECTION_TARGET_HEADERS)
+    if headerless and not known and len(table.columns) >= 2:
+        table = read_table(spark, path, header=False).withColumnsRenamed({"_c0": "raw_name", "_c1": "corrected_name"})
+    table = with_row_order(table, "_position")
     return base.unionByName(correction_rows(table, "_position").withColumnRenamed("_position", "position"))
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A processing log with its row position, for ``manifest.normalize_log``."""
-    return with_row_order(require_columns(read_table(spark, path), ["processed_path"]))
+    return with_row_order(require_columns(read_table(spark, path, multiline=multiline), ["processed_path"]))
 
 
-def read_manifest(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, numbered: bool = False, multiline: bool = True) -> DataFrame:
     """A manifest with its suggestions as an array; ``numbered`` adds dense row numbers over all files."""
-    table = read_table(spark, path)
+    table = read_table(spark, path, multiline=multiline)
     if numbered:
         table = with_row_order(table, "row_index")
     if "taxonomy_suggestions" in table.columns:

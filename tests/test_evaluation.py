@@ -106,6 +106,17 @@ def test_top_k_equals_brute_force_over_many_blocks(spark):
     assert small.groupBy("q_id").count().agg(F.max("count")).first()[0] == 2  # gallery smaller than k, itself left out
 
 
+def test_queries_sharing_an_id_stay_apart(spark):
+    q = spark.createDataFrame([("a", "S", "G", [1.0, 0.0]), ("a", "T", "H", [0.0, 1.0]), ("a", "T", "H", [0.0, 1.0])], EMB)
+    g = spark.createDataFrame([("x", "S", "G", [1.0, 0.1]), ("y", "T", "H", [0.1, 1.0]), ("a", "S", "G", [1.0, 0.0]), ("a", "S", "G", [0.0, 1.0])], EMB)
+    top = retrieval.top_k(q, g, 1).select("q_species", "g_id").collect()
+    assert sorted(map(tuple, top)) == [("S", "x"), ("T", "y"), ("T", "y")]
+    scored = retrieval.score_queries(q, g, 1).collect()
+    assert len(scored) == 3 and all(r["exact_r1"] == 1 and r["eligible_exact"] == 1 for r in scored)
+    alone = retrieval.eligible(q, g.where("id = 'a'")).collect()
+    assert len(alone) == 3 and not any(r["eligible_exact"] or r["eligible_genus"] for r in alone)
+
+
 def test_eligibility_and_errors(spark):
     q = spark.createDataFrame([("a", "S", "G", [1.0]), ("b", "T", "G", [1.0]), ("c", "U", "H", [1.0])], EMB)
     g = spark.createDataFrame([("a", "S", "G", [1.0]), ("d", "S", "G", [0.5])], EMB)

@@ -79,3 +79,7 @@ def test_vectors(spark):
     assert column(spark, [[1.0, 1.0, 0.0]], label, "array<double>") == [0]  # first of equals
     with pytest.raises(ValueError):
         V.feature_vector("other")
+    pooled = df.select(F.when(F.col("a")[0] > 0, F.col("a")).alias("pooled_feature"))
+    assert pooled.where("pooled_feature is not null").select(V.feature_vector("pooled").alias("v")).first()["v"] == [3.0, 4.0]
+    with pytest.raises(Exception, match="a row has no pooled_feature"):
+        pooled.select(V.feature_vector("pooled").alias("v")).collect()

@@ -33,6 +33,12 @@ def test_scan_and_tables(spark, tmp_path):
 
     fixes = {r["raw_key"]: r["corrected"] for r in correction_map(tables.load_corrections(spark, str(csv))).collect()}
     assert fixes["albizia zyia"] == "Khaya c" and fixes["bagassa guiamensis"] == "Bagassa guianensis"  # file over defaults, last wins
+    plain = tmp_path / "plain.csv"
+    plain.write_text('Kaya,"Khaya\nivorensis"\nAlbizia zyia,Albizia zygia,note\n', encoding="utf-8")
+    found = tables.load_corrections(spark, str(plain), {}, headerless=True).orderBy("position").collect()
+    assert [(r["raw_name"], r["corrected_name"]) for r in found] == [("Kaya", "Khaya\nivorensis"), ("Albizia zyia", "Albizia zygia")]
+    with pytest.raises(ValueError):
+        tables.load_corrections(spark, str(plain))
     with pytest.raises(ValueError):
         tables.correction_rows(spark.createDataFrame([("a",)], "other string"))
     with pytest.raises(ValueError):
