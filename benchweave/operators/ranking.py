@@ -22,12 +22,13 @@ MAX_BUCKETS = 256
 def range_bucket(df: DataFrame, order: Sequence, buckets: int | None = None) -> Column:
     """Bucket number that rises with ``order`` (ascending columns), from boundaries of a bounded hash sample.
 
-    The sample is the rows with the smallest hashes: exact in size, the same on every run, and taken with a
-    top-n that keeps only ``buckets * 32`` rows per task and on the driver.
+    The sample is the rows with the smallest hashes of order value and place, so that a value repeated over many keys
+    takes no more than its share: exact in size, and taken with a top-n that keeps only ``buckets * 32`` rows per task
+    and on the driver. Boundaries only decide how work is cut, never results.
     """
     count = buckets or spread(df, MAX_BUCKETS)
     key = F.struct(*[to_col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(count * SAMPLE_PER_BUCKET)
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k", F.monotonically_increasing_id())).limit(count * SAMPLE_PER_BUCKET)
     rows = [r["k"] for r in sample.orderBy("k").collect()]
     step = max(1, len(rows) // count)
     bounds = []

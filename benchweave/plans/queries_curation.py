@@ -329,7 +329,10 @@ def _summary_sql() -> str:
     return " UNION ALL ".join(per)
 
 
-@query("agg_taxonomy_summary", check("items catalogue", _summary_sql(), t=TAGGED))
+SUMMARY = _summary_sql()
+
+
+@query("agg_taxonomy_summary", check("items catalogue", SUMMARY, t=TAGGED))
 def _(spark, sf):
     return reports.taxonomy_summary(reports.name_profile(tagged_items(spark, sf)), catalogue(spark, sf))
 

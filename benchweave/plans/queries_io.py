@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from benchweave.operators import manifest as M
 from benchweave.operators import matching, splits
-from benchweave.plans.queries_curation import ROOT, catalogue
+from benchweave.plans.queries_curation import ROOT, SUMMARY, TAGGED, catalogue, tagged_items
 from benchweave.plans.queries_names import d_canon, d_clean
-from benchweave.plans.queries_splits import ROWS, rows
+from benchweave.plans.queries_splits import CLASS_COUNTS, ROWS, rows
 from benchweave.plans.registry import query
 from benchweave.plans.views import check, view
 from benchweave.schemas import MANIFEST_COLUMNS
@@ -153,3 +153,36 @@ def _(spark, sf):
     done = cut_lineage(rows(spark, sf))
     paths = sinks.write_splits(done, "P3", scratch(spark), splits.split_summary(done), splits.class_counts(done, "P3"))
     return tables.read_table(spark, paths["splits"]).select("protocol", "split", "item_id")
+
+
+@query("snk_split_counts", CLASS_COUNTS)
+def _(spark, sf):
+    """The class counts written next to the split files."""
+    done = cut_lineage(rows(spark, sf))
+    paths = sinks.write_splits(done, "P3", scratch(spark), splits.split_summary(done), splits.class_counts(done, "P3"))
+    back = tables.read_table(spark, f"{paths['class_counts']}/protocol=P3")
+    text = ("protocol", "split", "species", "protocol_group")
+    return back.select(*[F.col(c) if c in text else F.col(c).cast("bigint").alias(c) for c in back.columns])
+
+
+@query(
+    "snk_bundle_reports",
+    check(
+        "items catalogue",
+        f"""SELECT 'overlap' AS part, c.species AS name, count(t.image_path) AS n FROM catalogue c LEFT JOIN t ON t.matched_species_name = c.species GROUP BY c.species
+            UNION ALL SELECT 'uncertain', raw_species_name, count(*) FROM t
+            WHERE taxonomy_match_status IN ('genus_match_only', 'unmatched_with_close_candidates') OR taxonomy_suggestions <> '' GROUP BY raw_species_name
+            UNION ALL SELECT 'summary', section || '.' || item, value FROM ({SUMMARY})""",
+        t=TAGGED,
+    ),
+)
+def _(spark, sf):
+    """The overlap, uncertain and nested summary reports of a bundle, read back."""
+    tagged = tagged_items(spark, sf)
+    paths = sinks.write_bundle(tagged, catalogue(spark, sf), scratch(spark))
+    whole = lambda name: F.col(name).cast("bigint")
+    overlap = tables.read_table(spark, paths["overlap"]).select(F.lit("overlap").alias("part"), F.col("species").alias("name"), (whole("macro_image_count") + whole("micro_exact_image_count")).alias("n"))
+    uncertain = tables.read_table(spark, paths["uncertain"]).groupBy("raw_species_name").agg(F.sum(whole("image_count")).alias("n"))
+    summary = spark.read.schema("section string, figures map<string, bigint>").json(paths["summary"]).select("section", F.explode("figures").alias("item", "n"))
+    named = summary.select(F.lit("summary"), F.concat_ws(".", "section", "item"), "n")
+    return overlap.union(uncertain.select(F.lit("uncertain"), "raw_species_name", "n")).union(named)

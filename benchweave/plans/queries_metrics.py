@@ -270,9 +270,19 @@ def _(spark, sf):
     return history.early_stop(numbered(spark, sf), patience=12)
 
 
-@query("win_accepted_best")
+@query(
+    "win_accepted_best",
+    check(
+        "runs",
+        """SELECT run, epoch, metric FROM (WITH RECURSIVE walk AS (
+               SELECT run, epoch, metric, metric AS best, true AS fresh FROM hist WHERE epoch = 0
+               UNION ALL SELECT h.run, h.epoch, h.metric, CASE WHEN h.metric - w.best > 5.0 THEN h.metric ELSE w.best END, h.metric - w.best > 5.0
+               FROM walk w JOIN hist h ON h.run = w.run AND h.epoch = w.epoch + 1) SELECT * FROM walk) WHERE fresh""",
+        hist=D_HIST,
+    ),
+)
 def _(spark, sf):
-    """Bests under a minimum improvement of 5.0; the fold has no plain SQL, tests compare it with brute force."""
+    """Bests under a minimum improvement of 5.0."""
     return history.accepted_bests(numbered(spark, sf), 5.0)
 
 
