@@ -83,6 +83,12 @@ def weighted_mean(value, weight) -> Column:
     return F.when(total > 0, F.sum(to_col(value) * w) / total)
 
 
+def mean_loss(steps: DataFrame, keys: Sequence[str] = (), loss: str = "loss", size: str = "batch_size") -> DataFrame:
+    """Mean loss over batches, weighed by their samples; batches without a loss do not count, and NULL without any."""
+    counted = F.when(F.col(loss).isNotNull(), F.col(size))
+    return steps.groupBy(*keys).agg(weighted_mean(loss, counted).alias("mean_loss"), F.coalesce(F.sum(counted), F.lit(0)).alias("loss_weight"))
+
+
 def loss_means(steps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Running loss means over steps.
 

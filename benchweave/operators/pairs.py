@@ -44,6 +44,13 @@ def pair_relations(batches: DataFrame) -> DataFrame:
     return pairs.select("batch_id", F.col("a_id").alias("macro_id"), F.col("b_id").alias("micro_id"), how.alias("relation"))
 
 
+def exact_pairs(batches: DataFrame) -> DataFrame:
+    """The exact pairs alone: an equi-join on batch and species, which lists no other pair."""
+    side = lambda modality, name: batches.where(F.col("modality") == modality).select("batch_id", "species", F.col("id").alias(name))
+    both = side("macro", "macro_id").join(side("micro", "micro_id"), ["batch_id", "species"])
+    return both.select("batch_id", "macro_id", "micro_id", F.lit("exact").alias("relation"))
+
+
 def _label_counts(batches: DataFrame, label: Column) -> DataFrame:
     keyed = batches.withColumn("_label", label)
     return keyed.groupBy("batch_id", "genus", "_label").agg(

@@ -68,6 +68,19 @@ def _(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("top1_accuracy", "macro_f1", "balanced_accuracy")})
 
 
+@query(
+    "agg_mean_loss",
+    """SELECT o_orderpriority AS run, round(sum(o_totalprice * n) / sum(n), 2) AS mean_loss, coalesce(sum(n), 0) AS loss_weight
+       FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 64 END AS n FROM orders) GROUP BY 1""",
+)
+def _(spark, sf):
+    """Orders as batches: partly shipped ones have no loss."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    loss = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
+    steps = orders.select(F.col("o_orderpriority").alias("run"), loss.alias("loss"), (F.col("o_custkey") % 64).alias("batch_size"))
+    return metrics.mean_loss(steps, ["run"]).withColumn("mean_loss", F.round("mean_loss", 2))
+
+
 @query(
     "agg_branch_blend",
     check(

@@ -389,8 +389,7 @@ for _name, _policy in POLICY_QUERIES.items():
 
 @query("pol_exact", check("emb", "SELECT * FROM p WHERE relation = 'exact'", p=D_PAIRS))
 def _(spark, sf):
-    rows = pairs.pair_relations(view(spark, sf, "emb"))
-    return rows.where(pairs.is_positive("exact_only", F.col("relation")))
+    return pairs.exact_pairs(view(spark, sf, "emb"))
 
 
 @query("pol_active_pairs", check("emb", """SELECT a.batch_id, count(b.id) AS pairs, count(DISTINCT CASE WHEN b.id IS NOT NULL THEN a.id END) + count(DISTINCT b.id) AS anchors

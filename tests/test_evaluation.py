@@ -106,6 +106,12 @@ def test_top_k_equals_brute_force_over_many_blocks(spark):
     assert small.groupBy("q_id").count().agg(F.max("count")).first()[0] == 2  # gallery smaller than k, itself left out
 
 
+def test_mean_loss_skips_batches_without_one(spark):
+    steps = spark.createDataFrame([("a", 1.0, 2), ("a", 4.0, 1), ("a", None, 50), ("b", None, 3)], "run string, loss double, batch_size int")
+    assert sorted(map(tuple, metrics.mean_loss(steps, ["run"]).collect())) == [("a", 2.0, 3), ("b", None, 0)]
+    assert metrics.mean_loss(steps.limit(0)).first()["mean_loss"] is None
+
+
 def test_queries_sharing_an_id_stay_apart(spark):
     q = spark.createDataFrame([("a", "S", "G", [1.0, 0.0]), ("a", "T", "H", [0.0, 1.0]), ("a", "T", "H", [0.0, 1.0])], EMB)
     g = spark.createDataFrame([("x", "S", "G", [1.0, 0.1]), ("y", "T", "H", [0.1, 1.0]), ("a", "S", "G", [1.0, 0.0]), ("a", "S", "G", [0.0, 1.0])], EMB)
