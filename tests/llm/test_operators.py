@@ -364,6 +364,8 @@ def test_licences(spark):
         ]
     )
     assert license_scan.inherit(license_scan.scan(files.limit(0))).count() == 0
+    slim = license_scan.scan(files, keep_text=False)
+    assert slim.columns == ["path", *license_scan.OUTPUTS] and sorted(map(str, slim.collect())) == sorted(map(str, license_scan.scan(files).drop("text").collect()))
 
 
 def test_pipeline_small(spark):
