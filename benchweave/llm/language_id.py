@@ -4,7 +4,8 @@ Each language gets a zstandard raw-content dictionary of up to ``DICTIONARY_BYTE
 case, and its consecutive parts of ``PART_BYTES`` as dictionaries of their own.
 Training reads at most about ``SAMPLE`` texts a language, chosen by a hash of the text at a rate taken from the counted
 rows (copies count once); texts above ``LONGEST`` characters are left out of the dictionaries only. Every whole text is
-then compressed with each dictionary; the smallest output decides, ties go to the alphabetically first language.
+then compressed with each dictionary in blocks of at most ``BLOCK_BYTES``, each block anew, so that all of a long text
+counts alike; the smallest sum over its blocks decides, ties go to the alphabetically first language.
 
 ``lang_pred`` is the winner, or ``und`` for null text, text without a letter, and when nothing was learned. ``score`` is the
 softmax share of the winner over the compressed sizes. ``rejected`` marks winners whose relative margin over the second
@@ -30,6 +31,7 @@ SAMPLE = 300
 LONGEST = 20_000
 DICTIONARY_BYTES = 512 * 1024
 PART_BYTES = 64 * 1024
+BLOCK_BYTES = 16 * 1024
 NARROW_BYTES, NARROW_SHARE = 12, 0.02
 SEARCH = {"window_log": 20, "hash_log": 17, "chain_log": 17, "search_log": 4, "target_length": 32, "write_content_size": 0}
 OUTPUTS = ("lang_pred", "score", "rejected")
@@ -70,6 +72,20 @@ def _compressors(dictionaries: dict[str, bytes]) -> list[tuple]:
     return [(_compressor(c, False), [_compressor(c[a : a + PART_BYTES], True) for a in starts]) for c in dictionaries.values()]
 
 
+def _blocks(raw: bytes) -> list[bytes]:
+    """``raw`` in about equal blocks of at most ``BLOCK_BYTES``, cut before a blank where one is near, never in a character."""
+    if len(raw) <= BLOCK_BYTES:
+        return [raw]
+    n, cuts = -(-len(raw) // (BLOCK_BYTES - 1024)), [0]
+    for i in range(1, n):
+        cut = i * len(raw) // n
+        blank = max(raw.rfind(b" ", cut - 512, cut), raw.rfind(b"\n", cut - 512, cut))
+        while blank < 0 and raw[cut] & 0xC0 == 0x80:
+            cut -= 1
+        cuts.append(cut if blank < 0 else blank)
+    return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+
+
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = 0.02) -> DataFrame:
     base = docs.drop(*OUTPUTS)
     names, at = list(dictionaries), base.columns.index(text)
@@ -78,11 +94,11 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     def judge(compressors: list[list], value: str | None) -> tuple[str, float, bool]:
         if not names or value is None or not _LETTER.search(value):
             return "und", 0.0, True
-        raw = value.lower().encode()
-        sizes = np.array([len(own[0].compress(raw)) for own in compressors], dtype=float)
+        blocks = _blocks(value.lower().encode())
+        sizes = np.array([sum(len(own[0].compress(b)) for b in blocks) for own in compressors], dtype=float)
         lead = np.partition(sizes, 1)[:2] if len(sizes) > 1 else np.array([0, np.inf])
         if lead[1] - lead[0] < max(NARROW_BYTES, NARROW_SHARE * lead[0]):
-            sizes = np.array([np.mean([len(c.compress(raw)) for c in own[1]]) for own in compressors])
+            sizes = np.array([np.mean([sum(len(c.compress(b)) for b in blocks) for c in own[1]]) for own in compressors])
         best = int(np.argmin(sizes))
         score = 1 / np.exp(np.minimum(0, -(sizes - sizes[best]) / 4)).sum()
         rest = np.delete(sizes, best)

@@ -298,6 +298,24 @@ def test_language(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_language_of_long_texts(spark):
+    """All of a long text counts, in whichever order two languages stand; blocks join up to the whole."""
+    rng = random.Random(16)
+    alphabets = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ei", "der"]}
+
+    def text(lang, size):
+        return " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(1, 4))) for _ in range(size // 7))
+
+    train = spark.createDataFrame([(i, text(lang, 2000), lang, None, None) for i, lang in enumerate(list(alphabets) * 100)], SCHEMA)
+    small, large = text("aa", 500_000), text("bb", 1_500_000)
+    docs = spark.createDataFrame([(1, small + " " + large, None, None, None), (2, large + " " + small, None, None, None)], SCHEMA)
+    got = language_id.classify(docs, language_id.learn(train)).collect()
+    assert [r.lang_pred for r in got] == ["bb", "bb"]
+    for raw in ("x" * 50_000, "日本é" * 20_000, "ab cd\n" * 9000, "", "x" * language_id.BLOCK_BYTES):
+        blocks = language_id._blocks(raw.encode())
+        assert "".join(b.decode() for b in blocks) == raw and max(map(len, blocks)) <= language_id.BLOCK_BYTES
+
+
 def test_quality(spark):
     rng = random.Random(7)
     good = [(i, " ".join(words_of(rng, 30).capitalize().split()), 1) for i in range(120)]
