@@ -2,9 +2,9 @@
 
 Each language gets a zstandard raw-content dictionary of up to ``DICTIONARY_BYTES`` bytes, made of training texts in lower
 case, and its consecutive parts of ``PART_BYTES`` as dictionaries of their own.
-Training reads at most about ``SAMPLE`` texts a language, chosen by a hash of the text at a rate taken from the counted
-rows (copies count once); texts above ``LONGEST`` characters are left out of the dictionaries only. Every whole text is
-then compressed with each dictionary in blocks of at most ``BLOCK_BYTES``, each block anew, so that all of a long text
+Training takes the ``SAMPLE`` distinct texts of each language with the smallest hashes, so copies count once and every
+labelled language with a text is learned; of a text above ``LONGEST`` characters it takes an excerpt of that length,
+placed by the hash. Every whole text is then compressed with each dictionary in blocks of at most ``BLOCK_BYTES``, each block anew, so that all of a long text
 counts alike; the smallest sum over its blocks decides, ties go to the alphabetically first language.
 
 ``lang_pred`` is the winner, or ``und`` for null text, text without a letter, and when nothing was learned. ``score`` is the
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,23 +38,32 @@ OUTPUTS = ("lang_pred", "score", "rejected")
 _LETTER = regex.compile(r"\p{L}")
 
 
+def _cut(share: float) -> int:
+    """The signed 64-bit hash below which about ``share`` of all hashes lie."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict[str, bytes]:
     """Language to dictionary content, from labelled rows."""
-    fit = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r["lang"]: r["count"] for r in fit.groupBy(F.col(lang).alias("lang")).count().collect()}
-    if not counts:
-        return {}
-    rate = F.lit(0.0)
-    for name, n in counts.items():
-        rate = F.when(F.col(lang) == name, min(1.0, sample / n)).otherwise(rate)
-    draw = F.xxhash64(F.lit(5), F.col(text))
-    rows = fit.where(F.length(text).between(1, LONGEST)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"), rate.alias("rate"))
-    drawn = rows.where(F.pmod("draw", F.lit(1 << 20)) < F.col("rate") * (1 << 20)).groupBy("lang", "draw").agg(F.first("text").alias("text"))
-    found: dict[str, list[bytes]] = {name: [] for name in counts}
-    for r in drawn.orderBy("draw").limit(2 * sample * len(counts)).collect():
-        found[r["lang"]].append(r["text"].lower().encode())
-    contents = {name: b"\n".join(texts)[:DICTIONARY_BYTES] for name, texts in sorted(found.items())}
-    return {name: content for name, content in contents.items() if content}
+    fit = docs.where((F.length(text) > 0) & F.col(lang).isNotNull())
+    rows = fit.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(5), F.col(text)).alias("draw"))
+    distinct = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
+    cuts = {name: _cut(min(1.0, 2 * sample / n)) for name, n in distinct.items()}
+    found: dict[str, list[bytes]] = {}
+    excerpt = F.expr(f"substring(text, cast(pmod(draw, greatest(length(text) - {LONGEST}, 0) + 1) as int) + 1, {LONGEST})")
+    # Twice the sample lies below the cut; a language whose estimate was far too high is read again as a whole.
+    while cuts:
+        below = F.lit(False)
+        for name, cut in cuts.items():
+            below = below | ((F.col("lang") == name) & (F.col("draw") <= cut))
+        drawn = rows.where(below).select("lang", "draw", excerpt.alias("text")).groupBy("lang", "draw").agg(F.first("text").alias("text"))
+        least = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("place") <= sample)
+        got: dict[str, list[bytes]] = {name: [] for name in cuts}
+        for r in least.orderBy("lang", "draw").collect():
+            got[r["lang"]].append(r["text"].lower().encode())
+        found |= got
+        cuts = {name: _cut(1.0) for name, cut in cuts.items() if cut < _cut(1.0) and len(got[name]) < sample}
+    return {name: b"\n".join(texts)[:DICTIONARY_BYTES] for name, texts in sorted(found.items())}
 
 
 def _compressor(content: bytes, thorough: bool) -> zstandard.ZstdCompressor:

@@ -298,6 +298,19 @@ def test_language(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_language_learned(spark):
+    """Languages of mostly copies and of only long texts are learned, from the smallest hashes among distinct texts."""
+    copies = spark.range(200_000).select(F.lit("mi tu mi lo").alias("text"), F.lit("aa").alias("lang"))
+    few = [(f"ka lo {i}", "aa") for i in range(40)] + [("sch ung " * 5000 + str(i), "bb") for i in range(3)] + [("", "cc"), (None, "cc"), ("oi", None)]
+    docs = copies.union(spark.createDataFrame(few, "text string, lang string"))
+    content = language_id.learn(docs)
+    assert sorted(content) == ["aa", "bb"]
+    assert Counter(content["aa"].decode().split("\n")) == Counter(["mi tu mi lo", *(t for t, lang in few if lang == "aa")])
+    assert [len(t) for t in content["bb"].decode().split("\n")] == [language_id.LONGEST] * 3
+    order = [r.text for r in docs.where("lang = 'aa'").distinct().orderBy(F.xxhash64(F.lit(5), "text")).collect()]
+    assert language_id.learn(docs, sample=7)["aa"].decode().split("\n") == order[:7]
+
+
 def test_language_of_long_texts(spark):
     """All of a long text counts, in whichever order two languages stand; blocks join up to the whole."""
     rng = random.Random(16)
