@@ -1,10 +1,12 @@
 """Licence scans: sparse TF-IDF cosine of every line with licence templates, then inheritance from ancestor folders.
 
-Every line of every whole text is a unit, so headers are found wherever they stand. A unit's vector holds term counts
-times inverse document frequency over all units of the input. Only the templates' own words need counting (a bounded
-vocabulary); every occurrence of another word counts as a term of its own with the largest weight, which can only lower
-a cosine. A unit can reach the threshold only if the share of its length that lies in template words does, which leaves a
-few units for the full product. The best template of a text's best line is its licence, ties in template order.
+Units of every whole text are its lines, its sentences (across lines), and the windows of each template's number of words
+at every word (templates of ``LEAST_WINDOW`` words or more and SPDX forms; other short ones only match whole lines and sentences), so notices
+are found within longer lines and paragraphs, and headers and short licences over many lines. A unit's vector holds term counts
+times inverse document frequency over all lines of the input. Only the templates' own words need counting (a bounded
+vocabulary); every occurrence of another word counts as a term of its own with the largest weight. Cheap upper bounds of
+the cosine leave a few units for the full product. The template of a text's best unit is its licence, ties in template
+order; ``SHARED`` templates only count where no other is found. ``licence_lines`` counts the lines that such units touch.
 
 Files marked as licence files speak for their folder (its most frequent licence, ties alphabetically). A file without a
 licence of its own takes that of the nearest folder above it: folders are joined to their ancestors by path, once per
@@ -27,20 +29,86 @@ from pyspark.sql import types as T
 from benchweave.llm.words import Words, text_slices
 
 THRESHOLD = 0.75
+LEAST_WINDOW = 3
 OUTPUTS = ("own_licence", "score", "licence_lines", "licence_first")
 
-# Usual notices of public licences.
+_GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+_WARRANTY = "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+)
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+_FSF = "GNU {title} Version {version} Copyright (C) {year} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+# Openings that several licences share, and a reservation that stands beside any: they only count where nothing else is found.
+SHARED = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("Proprietary", "All rights reserved."),
+]
+_NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "MIT": ["MIT License"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPL v3"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPL v2"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "ISC": ["ISC License"],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+}
+_CC = {f"CC-{kind}-4.0": f"CC {kind} 4.0" for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")}
+_GNU_KINDS = [
+    ("GPL-3.0", "program", "General Public License", "3", "3, 29 June 2007", "2007"),
+    ("GPL-2.0", "program", "General Public License", "2", "2, June 1991", "1989, 1991"),
+    ("LGPL-3.0", "library", "Lesser General Public License", "3", "3, 29 June 2007", "2007"),
+    ("LGPL-2.1", "library", "Lesser General Public License", "2.1", "2.1, February 1999", "1991, 1999"),
+    ("AGPL-3.0", "program", "Affero General Public License", "3", "3, 19 November 2007", "2007"),
+]
+# Short notices, SPDX forms, headers, openings of licence files, and whole short licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MIT", _MIT),
+    ("BSD-2-Clause", _BSD + _AS_IS),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS),
+    ("ISC", _ISC),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Proprietary", "All rights reserved."),
+    ("MPL-2.0", _MPL),
+    *((key, _GNU.format(what=what, name=name, version=version)) for key, what, name, version, _, _ in _GNU_KINDS),
+    *((key, f"{_GNU} {_WARRANTY}".format(what=what, name=name, version=version)) for key, what, name, version, _, _ in _GNU_KINDS),
+    *((key, _FSF.format(title=name, version=dated, year=year)) for key, _, name, _, dated, year in _GNU_KINDS),
+    *((key, f"Licensed under {name}") for key, name in _CC.items()),
+    *((key, f"{how} under the {name}") for key, names in _NAMES.items() for name in names for how in ("licensed", "released")),
+    *((key, f"{how} under the terms of the {name}") for key, names in _NAMES.items() for name in names[:1] for how in ("licensed", "distributed")),
+    *((key, name) for key, names in _NAMES.items() for name in names),
+    *((key, f"SPDX-License-Identifier: {form}") for key in [*_NAMES, *_CC] for form in ([f"{key}-only", f"{key}-or-later", key] if "GPL" in key else [key])),
+    *SHARED,
 ]
 
 _PUNCTUATION = np.zeros(256, dtype=bool)
@@ -50,6 +118,9 @@ _PUNCTUATION[list(b".,;:!?()[]{}\"'*#/<>")] = True
 def _units(texts: pa.Array) -> tuple[Words, np.ndarray]:
     """Words without outer punctuation, in lower case, and the number of the line each one is on."""
     words = Words(texts, lower=True)
+    row = words.rows()
+    last = np.isin(words.data[words.ends - 1], np.frombuffer(b".!?", dtype=np.uint8))
+    words.sentence = np.cumsum(np.concatenate([[False], last[:-1] | (np.diff(row) > 0)])) if len(row) else row
     for _ in range(3):
         words.ends = words.ends - (_PUNCTUATION[words.data[words.ends - 1]] & (words.ends - words.starts > 1))
         words.starts = words.starts + (_PUNCTUATION[words.data[words.starts]] & (words.ends - words.starts > 1))
@@ -60,7 +131,7 @@ def _units(texts: pa.Array) -> tuple[Words, np.ndarray]:
 class Matcher:
     """Templates as unit vectors over their sorted word hashes."""
 
-    def __init__(self, templates: list[tuple[str, str]], counts: dict[int, int], units: int):
+    def __init__(self, templates: list[tuple[str, str]], counts: dict[int, int], units: int, threshold: float = THRESHOLD):
         words, _ = _units(pa.array([t for _, t in templates], pa.string()))
         self.names = [n for n, _ in templates]
         self.vocabulary, term = np.unique(words.hashes, return_inverse=True)
@@ -71,13 +142,25 @@ class Matcher:
         np.add.at(vectors, (words.rows(), term), 1)
         vectors *= self.idf
         self.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.lengths = words.counts
+        self.sliding = [n >= LEAST_WINDOW or t.startswith("SPDX-") for n, (_, t) in zip(words.counts.tolist(), templates, strict=True)]
+        self.weak = np.array([t in SHARED for t in templates])
+        # A word's part of a template's product, and of the square of its unit's length; the last row is for other words.
+        self.gain = np.vstack([(self.vectors * self.idf).T, np.zeros(len(templates))]).T.copy()
+        # Without any of a template's heaviest words, the others cannot reach the threshold.
+        heaviest = np.argsort(-self.vectors, axis=1, kind="stable")
+        squared = np.take_along_axis(self.vectors, heaviest, axis=1) ** 2
+        left = 1 - np.cumsum(squared, axis=1) + squared  # of a word and those lighter than it
+        self.anchors = np.zeros((len(templates), len(self.vocabulary) + 1), dtype=bool)
+        np.put_along_axis(self.anchors, heaviest, (left >= threshold**2 - 1e-9) & (squared > 0), axis=1)
+        self.square = np.append(self.idf**2, self.rare**2)
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
     def best(self, words: Words, line: np.ndarray, threshold: float):
-        """Row, line number, template and cosine of the lines that reach ``threshold``."""
+        """First and last word, template and cosine of the units (``line`` numbers them) that reach ``threshold``."""
         term = self.terms(words.hashes)
         units, unit = np.unique(line, return_inverse=True)
         known = term >= 0
@@ -94,8 +177,44 @@ class Matcher:
         top = cosine.argmax(axis=1) if len(at) else np.zeros(0, dtype=int)
         score = cosine[np.arange(len(at)), top]
         good = score >= threshold
-        first_word = np.searchsorted(line, units[at[good]])
-        return words.rows()[first_word], first_word, top[good], np.minimum(1.0, score[good])
+        first_word, after = np.searchsorted(line, units[at[good]]), np.searchsorted(line, units[at[good]], side="right")
+        return list(zip(first_word.tolist(), (after - 1).tolist(), top[good].tolist(), np.minimum(1.0, score[good]).tolist(), strict=True))
+
+    def windows(self, words: Words, threshold: float) -> list[tuple[int, int, int, float]]:
+        """The same for windows of each template's number of words, at every word and across lines.
+
+        Product and squared length are sums over the words as long as none repeats; repeats only lengthen a window, so
+        these running sums bound the cosine from above, and the windows left are computed one by one. Only windows with
+        one of the template's heaviest words are looked at.
+        """
+        term, out = self.terms(words.hashes), []
+        row = words.rows()
+        squares = np.concatenate([[0], np.cumsum(self.square[term])])
+        marked = np.flatnonzero(self.anchors.any(axis=0)[term])
+        for t, n in enumerate(self.lengths.tolist()):
+            at = marked[self.anchors[t][term[marked]]] if self.sliding[t] else marked[:0]
+            if not len(at):
+                continue
+            if 2 * n * len(at) < len(term):
+                starts = np.unique(np.maximum((at[:, None] - np.arange(n)).ravel(), np.repeat(words.offsets[:-1][row[at]], n)))
+                near = np.unique(np.clip((at[:, None] + np.arange(1 - n, n)).ravel(), 0, len(term) - 1))
+            else:
+                starts = near = np.arange(len(term))
+            stop = np.minimum(starts + n, words.offsets[1:][row[starts]])
+            products = np.concatenate([[0], np.cumsum(self.gain[t][term[near]])])
+            product = products[np.searchsorted(near, stop)] - products[np.searchsorted(near, starts)]
+            hopeful = (product > 0) & (product >= threshold * np.sqrt(squares[stop] - squares[starts]) - 1e-6)
+            for i, end in zip(starts[hopeful].tolist(), stop[hopeful].tolist(), strict=True):
+                inside = term[i:end]
+                known, times = np.unique(inside[inside >= 0], return_counts=True)
+                length = ((times * self.idf[known]) ** 2).sum() + (inside < 0).sum() * self.rare**2
+                score = (times * self.gain[t][known]).sum() / np.sqrt(length)
+                if score >= threshold:
+                    out.append((i, end - 1, t, min(1.0, float(score))))
+        return out
+
+    def found(self, words: Words, line: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
+        return self.best(words, line, threshold) + self.best(words, words.sentence, threshold) + self.windows(words, threshold)
 
 
 def _count_terms(templates: list[tuple[str, str]]):
@@ -128,18 +247,25 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
     fields = [f for i, f in enumerate(base.schema.fields) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, counts, units)
+        matcher = Matcher(templates, counts, units, threshold)
         for batch in batches:
             for a, b in text_slices(batch.column(at)):
                 part = batch.slice(a, b - a)
                 words, line = _units(part.column(at))
-                row, word, top, score = matcher.best(words, line, threshold)
                 name, best, first = [None] * (b - a), np.zeros(b - a), np.zeros(b - a, dtype=bool)
-                for r, w, t, s in zip(row.tolist(), word.tolist(), top.tolist(), score.tolist(), strict=True):
-                    first[r] |= w == words.offsets[r]
-                    if s > best[r]:
-                        name[r], best[r] = matcher.names[t], s
-                lines = np.bincount(row, minlength=b - a)
+                ranks: list[tuple] = [()] * (b - a)
+                marked, row = np.zeros(len(line) + 1, dtype=np.int64), words.rows()
+                for w, last, t, s in matcher.found(words, line, threshold):
+                    r = row[w]
+                    first[r] |= line[w] == line[words.offsets[r]]
+                    marked[w] += 1
+                    marked[last + 1] -= 1
+                    rank = (not matcher.weak[t], round(s, 9), -t)
+                    if rank > ranks[r]:
+                        name[r], best[r], ranks[r] = matcher.names[t], s, rank
+                covered = np.cumsum(marked[:-1]) > 0
+                _, one = np.unique(line[covered], return_index=True)
+                lines = np.bincount(row[covered][one], minlength=b - a)
                 kept = part if keep_text else pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at], [f.name for f in fields])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(name, pa.string()), pa.array(best), pa.array(lines, pa.int64()), pa.array(first)], [*kept.schema.names, *OUTPUTS])
 

@@ -399,6 +399,36 @@ def test_licences(spark):
     assert slim.columns == ["path", *license_scan.OUTPUTS] and sorted(map(str, slim.collect())) == sorted(map(str, license_scan.scan(files).drop("text").collect()))
 
 
+def test_licences_within_texts(spark):
+    """Notices in longer lines and paragraphs, over line breaks, SPDX forms, headers and whole licences."""
+    rng = random.Random(12)
+    around = [words_of(rng, 80), words_of(rng, 80)]
+    full = {n: t for n, t in license_scan.TEMPLATES if len(t.split()) > 100}
+
+    def wrapped(text):
+        w = text.split()
+        return "\n".join("# " + " ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+
+    cases = [
+        ("Copyright 2020 Foo Inc. All rights reserved.", "Proprietary", 1),
+        ("This software is released under the MIT License, see the file LICENSE for details", "MIT", 1),
+        (f"{around[0]} Licensed under the Apache License, Version 2.0. {around[1]}", "Apache-2.0", 1),
+        (f"{around[0]} released\nunder the MIT\nLicense. {around[1]}", "MIT", 3),
+        (f"{around[0]}\n# SPDX-License-Identifier: GPL-2.0-or-later\n{around[1]}", "GPL-2.0", 1),
+        (f"{around[0]} /* SPDX-License-Identifier: MIT */ {around[1]}", "MIT", 1),
+        ("MIT License\n\nCopyright (c) 2020 Foo. All rights reserved.\n\n" + wrapped(full["MIT"]), "MIT", None),
+        ("Copyright (c) 2020, Foo. All rights reserved.\n" + wrapped(full["BSD-2-Clause"]), "BSD-2-Clause", None),
+        ("Copyright (c) 2020, Foo. All rights reserved.\n" + wrapped(full["BSD-3-Clause"]), "BSD-3-Clause", None),
+        (wrapped(license_scan._GNU.format(what="program", name="General Public License", version="2")), "GPL-2.0", None),
+        (around[0], None, 0),
+        (f"{around[0]} mit der {around[1]} all the rights of the", None, 0),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string").coalesce(1)
+    got = sorted(license_scan.scan(docs).collect(), key=lambda r: r.doc_id)
+    assert [r.own_licence for r in got] == [c[1] for c in cases]
+    assert all(r.licence_lines == c[2] for r, c in zip(got, cases, strict=True) if c[2] is not None)
+
+
 def test_pipeline_small(spark):
     """Each filter takes effect on a small table and the last stage packs what is left."""
     import corpus_pipeline
