@@ -3,7 +3,7 @@
 Method: size-banded tiles with hashed bitmap signatures.
 
 1. Texts with equal shingle sets become one set (a count per 64-bit set digest), whatever their number.
-2. Sizes fall into geometric bands; a set also visits the next band if a partner there is possible. In its band every
+2. Sizes fall into geometric bands; a set also visits every higher band in which a partner is possible. In its band every
    set is cut by hash into ``k`` parts, ``k`` above the largest symmetric difference that two linked sets of the band can
    have, so linked sets agree in one whole part. A part that is empty only counts where a set has too many of those for
    the argument to hold. Parts with the same holders are looked at once.
@@ -66,7 +66,10 @@ def bands_of(size: int, num: int, den: int) -> list[int]:
     while round(BAND**band) > size:
         band -= 1
     # A partner may hold up to size * den / num elements.
-    return [band, band + 1] if size * den >= num * round(BAND ** (band + 1)) else [band]
+    last = band
+    while round(BAND ** (last + 1)) * num <= size * den:
+        last += 1
+    return list(range(band, last + 1))
 
 
 def part_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:

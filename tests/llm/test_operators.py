@@ -147,6 +147,16 @@ def test_part_keys_meet():
                 assert np.intersect1d(ngram_jaccard.part_keys(a, num, 100), ngram_jaccard.part_keys(b, num, 100)).size
 
 
+@pytest.mark.parametrize("num", [50, 60])
+def test_part_keys_meet_far_bands(num):
+    """Low similarities: subsets of every size that links still share a key, several bands apart too."""
+    rng = np.random.default_rng(8)
+    for size in range(2, 120):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for small in range(-(-num * size // 100), size):
+            assert np.intersect1d(ngram_jaccard.part_keys(a, num, 100), ngram_jaccard.part_keys(a[:small], num, 100)).size, (small, size)
+
+
 def test_lexicon(tmp_path):
     rng = random.Random(2)
     words = list({words_of(rng, 1).encode() for _ in range(500)} | {b"", b"abc", b"abcd", bytes([255, 0])})
