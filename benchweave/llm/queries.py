@@ -8,11 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchweave.llm import bpe, embedding_dedup, exact_dedup, language_id, license_scan, ngram_jaccard, packing, quality, substring_dedup, url_filters
+from benchweave.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    hard_negatives,
+    language_id,
+    license_scan,
+    ngram_jaccard,
+    packing,
+    quality,
+    sentence_pieces,
+    substring_dedup,
+    url_filters,
+    whitening,
+)
 from benchweave.llm.staging import stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +124,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), keep_text=False)
     files = stage(scanned.withColumn("speaks", F.col("own_licence").isNotNull()), "licence-files")
     return license_scan.inherit(files, speaks="speaks").select("doc_id", "path", "own_licence", "score", "licence_lines", "licence", "licence_from")
+
+
+@query("op11_sentence_pieces")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), PIECE_BPE, keep=False)
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH p AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda c: coalesce(isfinite(c), false))) = len(embedding)
+    ), s AS (
+        SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+        FROM p a JOIN p b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+    ), pos AS (
+        SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+    ), neg AS (
+        SELECT pos.a, pos.b AS positive, pos.score AS positive_score, s.b AS negative, s.score AS negative_score,
+               row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY s.score DESC, s.b) AS rank
+        FROM pos JOIN s ON s.a = pos.a AND NOT s.same AND 50 * pos.score <= 100 * s.score AND 100 * s.score <= 95 * pos.score
+    )
+    SELECT a AS anchor_id, positive AS positive_id, rank, negative AS negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantised(vectors, F.col("vec_id") % 50 == 0, label))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding")).withColumn("deviation", F.col("deviation").cast("long"))
