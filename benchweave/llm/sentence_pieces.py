@@ -5,7 +5,7 @@ word. Texts are cut there (and beside characters that no piece joins to their ne
 whole input is segmented once, and its ids are joined back by position:
 
 1. Tasks cut whole texts into blocks of about ``BLOCK`` bytes. A block is one row: for every position the number of the
-   chunk that stands there, and its distinct chunks, dealt to buckets by hash. The number of buckets follows the input's
+   chunk that stands there (small ones for frequent chunks), and its distinct chunks, dealt to buckets by hash. The number of buckets follows the input's
    size, so that a bucket's distinct chunks fit a task.
 2. Each bucket gathers its chunks from all blocks and segments every distinct one once. A chunk comes at most once a
    block, so that very frequent words weigh no more than others.
@@ -24,6 +24,7 @@ import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ MARK = "▁"
 BLOCK = 16 << 20
 PER_BUCKET = 32 << 20
 _NORMAL, _USER_DEFINED, _BYTE, _BPE = 1, 4, 6, 2
+_HEAD = ("keys", "counts", "places", "spans")
 
 
 class Pieces:
@@ -103,11 +105,20 @@ def _pieces(path: str) -> Pieces:
     return _WORKERS[path]
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """All low bytes, then all second bytes and so on, which compresses better than number by number."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _cut_blocks(path: str, block_bytes: int, buckets: int, key_type: pa.DataType):
-    part_type = pa.list_(pa.struct([("bucket", pa.int32()), ("chunks", pa.string())]))
+    part_type = pa.list_(pa.struct([("bucket", pa.int32()), ("chunks", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, pack = _pieces(path), zstandard.ZstdCompressor(level=1)
+        pieces, pack = _pieces(path), zstandard.ZstdCompressor(level=3)
         # Numbers are unique in the staged table, which holds one attempt of every task.
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -120,22 +131,27 @@ def _cut_blocks(path: str, block_bytes: int, buckets: int, key_type: pa.DataType
                     chunks = pieces.cut(text.as_py())
                     counts.append(len(chunks))
                     places.append(np.fromiter(map(number.__getitem__, chunks), dtype="<u4", count=len(chunks)))
-                dealt = defaultdict(list)
-                for chunk in sorted(number):
-                    dealt[zlib.crc32(chunk.encode()) % buckets].append(chunk)
-                # Chunks are numbered anew in the order in which their ids will return.
-                order = [c for bucket in sorted(dealt) for c in dealt[bucket]]
+                whole = np.concatenate(places)
+                # The more frequent, the smaller the new number: by powers of two, then by bucket and text.
+                power = np.frexp(np.bincount(whole, minlength=len(number)))[1].tolist()
+                order = sorted((-power[i], zlib.crc32(c.encode()) % buckets, c) for c, i in number.items())
                 again = np.empty(len(order), dtype="<u4")
-                again[[number[c] for c in order]] = np.arange(len(order), dtype="<u4")
+                again[[number[c] for *_, c in order]] = np.arange(len(order), dtype="<u4")
+                dealt, spans = defaultdict(list), []
+                for (_, bucket), run_of in groupby(order, key=lambda o: o[:2]):
+                    own = [c for *_, c in run_of]
+                    dealt[bucket] += own
+                    spans.append((bucket, len(own)))
                 columns = [
                     pa.array([block], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), keys.slice(a, b - a)).cast(pa.list_(key_type)),
                     pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([pack.compress(again[np.concatenate(places)].tobytes())], pa.binary()),
+                    pa.array([pack.compress(_planes(again[whole]))], pa.binary()),
+                    pa.array([pack.compress(np.array(spans, dtype="<u4").tobytes())], pa.binary()),
                     # A chunk holds marks in place of blanks, so that a blank can stand between chunks.
-                    pa.array([[{"bucket": k, "chunks": " ".join(dealt[k])} for k in sorted(dealt)]], part_type),
+                    pa.array([[{"bucket": k, "chunks": pack.compress(" ".join(dealt[k]).encode())} for k in sorted(dealt)]], part_type),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "keys", "counts", "places", "parts"])
+                yield pa.RecordBatch.from_arrays(columns, ["block", *_HEAD, "parts"])
                 block += 1
 
     return run
@@ -145,13 +161,13 @@ def _segment(path: str):
     """Rows come sorted by bucket; each bucket's distinct chunks are segmented when they are first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, pack = _pieces(path), zstandard.ZstdCompressor(level=1)
+        pieces, pack, unpack = _pieces(path), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         current, known = None, {}
         for batch in batches:
             for block, bucket, joined in zip(*(batch.column(n).to_pylist() for n in ("block", "bucket", "chunks")), strict=True):
                 if bucket != current:
                     current, known = bucket, {}
-                chunks = joined.split(" ")
+                chunks = unpack.decompress(joined).decode().split(" ")
                 new = [c for c in chunks if c not in known]
                 known.update(zip(new, [np.array(i, dtype=pieces.id_type).tobytes() for i in pieces.ids(new)], strict=True))
                 ids = [known[c] for c in chunks]
@@ -166,14 +182,24 @@ def _place(path: str, key_type: pa.DataType, keep: bool):
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
     types = [key_type, pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if keep else [])]
 
-    def finish(pieces: Pieces, head: dict, sizes: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
-        sizes_of = np.frombuffer(b"".join(sizes), dtype="<u4").astype(np.int64)
-        flat = np.frombuffer(b"".join(ids), dtype=pieces.id_type).tolist()
+    def finish(pieces: Pieces, head: dict, sizes: dict[int, np.ndarray], ids: dict[int, np.ndarray]) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor()
+        spans = np.frombuffer(unpack.decompress(head["spans"]), dtype="<u4").reshape(-1, 2).tolist()
+        # Buckets hold their chunks in the order of the block's numbers, span by span.
+        done, parts, lists = dict.fromkeys(sizes, (0, 0)), [], []
+        for bucket, n in spans:
+            at, ids_at = done[bucket]
+            own = sizes[bucket][at : at + n]
+            parts.append(own)
+            lists.append(ids[bucket][ids_at : ids_at + own.sum()])
+            done[bucket] = (at + n, ids_at + int(own.sum()))
+        sizes_of = np.concatenate([*parts, np.zeros(0, dtype=np.int64)])
+        flat = np.concatenate([*lists, np.zeros(0, dtype=pieces.id_type)]).tolist()
         cuts = np.concatenate([[0], np.cumsum(sizes_of)]).tolist()
         texts, raw = list(map(pieces.id_texts.__getitem__, flat)), list(map(pieces.id_bytes.__getitem__, flat))
         listed_of = [",".join(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         decoded_of = [b"".join(raw[a:b]).decode("utf-8", errors="replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        places = np.frombuffer(zstandard.ZstdDecompressor().decompress(head["places"]), dtype="<u4")
+        places = _from_planes(unpack.decompress(head["places"]))
         columns: list[list] = [[] for _ in names]
         start = 0
         for key, n in zip(head["keys"], head["counts"], strict=True):
@@ -191,17 +217,16 @@ def _place(path: str, key_type: pa.DataType, keep: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, unpack = _pieces(path), zstandard.ZstdDecompressor()
-        head, sizes, ids = None, [], []
+        head, sizes, ids = None, {}, {}
         for batch in batches:
-            buckets = batch.column("bucket").to_pylist()
-            for i, bucket in enumerate(buckets):
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
                 if bucket < 0:  # a block's own row comes before its parts
                     if head is not None:
                         yield finish(pieces, head, sizes, ids)
-                    head, sizes, ids = {n: batch.column(n)[i].as_py() for n in ("keys", "counts", "places")}, [], []
+                    head, sizes, ids = {n: batch.column(n)[i].as_py() for n in _HEAD}, {}, {}
                 else:
-                    sizes.append(unpack.decompress(batch.column("sizes")[i].as_py()))
-                    ids.append(unpack.decompress(batch.column("ids")[i].as_py()))
+                    sizes[bucket] = np.frombuffer(unpack.decompress(batch.column("sizes")[i].as_py()), dtype="<u4").astype(np.int64)
+                    ids[bucket] = np.frombuffer(unpack.decompress(batch.column("ids")[i].as_py()), dtype=pieces.id_type)
         if head is not None:
             yield finish(pieces, head, sizes, ids)
 
@@ -218,11 +243,11 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     key_name = dict(rows.dtypes)["id"]
     key_type = rows.select("id").limit(0).toArrow().schema.field("id").type
     buckets = pieces_for(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"], bucket_bytes)
-    schema = f"block long, keys array<{key_name}>, counts array<int>, places binary, parts array<struct<bucket:int,chunks:string>>"
+    schema = f"block long, keys array<{key_name}>, counts array<int>, places binary, spans binary, parts array<struct<bucket:int,chunks:binary>>"
     blocks = stage(rows.mapInArrow(_cut_blocks(path, block_bytes, buckets, key_type), schema), "chunk-blocks")
     parts = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.*")
     found = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_segment(path), "block long, bucket int, sizes binary, ids binary")
-    heads = blocks.select("block", F.lit(-1).alias("bucket"), "keys", "counts", "places")
+    heads = blocks.select("block", F.lit(-1).alias("bucket"), *_HEAD)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = heads.unionByName(found, allowMissingColumns=True).repartition(width, "block").sortWithinPartitions("block", "bucket")
     result = f"id {key_name}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
