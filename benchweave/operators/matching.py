@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchweave.functions.names import canonical_name, genus_of, name_key, name_key_loose, non_blank, sanitize_meta, sanitize_name
-from benchweave.operators.blocks import block_join
+from benchweave.operators.closeness import Measure, close_pairs
 from benchweave.operators.ranking import top_rows
 from benchweave.session import cut_lineage, small_side
 
@@ -100,55 +100,64 @@ def gestalt_ratio(candidate: str, name: str, cutoff: float) -> float:
     return matcher.ratio()
 
 
-def levenshtein_ratio(candidate: str, name: str, cutoff: float) -> float:
+def _gestalt_scores(cutoff: float) -> Callable[[Column, Column], Column]:
+    @F.pandas_udf("double")
+    def scores(candidates: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([gestalt_ratio(c, n, cutoff) for c, n in zip(candidates, names)], dtype="float64")
+
+    return scores
+
+
+def _edit_scores(cutoff: float) -> Callable[[Column, Column], Column]:
     """1 - edits / longer length."""
-    longest = max(len(candidate), len(name))
-    if not longest or 1.0 - abs(len(candidate) - len(name)) / longest < cutoff:
-        return 0.0
-    row = list(range(len(name) + 1))
-    for i, a in enumerate(candidate, 1):
-        diagonal, row[0] = row[0], i
-        for j, b in enumerate(name, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (a != b))
-    return 1.0 - row[-1] / longest
+    return lambda candidate, name: F.lit(1.0) - F.levenshtein(candidate, name) / F.greatest(F.length(candidate), F.length(name), F.lit(1))
 
 
-SCORERS: dict[str, Callable[[str, str, float], float]] = {"gestalt": gestalt_ratio, "levenshtein": levenshtein_ratio}
+SCORERS: dict[str, tuple[Measure, Callable[[float], Callable[[Column, Column], Column]]]] = {
+    "gestalt": (Measure(overlap=True), _gestalt_scores),
+    "levenshtein": (Measure(), _edit_scores),
+}
 
 
 def suggest(names: DataFrame, catalogue: DataFrame, name: str = "normalized_species_name", scorer: str = "gestalt") -> DataFrame:
     """Up to three close catalogue names per distinct name, as ``suggestions`` pipe text.
 
     Close to any record (0.88) comes first, then close within the genus (0.72); ties go to the later name in
-    alphabetical order. Names and catalogue meet in bounded blocks; a block returns at most six rows per name.
+    alphabetical order, and a name that several records carry takes as many of the three places. Names meet candidates
+    by shared segments (``closeness``) in three kinds of scope: all records; one genus and first word, where only the
+    texts behind that word are compared; and one genus alone, for pairs whose first words are spelt differently.
     """
-    score = SCORERS[scorer]
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        pool = list(zip(right["species"], right["genus_key"]))
-        for text in left["_name"]:
-            genus = text.split(" ", 1)[0].lower()
-            found = {0: [], 1: []}
-            for candidate, candidate_genus in pool:
-                same = candidate_genus == genus
-                value = score(candidate, text, GENUS_CUTOFF if same else GLOBAL_CUTOFF)
-                if value >= GLOBAL_CUTOFF:
-                    found[0].append((value, candidate))
-                if same and value >= GENUS_CUTOFF:
-                    found[1].append((value, candidate))
-            for tier, scored in found.items():
-                rows += [(text, tier, v, c) for v, c in sorted(scored, reverse=True)[:MAX_SUGGESTIONS]]
-        return pd.DataFrame(rows, columns=["_name", "tier", "score", "candidate"])
-
-    wanted = names.select(F.col(name).alias("_name")).distinct()
-    pool = catalogue.select("species", "genus_key")
-    scored = block_join(wanted, pool, kernel, "_name string, tier int, score double, candidate string", "_name", "species", left_rows=2048)
+    measure, scores = SCORERS[scorer]
+    wide, narrow = measure.check(GLOBAL_CUTOFF), measure.check(GENUS_CUTOFF)
+
+    def kinds(text: str, third: str) -> str:
+        """One row per kind of scope; the first words are unequal only where one differs from the genus as usually spelt."""
+        head = f"substring_index({text}, ' ', 1)"
+        row = lambda kind, scope, part, pad, cutoff: f"struct({kind} AS _kind, concat('{kind}', {scope}) AS _scope, {part} AS _text, {pad} AS _pad, {cutoff} AS _cutoff, {head} AS _head)"
+        rows = [
+            row(0, "''", text, 0, wide),
+            row(1, f"concat(genus_key, '\\n', {head})", f"substring({text}, length({head}) + 1)", f"length({head})", narrow),
+            row(2, "genus_key", text, 0, narrow),
+        ]
+        return f"inline(CASE WHEN {third} THEN array({', '.join(rows)}) ELSE array({', '.join(rows[:2])}) END)"
+
+    unusual = "substring_index({0}, ' ', 1) <> concat(upper(substring(genus_key, 1, 1)), substring(genus_key, 2))".format
+    records = catalogue.where("species IS NOT NULL AND genus_key IS NOT NULL").groupBy("species", "genus_key").agg(F.count(F.lit(1)).alias("copies"))
+    odd = records.where(unusual("species")).selectExpr("genus_key", "true AS _odd").distinct()
+    wanted = names.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct()
+    wanted = wanted.selectExpr("_name", "lower(substring_index(_name, ' ', 1)) AS genus_key").join(odd, "genus_key", "left")
+    asked = wanted.selectExpr("_name", kinds("_name", f"_odd OR {unusual('_name')}"))
+    offered = records.selectExpr("*", kinds("species", "true"))
+    met = close_pairs(asked, offered, measure, ["_kind", "_name", "species", "genus_key", "copies"], "_kind <> 2 OR _head <> r__head")
+    # The lower cutoff serves both tiers; each row is then held against its own.
+    score = scores(GENUS_CUTOFF)(F.col("r_species"), F.col("_name"))
+    scored = met.select("_name", F.col("r_species").alias("candidate"), "r_copies", F.expr("int(_kind > 0)").alias("tier"), score.alias("score"))
+    scored = scored.where(f"score >= CASE tier WHEN 0 THEN {wide} ELSE {narrow} END")
+    scored = scored.selectExpr("*", f"explode(sequence(1, int(least(r_copies, {MAX_SUGGESTIONS})))) AS _copy")
     best = top_rows(scored, ["_name", "tier"], [F.desc("score"), F.desc("candidate")], MAX_SUGGESTIONS, "_place")
-    once = best.groupBy("_name", "candidate").agg(F.min(F.struct("tier", "_place")).alias("_at"))
-    kept = top_rows(once, ["_name"], ["_at"], MAX_SUGGESTIONS, "_rank")
-    listed = kept.groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("_rank", "candidate"))).alias("_s"))
-    return listed.select(F.col("_name").alias(name), F.concat_ws("|", F.transform("_s", lambda s: s["candidate"])).alias("suggestions"))
+    listed = best.groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("tier", "_place", "candidate"))).alias("_s"))
+    # Places in order; a name found in both tiers keeps its first place.
+    return listed.selectExpr(f"_name AS `{name}`", f"concat_ws('|', slice(array_distinct(transform(_s, s -> s.candidate)), 1, {MAX_SUGGESTIONS})) AS suggestions")
 
 
 def exact_match(names: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:

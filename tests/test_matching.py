@@ -1,10 +1,11 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from benchweave.operators import closeness, matching, reports
 from benchweave.operators import manifest as M
-from benchweave.operators import matching, reports
 from benchweave.schemas import MANIFEST_COLUMNS
 
 CAT = "species string, genus string, family string, group string, overlap_type string, protocol_usage string, group_order string, position bigint"
@@ -66,6 +67,80 @@ def test_suggestions_equal_brute_force(spark):
     assert got == {n: w for n, w in want.items() if w}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def brute_close(name, records, score):
+    """Three best of all records at 0.88, then of the genus at 0.72, equal scores from the last name, no name twice."""
+    out = []
+    genus = [s for s, g in records if g == name.split(" ")[0].lower()]
+    for pool, cutoff in (([s for s, _ in records], 0.88), (genus, 0.72)):
+        scored = sorted(((score(s, name), s) for s in pool), reverse=True)
+        for value, hit in [x for x in scored if x[0] >= cutoff][:3]:
+            if hit not in out:
+                out.append(hit)
+    return "|".join(out[:3])
+
+
+def random_names(seed):
+    """Records and names of many lengths: repeated records, odd genus spellings, one word, non-Latin letters, short texts."""
+    rng = random.Random(seed)
+    genera = ["Khaya", "Albizia", "Hevea", "Ab", "Öd"]
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    species = [f"{rng.choice(genera)} {word(rng.randint(1, 12))}" for _ in range(120)]
+    records = [(s, s.split(" ")[0].lower()) for s in species]
+    records += records[:10] + [("KHAYA abcab", "khaya"), ("khaya bcabca", "khaya"), ("Kaya abcabcd", "khaya"), ("Hevea", "hevea"), ("a", "a"), ("ab", "ab")]
+    names = set()
+    for s in [s for s, _ in records]:
+        for _ in range(3):
+            t = s
+            for _ in range(rng.randint(0, 5)):
+                i = rng.randrange(len(t) + 1)
+                t = rng.choice([t[:i] + rng.choice("abx ") + t[i:], t[:i] + t[i + 1 :], t[: max(i - 1, 0)] + rng.choice("abx") + t[i:]])
+            names.add(t)
+    return records, sorted(names | {"", "a", "Khaya", "KHAYA abcab", "khaya abcab", "Albizia " + "a" * 200})
+
+
+@pytest.mark.parametrize("scorer", ["levenshtein", "gestalt"])
+def test_signature_join_loses_nothing(spark, scorer):
+    def edit_score(candidate, name):
+        return 1.0 - edits(candidate, name) / max(len(candidate), len(name), 1)
+
+    score = edit_score if scorer == "levenshtein" else lambda c, n: difflib.SequenceMatcher(None, c, n).ratio()
+    records, names = random_names(4)
+    catalogue = spark.createDataFrame(records, "species string, genus_key string")
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "name string")
+    got = {r["name"]: r["suggestions"] for r in matching.suggest(df, catalogue, "name", scorer).collect()}
+    want = {n: brute_close(n, records, score) for n in names}
+    assert got == {n: w for n, w in want.items() if w}
+
+
+@pytest.mark.parametrize("cutoff", [0.72, 0.88])
+def test_segments_meet(spark, cutoff):
+    """Every pair within the cutoff shares a segment entry, at all lengths, with and without a common beginning."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 18))) for _ in range(150)]
+    for head in ("", "xy "):
+        rows = sorted({head + t for t in texts})
+        side = spark.createDataFrame([(r, "k", r[len(head) :], len(head), cutoff) for r in rows], "n string, _scope string, _text string, _pad int, _cutoff double")
+        pairs = closeness.close_pairs(side, side.withColumnRenamed("n", "c"), closeness.Measure(), ["n", "c"])
+        got = {(r["n"], r["r_c"]) for r in pairs.collect()}
+        assert got == {(a, b) for a in rows for b in rows if 1 - edits(a, b) / max(len(a), len(b)) >= cutoff}
+
+
+def test_cutoffs():
+    with pytest.raises(ValueError):
+        closeness.Measure().check(0.5)
+    with pytest.raises(ValueError):
+        closeness.Measure(overlap=True).check(0.6)
+
+
 def test_raw_beats_corrected_and_first_record_wins(spark):
     names = spark.createDataFrame([("albizia zygia",), ("Albizia zyia",), ("Albizia none",), ("",)], "raw_name string")
     fixes = spark.createDataFrame([("albizia zygia", "Hevea brasiliensis"), ("Albizia zyia", "Albizia zygia")], "raw_name string, corrected_name string")
