@@ -283,20 +283,48 @@ def _(spark, sf):
     return history.early_stop(numbered(spark, sf), patience=12)
 
 
+D_WALK = """SELECT * FROM (WITH RECURSIVE walk AS (
+               SELECT run, epoch, metric, metric AS best, epoch AS best_epoch, true AS fresh FROM hist WHERE epoch = 0
+               UNION ALL SELECT h.run, h.epoch, h.metric, CASE WHEN h.metric - w.best > 5.0 THEN h.metric ELSE w.best END,
+                                CASE WHEN h.metric - w.best > 5.0 THEN h.epoch ELSE w.best_epoch END, h.metric - w.best > 5.0
+               FROM walk w JOIN hist h ON h.run = w.run AND h.epoch = w.epoch + 1) SELECT * FROM walk)"""
+
+
+@query("win_accepted_best", check("runs", "SELECT run, epoch, metric FROM walked WHERE fresh", hist=D_HIST, walked=D_WALK))
+def _(spark, sf):
+    """Bests under a minimum improvement of 5.0."""
+    return history.accepted_bests(numbered(spark, sf), 5.0)
+
+
 @query(
-    "win_accepted_best",
+    "win_early_stop_delta",
     check(
         "runs",
-        """SELECT run, epoch, metric FROM (WITH RECURSIVE walk AS (
-               SELECT run, epoch, metric, metric AS best, true AS fresh FROM hist WHERE epoch = 0
-               UNION ALL SELECT h.run, h.epoch, h.metric, CASE WHEN h.metric - w.best > 5.0 THEN h.metric ELSE w.best END, h.metric - w.best > 5.0
-               FROM walk w JOIN hist h ON h.run = w.run AND h.epoch = w.epoch + 1) SELECT * FROM walk) WHERE fresh""",
+        """SELECT run, arg_max(best_epoch, epoch) AS best_epoch, arg_max(best, epoch) AS best_metric, min(epoch) FILTER (epoch - best_epoch >= 12) AS stop_epoch, max(n) AS epochs FROM (
+           SELECT *, count(*) OVER (PARTITION BY run) AS n, coalesce(min(CASE WHEN epoch - best_epoch >= 12 THEN epoch END) OVER (PARTITION BY run), 1000000) AS stop FROM walked) WHERE epoch <= stop GROUP BY run""",
         hist=D_HIST,
+        walked=D_WALK,
     ),
 )
 def _(spark, sf):
-    """Bests under a minimum improvement of 5.0."""
-    return history.accepted_bests(numbered(spark, sf), 5.0)
+    """Early stopping where an improvement must exceed 5.0."""
+    return history.early_stop(numbered(spark, sf), patience=12, min_delta=5.0)
+
+
+@query(
+    "win_accepted_whole",
+    check(
+        "runs",
+        """SELECT epoch, metric FROM walked WHERE fresh""",
+        hist="SELECT 'all' AS run, row_number() OVER (ORDER BY ts, run, event_id) - 1 AS epoch, metric + (row_number() OVER (ORDER BY ts, run, event_id) - 1) / 4.0 AS metric FROM runs",
+        walked=D_WALK,
+    ),
+)
+def _(spark, sf):
+    """All events as one rising run, which spreads over many pieces."""
+    rows = view(spark, sf, "runs").withColumn("all", F.lit("all"))
+    one = history.number_epochs(rows, "all", ["ts", "run", "event_id"]).select(F.col("all").alias("run"), "epoch", (F.col("metric") + F.col("epoch") / 4.0).alias("metric"))
+    return history.accepted_bests(one, 5.0, piece=512).select("epoch", "metric")
 
 
 @query(

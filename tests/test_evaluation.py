@@ -175,6 +175,47 @@ def test_min_delta_fold(spark):
     assert low["best_metric"] == min(m for r, _, m in rows if r == "a")
 
 
+def accepted_of(values, delta):
+    best, out = None, []
+    for i, m in enumerate(values):
+        if m is not None and not math.isnan(m) and (best is None or m - best > delta):
+            best = m
+            out.append(i)
+    return out
+
+
+def test_long_runs_in_pieces(spark):
+    """Bests of long runs, cut into pieces, equal a walk from end to end: dense, sparse, tied and mixed values."""
+    rng = random.Random(11)
+    series = {
+        "rising": [i * 0.01 for i in range(900)],
+        "tiny": [1 + i * 1e-9 for i in range(700)],
+        "random": [rng.random() + i * 0.002 for i in range(1000)],
+        "jumps": [float(i // 50) * 0.3 + rng.random() * 0.01 for i in range(800)],
+        "around": [-3.0 + i * 0.005 for i in range(1200)],
+        "short": [0.5, 0.4, None, float("nan"), 0.9],
+        "wide": [float("-inf"), *[1e-300 * 2.0**i for i in range(1000)], float("inf"), float("inf")],
+    }
+    rows = [(run, i, m) for run, values in series.items() for i, m in enumerate(values)]
+    df = spark.createDataFrame(rows, "run string, epoch bigint, metric double").repartition(5)
+    for delta in (0.0, 0.03, 0.0371):
+        got = sorted((r["run"], r["epoch"]) for r in history.accepted_bests(df, delta, piece=16).collect())
+        assert got == sorted((run, i) for run, values in series.items() for i in accepted_of(values, delta)), delta
+    low = {(r["run"], r["epoch"]) for r in history.accepted_bests(df.withColumn("metric", -F.col("metric")), 0.03, mode="min", piece=16).collect()}
+    assert low == {(run, i) for run, values in series.items() for i in accepted_of(values, 0.03)}
+
+
+def test_least_accepted():
+    rng = np.random.default_rng(0)
+    best = np.concatenate([rng.normal(size=50), [0.0, -0.0, -5.0, -4.9999999, 1e300, -1e300, np.inf, -np.inf, 5e-324]])
+    for delta in (0.0, 1e-9, 0.1, 5.0):
+        limit = history.least_accepted(best, delta)
+        with np.errstate(invalid="ignore"):
+            finite = best < np.inf
+            assert (limit - best > delta)[finite].all()
+            assert not (np.nextafter(limit, -np.inf) - best > delta).any()
+
+
 def brute_loss(items, positive, weight, t=0.07):
     vecs = [np.array(i[5]) / np.linalg.norm(i[5]) for i in items]
     losses = []
