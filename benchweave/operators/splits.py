@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +27,22 @@ DEFAULT_RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 MODALITY_WEIGHT = 0.35
 PHASE_WEIGHT = 0.20
 RATIO_TOLERANCE = 0.01
+GROUPS_PER_PIECE = 8192
+# Classes of groups that one repair pass brings to the driver.
+CLASSES_PER_PASS = 20_000
 # Smallest gain in distribution error that counts as one.
 LEAST_GAIN = 1e-12
 
 
 def check_ratios(ratios: Mapping[str, float]) -> dict[str, float]:
-    if set(ratios) != set(SPLITS):
-        raise ValueError(f"ratios need exactly {SPLITS}")
-    if any(v <= 0 for v in ratios.values()):
-        raise ValueError("split ratios must be positive")
-    if not math.isclose(sum(ratios.values()), 1.0, rel_tol=1e-9, abs_tol=1e-9):
-        raise ValueError(f"split ratios must sum to 1, got {sum(ratios.values()):.6f}")
-    return {s: float(ratios[s]) for s in SPLITS}
+    """The ratios in split order; each split has one, all lie in (0, 1], and they add up to one."""
+    shares = {s: float(ratios[s]) if s in ratios else math.nan for s in SPLITS}
+    unknown = sorted(set(ratios) - set(SPLITS))
+    unfit = sorted(s for s, share in shares.items() if not 0 < share <= 1)
+    rest = 1 - math.fsum(shares.values())
+    if unknown or unfit or abs(rest) > 1e-9:
+        raise ValueError(f"bad split ratios: unknown {unknown}, not in (0, 1] {unfit}, missing from one {rest:.9f}")
+    return shares
 
 
 def group_units(samples: DataFrame, key: str = "group_key") -> DataFrame:
@@ -159,7 +164,9 @@ def grouped_split(units: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS
     hashed = cut_lineage(units.withColumn("_h", stable_hash(seed, "group_key")))
     rows = hashed.join(_anchors(hashed, seed), STRATUM).withColumn("_seed", _seed_split(seed))
     free = rows.withColumn("_free", F.when(F.col("_seed").isNull(), F.col("size")).otherwise(0))
-    ranked = running_total(free, STRATUM, ["_h", "group_key"], "_free", "_upto", bucket=hex_prefix(F.col("_h"), 3))
+    # Hash ranges of about GROUPS_PER_PIECE groups: one for a small stratum, and no hot stratum in one task.
+    pieces = F.ceil(F.col("_n") / GROUPS_PER_PIECE)
+    ranked = running_total(free, STRATUM, ["_h", "group_key"], "_free", "_upto", bucket=F.floor(hex_prefix(F.col("_h"), 7) * pieces / F.lit(16**7)))
     middle = (F.col("_upto") - F.col("size") / 2.0) / F.greatest(F.col("_left"), F.lit(1))
     by_quota = F.when(middle < ratios["train"], "train").when(middle < ratios["train"] + ratios["val"], "val").otherwise("test")
     return ranked.withColumn("split", F.coalesce("_seed", by_quota)).select(*units.columns, "split")
@@ -306,12 +313,115 @@ def _accept(candidates: list, counts: dict, quota: dict) -> dict[str, str]:
     return moved
 
 
+def _movable(assigned: DataFrame, seed: int) -> DataFrame:
+    """Groups that can leave their split whatever else leaves it: where a split must be reached, one group stays behind
+    of the stratum and one of the entity, the last by hash."""
+    need = required_splits(assigned, seed)
+    hashed = assigned.withColumn("_h", stable_hash(seed, F.lit("stay"), "group_key"))
+    last = F.max(F.struct("_h", "group_key")).alias("_last")
+    per_stratum = hashed.groupBy(*STRATUM, "split").agg(last)
+    per_entity = per_stratum.groupBy("species", "split").agg(F.max("_last").alias("_last"))
+    wanted = lambda rows: rows.select(*STRATUM, F.explode(F.split("required", ",")).alias("split"))
+    stays = per_stratum.join(wanted(need.where("modality <> ''")), [*STRATUM, "split"]).select("_last.group_key")
+    stays = stays.unionByName(per_entity.join(wanted(need.where("modality = ''")).drop("modality"), ["species", "split"]).select("_last.group_key"))
+    return assigned.join(stays.distinct(), "group_key", "left_anti")
+
+
+CLASS = ["split", "modality", "size", "_mix"]
+
+
+def _with_mix(assigned: DataFrame) -> DataFrame:
+    return assigned.withColumn("_mix", F.array_sort(F.coalesce(F.map_entries("phase_counts"), F.array().cast("array<struct<key:string,value:bigint>>"))))
+
+
+def _helpful_classes(movable: DataFrame, counts: dict, quota: dict, pairs: list[tuple[str, str]], limit: int) -> list:
+    """Classes of groups that look alike to the error (split, modality, size, samples per phase), best first."""
+    classes = _with_mix(movable).where(F.col("split").isin(sorted({a for a, _ in pairs}))).groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"))
+    classes = classes.withColumn("phase_counts", F.map_from_entries("_mix"))
+    errors = [F.when(F.col("split") == a, _error_expression(counts, quota, a, b)) for a, b in pairs]
+    best = classes.withColumn("_e", F.array_min(F.array(*errors))).where(F.col("_e") < _current_error(counts, quota) - LEAST_GAIN)
+    return best.orderBy("_e", *CLASS).limit(limit).select(*CLASS, "n").collect()
+
+
+def exchange(classes: Sequence, counts: dict, quota: dict) -> list[tuple[int, str, int]]:
+    """Moves (class, receiver, groups) that bring the splits to their quotas; updates ``counts``.
+
+    Each step takes the class and receiver whose single group lowers the error most (ties: smaller size, then order). As
+    long as no count is within one group of its quota, all gains stay as they are, so that many groups go in one step.
+    Ends when no single group helps.
+    """
+    dims = sorted({(d, i) for d, i, _ in quota})
+    place = {dim: k for k, dim in enumerate(dims)}
+    weights = np.array([{"total": 1.0, "modality": MODALITY_WEIGHT, "phase": PHASE_WEIGHT}[d] / max(1.0, sum(quota[(d, i, s)] for s in SPLITS)) for d, i in dims])
+    gaps = {s: np.array([counts.get((*dim, s), 0.0) - quota[(*dim, s)] for dim in dims]) for s in SPLITS}
+    total = place[("total", "")] if dims else 0
+    vectors = np.zeros((len(classes), len(dims)))
+    for k, c in enumerate(classes):
+        vectors[k, [total, place[("modality", c["modality"])]]] = c["size"]
+        for phase, n in c["_mix"]:
+            vectors[k, place[("phase", phase)]] = n
+    largest = vectors.max(axis=0, initial=0)
+    left = np.array([c["n"] for c in classes])
+    home = np.array([c["split"] for c in classes])
+    sizes = np.array([c["size"] for c in classes])
+    moves: dict[tuple[int, str], int] = {}
+
+    def change(donor: str, receiver: str, moved: np.ndarray) -> np.ndarray:
+        a, b = gaps[donor], gaps[receiver]
+        return (np.abs(a - moved) - np.abs(a) + np.abs(b + moved) - np.abs(b)) @ weights
+
+    while True:
+        found = []
+        for donor in SPLITS:
+            at = np.flatnonzero((home == donor) & (left > 0)) if len(home) and gaps[donor][total] > 0 else []
+            for receiver in SPLITS if len(at) else ():
+                if gaps[receiver][total] < 0:
+                    gain = change(donor, receiver, vectors[at])
+                    first = np.lexsort((at, sizes[at], np.round(gain, 12)))[0]
+                    found.append((round(float(gain[first]), 12), int(sizes[at[first]]), int(at[first]), donor, receiver))
+        if not found or min(found)[0] >= -LEAST_GAIN:
+            break
+        _, size, k, donor, receiver = min(found)
+        own = vectors[k] > 0
+        room = np.concatenate([gaps[donor][own], -gaps[receiver][own]])
+        spare = (room - np.tile(largest[own], 2)) / np.tile(vectors[k][own], 2)
+        # Counts beyond their quota move further away from it and meet no bend.
+        n = int(min(left[k], max(1, math.floor(spare[room > 0].min(initial=math.inf)) if (room > 0).any() else 1)))
+        gaps[donor] = gaps[donor] - n * vectors[k]
+        gaps[receiver] = gaps[receiver] + n * vectors[k]
+        left[k] -= n
+        moves[k, receiver] = moves.get((k, receiver), 0) + n
+    for s in SPLITS:
+        counts.update({(*dim, s): float(gaps[s][k] + quota[(*dim, s)]) for k, dim in enumerate(dims)})
+    return [(k, receiver, n) for (k, receiver), n in moves.items()]
+
+
+def _apply_moves(assigned: DataFrame, movable: DataFrame, classes: Sequence, moves: list[tuple[int, str, int]], seed: int) -> DataFrame:
+    """Each move takes the next groups of its class by hash: a rank range per move, applied by one join."""
+    spark = assigned.sparkSession
+    taken: dict[int, int] = {}
+    cuts = []
+    for k, receiver, n in moves:
+        start = taken.get(k, 0)
+        taken[k] = start + n
+        c = classes[k]
+        cuts.append((c["split"], c["modality"], c["size"], [(p, v) for p, v in c["_mix"]], start, start + n, receiver))
+    schema = "split string, modality string, size long, _mix array<struct<key:string,value:bigint>>, _from long, _upto long, _to string"
+    ranges = F.broadcast(spark.createDataFrame(cuts, schema))  # at most a few rows per collected class
+    rows = _with_mix(movable).select("group_key", *CLASS).join(F.broadcast(ranges.select(*CLASS).distinct()), CLASS)
+    ranked = row_numbers(rows.withColumn("_h", stable_hash(seed, F.lit("move"), "group_key")), CLASS, ["_h", "group_key"], "_r", bucket=hex_prefix(F.col("_h"), 2))
+    going = ranked.join(ranges, CLASS).where("_r > _from AND _r <= _upto").select("group_key", "_to")
+    return assigned.join(going, "group_key", "left").withColumn("split", F.coalesce("_to", "split")).select(*assigned.columns)
+
+
 def rebalance(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42, per_pass: int = 10_000) -> DataFrame:
     """Move groups until no single move lowers the distribution error.
 
-    A pass over the groups brings its ``per_pass`` best moves to the driver, which takes them in order as long as each one
-    still helps after those before it; passes go on until one finds nothing. Every move lowers the error, so they end.
-    The moves of a pass are joined to the groups, and the result is kept on shared storage for the next.
+    Groups that look alike to the error are one class with a number. A pass brings the classes whose moves help
+    (``CLASSES_PER_PASS`` at most) to the driver, where ``exchange`` decides how many groups of each go where; the numbers
+    go back as rank ranges, so that no groups travel. What is left then are moves that the rule of staying groups forbade
+    though another group of their stratum stays; passes over single groups take those, ``per_pass`` at a time. Every
+    move lowers the error, so passes end. The result of each pass is kept on shared storage.
     """
     ratios = check_ratios(ratios)
     current = cut_lineage(assigned)
@@ -320,15 +430,26 @@ def rebalance(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS,
         pairs = _open_moves(counts, quota)
         if not pairs:
             return current
+        movable = _movable(current, seed)
+        classes = _helpful_classes(movable, counts, quota, pairs, CLASSES_PER_PASS)
+        moves = exchange(classes, counts, quota)
+        if moves:
+            current = cut_lineage(_apply_moves(current, movable, classes, moves, seed))
+            continue
         candidates = _helpful_moves(current, counts, quota, pairs, seed).orderBy("m").limit(per_pass).collect()
         moved = _accept(candidates, counts, quota)
         if not moved:
             return current
-        moves = current.sparkSession.createDataFrame(list(moved.items()), "group_key string, _to string")
-        joined = current.join(F.broadcast(moves), "group_key", "left")
+        single = current.sparkSession.createDataFrame(list(moved.items()), "group_key string, _to string")
+        joined = current.join(F.broadcast(single), "group_key", "left")
         current = cut_lineage(joined.withColumn("split", F.coalesce("_to", "split")).select(*assigned.columns))
 
 
+def repaired_split(units: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
+    """The split that is written: groups assigned by quota, then moved until no single move helps."""
+    return rebalance(grouped_split(units, ratios, seed), ratios, seed)
+
+
 def balance_stats(rows: DataFrame) -> DataFrame:
     """Per split: entities present and the least, most, mean and median samples per entity."""
     per = rows.groupBy("split", "species").agg(F.count(F.lit(1)).alias("n"))

@@ -169,6 +169,19 @@ def _(spark, sf):
     return splits.best_move(rough(spark, sf), seed=SEED).withColumn("error", F.round("error", 8))
 
 
+@query("spl_repaired")
+def _(spark, sf):
+    """The split that is written, repaired to the end; the tests hold it to its rules and to brute force."""
+    return splits.repaired_split(units(spark, sf), seed=SEED).select("group_key", "species", "modality", "size", "split")
+
+
+@query("agg_repaired_class_counts")
+def _(spark, sf):
+    """Class counts of the repaired split."""
+    every = samples(spark, sf)
+    return splits.class_counts(splits.apply_split(every, splits.repaired_split(splits.group_units(every), seed=SEED)), "P3")
+
+
 @query(
     "spl_leak_check",
     check(

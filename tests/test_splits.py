@@ -90,6 +90,52 @@ def test_best_move_equals_brute_force(spark):
     assert set(splits.coverage_gaps(fixed).collect()) <= set(splits.coverage_gaps(assigned).collect())
 
 
+def test_exchange_moves_many_at_once():
+    """Two classes, one far above its quota: few steps, and no single group helps afterwards."""
+    ratios = {"train": 0.5, "val": 0.25, "test": 0.25}
+    classes = [
+        {"split": "train", "modality": "macro", "size": 3, "_mix": [("Phase1", 3)], "n": 1000},
+        {"split": "train", "modality": "micro", "size": 1, "_mix": [], "n": 500},
+        {"split": "val", "modality": "macro", "size": 2, "_mix": [("Phase1", 1)], "n": 7},
+    ]
+    counts = {}
+    for c in classes:
+        for d, i, n in [("total", "", c["size"]), ("modality", c["modality"], c["size"]), *(("phase", p, n) for p, n in c["_mix"])]:
+            for s in ratios:
+                counts[d, i, s] = counts.get((d, i, s), 0.0) + (n * c["n"] if s == c["split"] else 0)
+    sums = Counter()
+    for (d, i, _), n in counts.items():
+        sums[d, i] += n
+    quota = {(d, i, s): n * ratios[s] for (d, i), n in sums.items() for s in ratios}
+    before = splits._current_error(counts, quota)
+    moves = splits.exchange(classes, counts, quota)
+    after = splits._current_error(counts, quota)
+    assert after < 0.02 < before and 2 <= len(moves) <= 12
+    left = Counter({k: c["n"] for k, c in enumerate(classes)})
+    for k, _, n in moves:
+        left[k] -= n
+    assert min(left.values()) >= 0
+    assert not splits.exchange([{**c, "n": left[k]} for k, c in enumerate(classes)], counts, quota)
+
+
+@pytest.mark.parametrize("limit", [20_000, 2])
+def test_repaired_split(spark, monkeypatch, limit):
+    """Repair of the split that is written: no move left that helps, no gap opened, no leak, most groups where they were."""
+    monkeypatch.setattr(splits, "CLASSES_PER_PASS", limit)
+    rows = random_units(300, 6, hot=0.35)
+    ratios = {"train": 0.6, "val": 0.25, "test": 0.15}
+    first = splits.grouped_split(units(spark, rows), ratios)
+    done = splits.repaired_split(units(spark, rows), ratios)
+    before, after = ({r["group_key"]: r["split"] for r in df.collect()} for df in (first, done))
+    assert set(after) == set(before) and done.columns == first.columns
+    assert brute_error(rows, after, ratios) < brute_error(rows, before, ratios)
+    assert splits.best_move(done, ratios).isEmpty() and splits.leaks(done).isEmpty()
+    assert set(splits.coverage_gaps(done).collect()) <= set(splits.coverage_gaps(first).collect())
+    assert sum(after[k] != before[k] for k in after) < len(rows) / 4
+    again = splits.repaired_split(units(spark, rows).repartition(3), ratios)
+    assert {r["group_key"]: r["split"] for r in again.collect()} == after
+
+
 def test_class_counts_and_warnings(spark):
     rows = [("p1", "S", "g1", "macro", "Phase1", "train", "NA"), ("p2", "S", "g2", "micro", "", "train", "NA"), ("p3", "T", "g3", "macro", "Phase2", "test", "t")]
     df = spark.createDataFrame(rows, "image_path string, species string, group_key string, modality string, phase string, split string, specimen_id string")
