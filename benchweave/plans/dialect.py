@@ -22,8 +22,9 @@ class SparkDialect:
     def day(self, expr: str) -> str:
         return f"date_format({expr}, 'yyyy-MM-dd')"
 
-    def head(self, array: str, n: int) -> str:
-        return f"slice({array}, 1, {n})"
+    def fold(self, array: str, n: int) -> str:
+        """The whole array in ``n`` sums: entry i adds up every n-th element from i on."""
+        return f"transform(sequence(0, {n - 1}), i -> aggregate(filter({array}, (x, j) -> j % {n} = i), 0D, (a, x) -> a + double(x)))"
 
 
 class DuckDialect(SparkDialect):
@@ -45,8 +46,8 @@ class DuckDialect(SparkDialect):
     def day(self, expr: str) -> str:
         return f"strftime({expr}, '%Y-%m-%d')"
 
-    def head(self, array: str, n: int) -> str:
-        return f"{array}[1:{n}]"
+    def fold(self, array: str, n: int) -> str:
+        return f"list_transform(range({n}), lambda i: list_sum(list_filter({array}::DOUBLE[], lambda x, j: (j - 1) % {n} = i)))"
 
 
 DUCK = DuckDialect()

@@ -57,11 +57,11 @@ DEFAULT_ROWS = ", ".join(f"('{k.lower()}', '{v}')" for k, v in tables.DEFAULT_CO
 
 @query(
     "src_alias_cols",
-    check("raw_names", f"SELECT raw_key, corrected FROM (VALUES {DEFAULT_ROWS}) v(raw_key, corrected) UNION SELECT lower({d_canon('raw_name')}), {d_canon('p_name')} FROM raw_names WHERE p_partkey % 8 = 3"),
+    check("raw_names", f"SELECT raw_key, corrected FROM (VALUES {DEFAULT_ROWS}) v(raw_key, corrected) UNION SELECT lower({d_canon('raw_name')}), {d_canon('p_name')} FROM raw_names WHERE raw_name <> p_name"),
 )
 def _(spark, sf):
     path = scratch(spark)
-    pairs = view(spark, sf, "raw_names").where(F.col("p_partkey") % 8 == 3).select(F.col("raw_name").alias("typo"), F.col("p_name").alias("canonical")).distinct()
+    pairs = view(spark, sf, "raw_names").where(F.col("raw_name") != F.col("p_name")).select(F.col("raw_name").alias("typo"), F.col("p_name").alias("canonical")).distinct()
     sinks.write_csv(pairs, path, ["typo", "canonical"])
     return matching.correction_map(tables.load_corrections(spark, path))
 

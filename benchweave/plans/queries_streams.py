@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from benchweave.functions.vectors import softmax_top
 from benchweave.operators import custom
+from benchweave.plans.dialect import SparkDialect
 from benchweave.plans.queries_metrics import D_LOSS, D_PRED, D_STEPS, LOSSES
 from benchweave.plans.registry import query
 from benchweave.plans.views import check, view
@@ -23,7 +24,7 @@ def _stream(spark, sf, table):
 @query("str_confusion", check("scores", "SELECT true_label, pred_label, count(*) AS n FROM pred GROUP BY ALL", pred=D_PRED))
 def _(spark, sf):
     top, _ = softmax_top("scores")
-    rows = _stream(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("true_label"), F.slice("embedding", 1, 10).alias("scores"))
+    rows = _stream(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("true_label"), F.expr(SparkDialect(sf).fold("embedding", 10)).alias("scores"))
     return S.drain(S.running_confusion(rows.withColumn("pred_label", top)))
 
 

@@ -29,9 +29,8 @@ def _catalogue(d):
 
 
 def _corrections(d):
-    return f"""
-    SELECT substr(species, 1, length(species) - 1) AS raw_name, species AS corrected_name
-    FROM catalogue ORDER BY {h16(CATALOGUE_SEED, 'species', d=d)} LIMIT 5"""
+    """Every record has a correction for its name without the last letter."""
+    return "SELECT substr(species, 1, length(species) - 1) AS raw_name, species AS corrected_name FROM catalogue"
 
 
 def _raw_names(d):
@@ -126,7 +125,7 @@ def _emb(d):
 
 
 def _scores(d):
-    return f"SELECT vec_id, label AS true_label, {d.head('embedding', 10)} AS scores FROM {d.table('embeddings')}"
+    return f"SELECT vec_id, label AS true_label, {d.fold('embedding', 10)} AS scores FROM {d.table('embeddings')}"
 
 
 def _conf(d):
