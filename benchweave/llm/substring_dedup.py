@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from benchweave.llm import recompression
 from benchweave.llm.staging import discard, row_key, stage
-from benchweave.llm.words import Words, mix, range_hashes, second_hashes, text_slices
+from benchweave.llm.words import Words, mix, sequence_hashes, text_slices
 
 SPAN = 35
 ROUNDS = 7
@@ -62,13 +62,13 @@ def _regions(words: Words, span: int, rounds: int):
         shift[chosen] = level.start[near]
         todo = todo[~fits]
     # No symbol of any level fits (inside long runs): the window names itself, and equal neighbours are one region.
-    name[todo] = mix(range_hashes(words.hashes, windows[todo], windows[todo] + span))
+    name[todo] = mix(sequence_hashes(words.hashes, windows[todo], windows[todo] + span))
     head = np.ones(len(windows), dtype=bool)
     head[1:] = (symbol[1:] != symbol[:-1]) | (name[1:] != name[:-1]) | (np.diff(windows) > 1)
     start = np.flatnonzero(head)
     stop = np.append(start[1:], len(windows))[: len(start)]
     first, last = windows[start], windows[stop - 1] if len(start) else windows[:0]
-    body = range_hashes(words.hashes, first, last + span)
+    body = sequence_hashes(words.hashes, first, last + span)
     body = mix(body + (shift[start] - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (last - first).astype(np.uint64))
     region = np.where(symbol[start] < 0, name[start], body)
     return name[start], region, rows[first], first, last
@@ -107,7 +107,7 @@ def _window_rows(span: int):
                 at = np.repeat(first, length) + within
                 whose = np.repeat(row, length)
                 start = words.offsets[whose] + at
-                columns = [range_hashes(words.hashes, start, start + span).view(np.int64), second_hashes(words.hashes, start, start + span).view(np.int64), keys[a:b][whose], at.astype(np.int32), np.repeat(weight, length)]
+                columns = [sequence_hashes(words.hashes, start, start + span).view(np.int64), sequence_hashes(words.second, start, start + span, 1).view(np.int64), keys[a:b][whose], at.astype(np.int32), np.repeat(weight, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "row_id", "first", "weight"])
 
     return run
