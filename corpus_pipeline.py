@@ -35,11 +35,20 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays, the one with the smallest id (null before all): five-word
+    shingles, similarity 0.8 or more.
+
+    Rows are told apart by their whole content, so that null and repeated ids never mix two documents; rows repeated in
+    full stay once.
+    """
     release(spark)
-    groups = ngram_jaccard.jaccard_components(docs, n=5, num=80, den=100)
-    later = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64(*COLUMNS).alias("content")).alias("__key"))
+    groups = ngram_jaccard.jaccard_components(keyed, key="__key", n=5, num=80, den=100)
+    later = groups.where("__key <> component_id").select("__key.content").distinct()
+    kept = keyed.withColumn("content", F.col("__key.content")).join(later, "content", "left_anti")
+    if not groups.groupBy("__key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["content"])
+    return kept.select(*COLUMNS)
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
