@@ -96,6 +96,28 @@ def _(spark, sf):
     return embeddings.read_records(spark, path, lines=True).select("image_path", "modality", "species", "genus", _total())
 
 
+@query("src_embed_list", check("emb", f"SELECT modality || ':' || cast(row_number() OVER (PARTITION BY modality ORDER BY vec_id) - 1 AS VARCHAR) AS id, modality, species, genus, {D_SUM} AS total FROM emb"))
+def _(spark, sf):
+    """One JSON list of records without paths, read in pieces."""
+    path = scratch(spark)
+    emb = view(spark, sf, "emb").withColumn("record", F.to_json(F.struct("modality", "species", "genus", "embedding")))
+    least = emb.agg(F.min("vec_id")).first()[0]
+    listed = emb.select("vec_id", F.concat(F.when(F.col("vec_id") == least, "[").otherwise(","), "record").alias("value"))
+    end = spark.createDataFrame([(2**62, "]")], listed.schema)
+    listed.unionByName(end).orderBy("vec_id").select("value").coalesce(1).write.text(path)
+    return embeddings.read_records(spark, path).select("id", "modality", "species", "genus", _total())
+
+
+@query("src_csv_split", "SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents")
+def _(spark, sf):
+    """Whole texts with their line breaks in one CSV file, read in pieces."""
+    path = scratch(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").alias("o"))
+    ordered = docs.orderBy("o").coalesce(1).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ordered.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return tables.read_split_table(spark, path, ["doc_id", "text"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "position")
+
+
 @query("src_embed_cache", check("emb", f"SELECT id, modality, {D_SUM} AS total FROM emb"))
 def _(spark, sf):
     path = scratch(spark)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from benchweave.functions.vectors import FEATURE_COLUMNS
+from benchweave.operators.ranking import row_numbers
 from benchweave.schemas import EMBEDDING_SCHEMA, MODALITIES
+from benchweave.session import cut_lineage
+from benchweave.sources.framing import ORDER, json_records
 
 # Names under which the parts of a parallel-array file may be stored, first match wins.
 VECTOR_KEYS = ("{m}_embeddings", "{m}_emb", "{m}", "z_{m}", "{m}_z")
@@ -21,17 +24,22 @@ META_COLUMNS = ("split", "modality", "species", "genus", "image_path")
 
 
 def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """JSON records: a list, an object with ``records``, or (``lines``) one record per line.
+    """JSON records: a list, an object that begins with ``records``, or (``lines``) one record per line.
 
-    One-record-per-line files split across tasks; a single list is read by one task per file.
+    All forms split across tasks (``framing``), one large list included. ``id`` is the record's path, or else its modality
+    and its number among the records of that modality in reading order, counted from 0 over all files.
     """
-    reader = spark.read.option("multiLine", str(not lines).lower())
     if lines:
-        return reader.schema(EMBEDDING_SCHEMA).json(path)
-    both = T.StructType([*EMBEDDING_SCHEMA.fields, T.StructField("records", T.ArrayType(EMBEDDING_SCHEMA))])
-    raw = reader.schema(both).json(path)
-    nested = raw.where(F.col("records").isNotNull()).select(F.explode("records").alias("r")).select("r.*")
-    return raw.where(F.col("records").isNull()).drop("records").unionByName(nested)
+        records = spark.read.schema(EMBEDDING_SCHEMA).json(path)
+        place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m")]
+        rows = records.select(*EMBEDDING_SCHEMA.names, *place)
+    else:
+        framed = json_records(spark, path).select("file", *ORDER, F.from_json("value", EMBEDDING_SCHEMA, {"mode": "FAILFAST"}).alias("r"))
+        rows = framed.select("r.*", F.col("file").alias("_f"), F.col("block").alias("_b"), F.col("at").alias("_m"))
+    rows = cut_lineage(rows.withColumn("_kind", F.coalesce("modality", F.lit(""))))
+    numbered = row_numbers(rows, ["_kind"], ["_f", "_b", "_m"], "_n")
+    ident = F.coalesce("image_path", F.concat("_kind", F.lit(":"), (F.col("_n") - 1).cast("string")))
+    return numbered.select(ident.alias("id"), *EMBEDDING_SCHEMA.names)
 
 
 def _first(columns, patterns, modality) -> str | None:
@@ -41,6 +49,10 @@ def _first(columns, patterns, modality) -> str | None:
 def from_parallel_arrays(df: DataFrame, feature: str = "embedding") -> DataFrame:
     """Long rows from rows that hold parallel arrays per modality (vectors, labels, optional genera and ids)."""
     have = set(df.columns)
+    # One input row numbers its entries from 0; of several rows each adds its own mark, equal rows and retries alike.
+    several = not df.offset(1).isEmpty()
+    df = df.withColumn("_row", F.monotonically_increasing_id()) if several else df
+    df = cut_lineage(df) if several else df
     out = None
     for m in MODALITIES:
         suffix = () if feature == "embedding" else ("{m}_embeddings_" + feature,)
@@ -52,10 +64,12 @@ def from_parallel_arrays(df: DataFrame, feature: str = "embedding") -> DataFrame
         checked = df.select(
             F.when(F.size(vectors) == F.size(labels), F.arrays_zip(*[F.col(c).alias(n) for n, c in fields.items()]))
             .otherwise(F.raise_error(F.lit(f"{m} vectors and labels differ in length")))
-            .alias("z")
+            .alias("z"),
+            *(["_row"] if several else []),
         )
-        rows = checked.select(F.posexplode("z").alias("pos", "r"))
-        item = F.col("r.id").cast("string") if ids else F.concat(F.lit(f"{m}:"), F.col("pos").cast("string"))
+        rows = checked.select(F.posexplode("z").alias("pos", "r"), *(["_row"] if several else []))
+        mark = F.concat(F.col("_row").cast("string"), F.lit(":")) if several else F.lit("")
+        item = F.col("r.id").cast("string") if ids else F.concat(F.lit(f"{m}:"), mark, F.col("pos").cast("string"))
         part = rows.select(
             item.alias("id"),
             F.lit(m).alias("modality"),

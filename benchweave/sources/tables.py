@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from benchweave.functions.names import DEFAULT_CORRECTIONS, pipe_list
 from benchweave.operators.matching import prepare_catalogue
 from benchweave.operators.ranking import dense_index
+from benchweave.session import cut_lineage
+from benchweave.sources.framing import ORDER, csv_records
 
 # Headers under which a correction table may name its two columns, first match wins.
 CORRECTION_SOURCE_HEADERS = (
@@ -54,6 +57,26 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return reader.csv(path).na.fill("")
 
 
+def read_split_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """``read_table`` of large files in pieces, quoted line breaks included, with ``position`` in reading order.
+
+    All files must have one header. ``columns`` names the columns that the header must hold, in this order.
+    """
+    records = cut_lineage(csv_records(spark, path))
+    first = records.groupBy("file").agg(F.min(F.struct(*ORDER, "value")).alias("_h"))
+    headers = [r["value"] for r in first.select("_h.value").distinct().limit(2).collect()]
+    if not headers:
+        return spark.createDataFrame([], T.StructType([*(T.StructField(c, T.StringType()) for c in columns or []), T.StructField("position", T.LongType())]))
+    names = next(csv.reader([headers[0]]))
+    if len(headers) > 1 or len(set(names)) < len(names) or (columns is not None and names != list(columns)):
+        raise ValueError(f"unequal or unexpected headers: {headers}")
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    body = records.join(first, "file").where((F.col("block") != F.col("_h.block")) | (F.col("at") != F.col("_h.at")))
+    parsed = body.select("file", *ORDER, F.from_csv("value", schema, {"escape": '"', "maxCharsPerColumn": "-1"}).alias("r"))
+    numbered = dense_index(parsed, ["file", *ORDER], "position")
+    return numbered.select(*[F.coalesce(F.col("r").getField(n), F.lit("")).alias(n) for n in names], "position")
+
+
 def with_row_order(table: DataFrame, out: str = "position") -> DataFrame:
     """Dense row numbers in reading order, exact over any number of files and tasks: by path, then by place in the file."""
     marked = table.select(

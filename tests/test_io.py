@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +94,91 @@ def test_embedding_shapes(spark, tmp_path):
     assert row["species"] == "S" and row["embedding"] == [1.5, 2.0]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files fall into many pieces, so that quotes and records cross them."""
+    names = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "50"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def hostile_text(rng, letters, most):
+    return "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+
+
+def test_split_csv(spark, tmp_path, small_splits):
+    """Pieces of files give the records and the order of a reader that goes through each file as a whole."""
+    rng = random.Random(2)
+    folder = tmp_path / "big"
+    folder.mkdir()
+    want = []
+    for f, end in enumerate(["\n", "\r\n"]):
+        with open(folder / f"{f}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator=end)
+            writer.writerow(["a", "b,c", "d"])
+            for i in range(150):
+                row = [f"{f}-{i}", hostile_text(rng, 'x",\n é', 40), "long " * 300 + '"\n"' if i == 70 else hostile_text(rng, "y", 5)]
+                writer.writerow(row)
+                want.append(tuple(row))
+    got = tables.read_split_table(spark, str(folder))
+    assert spark.read.option("lineSep", "\n").text(str(folder)).rdd.getNumPartitions() > 8
+    rows = sorted(got.collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in rows] == list(range(300))
+    assert [tuple(r[:3]) for r in rows] == want
+    (tmp_path / "odd.csv").write_text('\ufeffk,v\n\n1,a"b\n2,"x\n\ny"\n   \n3,\n4,it"s, more"\n')
+    odd = sorted(tuple(r) for r in tables.read_split_table(spark, str(tmp_path / "odd.csv"), ["k", "v"]).drop("position").collect())
+    assert odd[:3] == [("1", 'a"b'), ("2", "x\n\ny"), ("3", "")] and len(odd) == 4
+    with pytest.raises(ValueError):
+        tables.read_split_table(spark, str(tmp_path / "odd.csv"), ["k"])
+
+
+def test_split_json_lists(spark, tmp_path, small_splits):
+    rng = random.Random(3)
+    records = []
+    for i in range(200):
+        r = {"modality": rng.choice(["macro", "micro"]), "species": hostile_text(rng, 'ab{}[],"\\\n:é', 30), "embedding": [float(i)] * rng.randint(0, 30)}
+        if i % 3:
+            r["image_path"] = f"p{i}"
+        if i % 5 == 0:
+            r["extra"] = {"deep": [{"x": "}"}, {}], "more": "{"}
+        records.append(r)
+    forms = {
+        "list.json": json.dumps(records),
+        "pretty.json": json.dumps(records, indent=2, ensure_ascii=False) + "\n",
+        "object.json": json.dumps({"records": records, "after": {"records": [{"modality": "no"}]}}),
+        "spaced.json": " \n" + json.dumps({"records": records}, indent=1),
+    }
+    seen = {}
+    want = []
+    for r in records:
+        n = seen.setdefault(r["modality"], [0])
+        want.append((r.get("image_path", f"{r['modality']}:{n[0]}"), r["modality"], r["species"], tuple(r["embedding"])))
+        n[0] += 1
+    for name, text in forms.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        rows = embeddings.read_records(spark, str(tmp_path / name)).collect()
+        assert sorted((r["id"], r["modality"], r["species"], tuple(r["embedding"])) for r in rows) == sorted(want), name
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(r) for r in records))
+    rows = embeddings.read_records(spark, str(tmp_path / "lines.json"), lines=True).collect()
+    assert sorted(r["id"] for r in rows) == sorted(w[0] for w in want)
+    (tmp_path / "empty.json").write_text("[]")
+    assert embeddings.read_records(spark, str(tmp_path / "empty.json")).count() == 0
+    (tmp_path / "other.json").write_text('{"a": [1]}')
+    with pytest.raises(Exception, match="neither a list"):
+        embeddings.read_records(spark, str(tmp_path / "other.json")).collect()
+
+
+def test_array_rows_keep_ids_apart(spark):
+    row = ([[1.0], [2.0]], ["A b", "A b"], [[3.0]], ["C d"])
+    packed = spark.createDataFrame([row, row], "macro_emb array<array<double>>, macro_species array<string>, z_micro array<array<double>>, micro_labels array<string>")
+    ids = [r["id"] for r in embeddings.from_parallel_arrays(packed).collect()]
+    assert len(ids) == len(set(ids)) == 6 and all(i.startswith(("macro:", "micro:")) for i in ids)
+
+
 def test_json_and_filters(spark):
     text = sinks.json_text(spark.createDataFrame([(1, None, "x")], "b int, c string, a string")).first()[0]
     assert text == '{"a":"x","b":1,"c":null}'
