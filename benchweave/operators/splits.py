@@ -516,6 +516,31 @@ def split_summary(rows: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS)
     )
 
 
+def split_totals(rows: DataFrame, protocol: str, seed: int = 42, ratios: Mapping[str, float] = DEFAULT_RATIOS) -> DataFrame:
+    """One row for the whole protocol: seed, ratios, samples, groups and entities."""
+    ratios = check_ratios(ratios)
+    groups = rows.groupBy("species", "group_key").agg(F.count(F.lit(1)).alias("n"))
+    per_entity = groups.groupBy("species").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    out = per_entity.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_samples"), F.coalesce(F.sum("groups"), F.lit(0)).alias("group_count"), F.count(F.lit(1)).alias("species_count")
+    )
+    return out.select(F.lit(protocol).alias("protocol"), F.lit(seed).alias("seed"), *[F.lit(ratios[s]).alias(f"{s}_ratio") for s in SPLITS], *out.columns)
+
+
+def ratio_deviations(rows: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS) -> DataFrame:
+    """Splits whose share of the samples is off by more than the tolerance: wanted and actual ratio, their difference,
+    wanted and actual samples."""
+    ratios = check_ratios(ratios)
+    found = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).where(F.col("split").isin(list(SPLITS))).collect()}
+    total = sum(found.values())
+    out = []
+    for s in SPLITS:
+        actual = found.get(s, 0) / total if total else 0.0
+        if abs(actual - ratios[s]) > RATIO_TOLERANCE:
+            out.append((s, round(ratios[s], 6), round(actual, 6), round(actual - ratios[s], 6), round(total * ratios[s], 4), found.get(s, 0)))
+    return rows.sparkSession.createDataFrame(out, "split string, target_ratio double, actual_ratio double, delta_ratio double, target_samples double, actual_samples long")
+
+
 def split_warnings(rows: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS) -> DataFrame:
     """(kind, item): ratio deviations, splits without a modality, thin entities, entities lost after train."""
     ratios = check_ratios(ratios)

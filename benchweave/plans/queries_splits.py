@@ -239,6 +239,32 @@ def _(spark, sf):
     return splits.split_summary(rows(spark, sf))
 
 
+@query(
+    "agg_split_totals",
+    check(
+        "items",
+        "SELECT 'P3' AS protocol, 42 AS seed, 0.7::DOUBLE AS train_ratio, 0.15::DOUBLE AS val_ratio, 0.15::DOUBLE AS test_ratio, count(*) AS total_samples, count(DISTINCT group_key) AS group_count, count(DISTINCT species) AS species_count FROM rows",
+        **ROWS,
+    ),
+)
+def _(spark, sf):
+    return splits.split_totals(rows(spark, sf), "P3", SEED)
+
+
+@query(
+    "agg_ratio_deviations",
+    check(
+        "items",
+        """SELECT k AS split, r AS target_ratio, round_even(n / total, 6)::DOUBLE AS actual_ratio, round_even(n / total - r, 6)::DOUBLE AS delta_ratio, round_even(total * r, 4)::DOUBLE AS target_samples, n AS actual_samples
+           FROM (SELECT k, r, (SELECT count(*) FROM r0 WHERE split = k) AS n, (SELECT count(*) FROM r0) AS total FROM (VALUES ('train', 0.7::DOUBLE), ('val', 0.15::DOUBLE), ('test', 0.15::DOUBLE)) v(k, r)) WHERE abs(n / total - r) > 0.01""",
+        **ROUGH,
+        r0="SELECT s.*, a.split FROM samples s JOIN rough a USING (group_key)",
+    ),
+)
+def _(spark, sf):
+    return splits.ratio_deviations(splits.apply_split(samples(spark, sf), rough(spark, sf)))
+
+
 @query(
     "agg_split_warnings",
     check(

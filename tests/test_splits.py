@@ -148,6 +148,16 @@ def test_class_counts_and_warnings(spark):
     assert kinds["missing_from_val"] == 1 and kinds["too_few_samples"] == 2 and kinds["modality"] == 3
 
 
+def test_totals_and_deviations(spark):
+    rows = [("S", "g1", "train")] * 8 + [("S", "g2", "val")] + [("T", "g3", "train")]
+    df = spark.createDataFrame(rows, "species string, group_key string, split string")
+    total = splits.split_totals(df, "P1", 7).first()
+    assert (total["protocol"], total["seed"], total["total_samples"], total["group_count"], total["species_count"]) == ("P1", 7, 10, 3, 2)
+    got = {r["split"]: tuple(r)[1:] for r in splits.ratio_deviations(df).collect()}
+    assert got == {"train": (0.7, 0.9, 0.2, 7.0, 9), "val": (0.15, 0.1, -0.05, 1.5, 1), "test": (0.15, 0.0, -0.15, 1.5, 0)}
+    assert splits.ratio_deviations(df.where("false")).count() == 3 and splits.split_totals(df.where("false"), "P1").first()["total_samples"] == 0
+
+
 def test_batch_plan_rules(spark):
     rng = random.Random(5)
     rows = [(f"i{i}", "hot" if rng.random() < 0.35 else f"s{rng.randrange(12)}", "macro" if rng.random() < 0.8 else "micro") for i in range(1500)]
