@@ -6,13 +6,15 @@ are found within longer lines and paragraphs, and headers and short licences ove
 times inverse document frequency over all lines of the input. Only the templates' own words need counting (a bounded
 vocabulary); every occurrence of another word counts as a term of its own with the largest weight. Cheap upper bounds of
 the cosine leave a few units for the full product. The template of a text's best unit is its licence, ties in template
-order; ``SHARED`` templates only count where no other is found. ``licence_lines`` counts the lines that such units touch.
+order; ``SHARED`` templates only count where no other is found. ``licence_lines`` counts the lines that such units touch,
+``licence_share`` is the part of the words in them.
 
-Files marked as licence files speak for their folder (its most frequent licence, ties alphabetically). A file without a
+Licence files, told by name or by being mostly licence text (``is_licence_file``), speak for their folder; a folder whose
+licence files name different licences hands on none, nor do the folders above it to what is below. A file without a
 licence of its own takes that of the nearest folder above it: folders are joined to their ancestors by path, once per
 distinct folder, and the rows to their folder, so a folder with a third of all files costs one row.
 
-Null text has no lines. A null path inherits nothing. Repeated rows are scanned alike. Columns named like an output are
+Null text has no lines, empty tables give none. A null path inherits nothing. Repeated rows are scanned alike. Columns named like an output are
 replaced, others pass through.
 """
 
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +32,11 @@ from benchweave.llm.words import Words, text_slices
 
 THRESHOLD = 0.75
 LEAST_WINDOW = 3
-OUTPUTS = ("own_licence", "score", "licence_lines", "licence_first")
+UNITS = 2048  # units whose products with all templates are held at once
+MOSTLY = 0.8  # share of licence words that makes a file a licence file
+OUTPUTS = ("own_licence", "score", "licence_lines", "licence_share")
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_NONE: Found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 _GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
 _WARRANTY = "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
@@ -159,7 +165,7 @@ class Matcher:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
-    def best(self, words: Words, line: np.ndarray, threshold: float):
+    def best(self, words: Words, line: np.ndarray, threshold: float) -> Found:
         """First and last word, template and cosine of the units (``line`` numbers them) that reach ``threshold``."""
         term = self.terms(words.hashes)
         units, unit = np.unique(line, return_inverse=True)
@@ -168,26 +174,32 @@ class Matcher:
         of, which = pair // len(self.vocabulary), pair % len(self.vocabulary)
         inside = np.bincount(of, weights=(times * self.idf[which]) ** 2, minlength=len(units))
         total = inside + np.bincount(unit[~known], minlength=len(units)) * self.rare**2
-        hopeful = inside >= threshold**2 * total
-        keep = hopeful[of]
-        at = np.flatnonzero(hopeful)
-        dense = np.zeros((len(at), len(self.vocabulary)))
-        dense[np.searchsorted(at, of[keep]), which[keep]] = times[keep] * self.idf[which[keep]]
-        cosine = dense @ self.vectors.T / np.sqrt(total[at])[:, None]
-        top = cosine.argmax(axis=1) if len(at) else np.zeros(0, dtype=int)
-        score = cosine[np.arange(len(at)), top]
-        good = score >= threshold
-        first_word, after = np.searchsorted(line, units[at[good]]), np.searchsorted(line, units[at[good]], side="right")
-        return list(zip(first_word.tolist(), (after - 1).tolist(), top[good].tolist(), np.minimum(1.0, score[good]).tolist(), strict=True))
-
-    def windows(self, words: Words, threshold: float) -> list[tuple[int, int, int, float]]:
+        at = np.flatnonzero(inside >= threshold**2 * total)
+        parts = []
+        for i in range(0, len(at), UNITS):  # so many units at a time have a row of products, however long the text is
+            some = at[i : i + UNITS]
+            a, b = np.searchsorted(of, [some[0], some[-1] + 1])
+            keep = np.isin(of[a:b], some)
+            rows, cols, n = of[a:b][keep], which[a:b][keep], times[a:b][keep]
+            dense = np.zeros((len(some), len(self.vocabulary)))
+            dense[np.searchsorted(some, rows), cols] = n * self.idf[cols]
+            cosine = dense @ self.vectors.T / np.sqrt(total[some])[:, None]
+            top = cosine.argmax(axis=1)
+            score = cosine[np.arange(len(some)), top]
+            good = score >= threshold
+            parts.append((some[good], top[good], np.minimum(1.0, score[good])))
+        hit, top, score = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else _NONE[1:]
+        hit = hit.astype(np.int64)
+        return np.searchsorted(line, units[hit]), np.searchsorted(line, units[hit], side="right") - 1, top.astype(np.int64), score
+
+    def windows(self, words: Words, threshold: float) -> Found:
         """The same for windows of each template's number of words, at every word and across lines.
 
         Product and squared length are sums over the words as long as none repeats; repeats only lengthen a window, so
         these running sums bound the cosine from above, and the windows left are computed one by one. Only windows with
         one of the template's heaviest words are looked at.
         """
-        term, out = self.terms(words.hashes), []
+        term, out = self.terms(words.hashes), [_NONE]
         row = words.rows()
         squares = np.concatenate([[0], np.cumsum(self.square[term])])
         marked = np.flatnonzero(self.anchors.any(axis=0)[term])
@@ -204,17 +216,20 @@ class Matcher:
             products = np.concatenate([[0], np.cumsum(self.gain[t][term[near]])])
             product = products[np.searchsorted(near, stop)] - products[np.searchsorted(near, starts)]
             hopeful = (product > 0) & (product >= threshold * np.sqrt(squares[stop] - squares[starts]) - 1e-6)
-            for i, end in zip(starts[hopeful].tolist(), stop[hopeful].tolist(), strict=True):
+            starts, stop = starts[hopeful], stop[hopeful]
+            scores = np.zeros(len(starts))
+            for at_window, (i, end) in enumerate(zip(starts, stop, strict=True)):
                 inside = term[i:end]
                 known, times = np.unique(inside[inside >= 0], return_counts=True)
                 length = ((times * self.idf[known]) ** 2).sum() + (inside < 0).sum() * self.rare**2
-                score = (times * self.gain[t][known]).sum() / np.sqrt(length)
-                if score >= threshold:
-                    out.append((i, end - 1, t, min(1.0, float(score))))
-        return out
+                scores[at_window] = (times * self.gain[t][known]).sum() / np.sqrt(length)
+            good = scores >= threshold
+            out.append((starts[good], stop[good] - 1, np.full(good.sum(), t), np.minimum(1.0, scores[good])))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def found(self, words: Words, line: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
-        return self.best(words, line, threshold) + self.best(words, words.sentence, threshold) + self.windows(words, threshold)
+    def found(self, words: Words, line: np.ndarray, threshold: float) -> Found:
+        ways = (self.best(words, line, threshold), self.best(words, words.sentence, threshold), self.windows(words, threshold))
+        return tuple(np.concatenate(c) for c in zip(*ways, strict=True))
 
 
 def _count_terms(templates: list[tuple[str, str]]):
@@ -234,7 +249,7 @@ def _count_terms(templates: list[tuple[str, str]]):
 
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``own_licence``, ``score`` (its cosine, 0 without), ``licence_lines``, and ``licence_first``: on the first line.
+    """``docs`` with ``own_licence``, ``score`` (its cosine, 0 without), ``licence_lines``, and ``licence_share`` of its words.
 
     Without ``keep_text`` the texts are read but not handed on.
     """
@@ -252,40 +267,48 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
             for a, b in text_slices(batch.column(at)):
                 part = batch.slice(a, b - a)
                 words, line = _units(part.column(at))
-                name, best, first = [None] * (b - a), np.zeros(b - a), np.zeros(b - a, dtype=bool)
-                ranks: list[tuple] = [()] * (b - a)
                 marked, row = np.zeros(len(line) + 1, dtype=np.int64), words.rows()
-                for w, last, t, s in matcher.found(words, line, threshold):
-                    r = row[w]
-                    first[r] |= line[w] == line[words.offsets[r]]
-                    marked[w] += 1
-                    marked[last + 1] -= 1
-                    rank = (not matcher.weak[t], round(s, 9), -t)
-                    if rank > ranks[r]:
-                        name[r], best[r], ranks[r] = matcher.names[t], s, rank
+                w, last, t, s = matcher.found(words, line, threshold)
+                of = row[w]
+                np.add.at(marked, w, 1)
+                np.add.at(marked, last + 1, -1)
+                order = np.lexsort((t, -np.round(s, 9), matcher.weak[t], of))
+                rows, one = np.unique(of[order], return_index=True)
+                chosen = order[one]
+                name, best = np.full(b - a, None, dtype=object), np.zeros(b - a)
+                name[rows], best[rows] = [matcher.names[i] for i in t[chosen].tolist()], s[chosen]
                 covered = np.cumsum(marked[:-1]) > 0
                 _, one = np.unique(line[covered], return_index=True)
                 lines = np.bincount(row[covered][one], minlength=b - a)
+                share = np.bincount(row[covered], minlength=b - a) / np.maximum(1, words.counts)
                 kept = part if keep_text else pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at], [f.name for f in fields])
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(name, pa.string()), pa.array(best), pa.array(lines, pa.int64()), pa.array(first)], [*kept.schema.names, *OUTPUTS])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(name, pa.string()), pa.array(best), pa.array(lines, pa.int64()), pa.array(share)], [*kept.schema.names, *OUTPUTS])
 
-    kinds = [T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()]
+    kinds = [T.StringType(), T.DoubleType(), T.LongType(), T.DoubleType()]
     return base.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(OUTPUTS, kinds, strict=True))]))
 
 
-def inherit(files: DataFrame, path: str = "path", licence: str = "own_licence", speaks: str = "licence_first") -> DataFrame:
+def is_licence_file(path: str = "path", share: str = "licence_share") -> Column:
+    """True for files named like licence files and for those whose words are mostly licence text."""
+    named = F.coalesce(F.lower(F.col(path)).rlike(r"(^|/)(un)?(licen[cs]e|copying|copyright|notice)([._-][^/]*)?$"), F.lit(False))
+    return named | (F.col(share) >= MOSTLY)
+
+
+def inherit(files: DataFrame, path: str = "path", licence: str = "own_licence", speaks: Column | None = None) -> DataFrame:
     """``files`` with ``licence`` and ``licence_from``: its own path, the folder it is inherited from, or null.
 
-    ``files`` is read three times (votes, folders, rows): stage it first where it is costly.
+    ``files`` is read three times (licences, folders, rows): stage it first where it is costly.
     """
+    speaks = is_licence_file(path) if speaks is None else speaks
     folder = F.regexp_extract(F.col(path), r"(?s)^(.*)/[^/]*$", 1)
     placed = files.drop("licence", "licence_from").withColumn("__folder", F.when(F.col(path).isNotNull(), folder))
-    votes = placed.where(F.col(speaks) & F.col(licence).isNotNull() & F.col("__folder").isNotNull()).groupBy("__folder", licence).count()
-    spoken = votes.groupBy("__folder").agg(F.min(F.struct((-F.col("count")).alias("n"), F.col(licence).alias("name"))).alias("best")).select(F.col("__folder").alias("above"), F.col("best.name").alias("name"))
+    said = placed.where(speaks & F.col(licence).isNotNull() & F.col("__folder").isNotNull())
+    spoken = said.groupBy(F.col("__folder").alias("above")).agg(F.min(licence).alias("least"), F.max(licence).alias("most"))
+    spoken = spoken.select("above", F.when(F.col("least") == F.col("most"), F.col("least")).alias("name"))
     parts = F.split("__folder", "/")
     levels = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))
     above = placed.where("__folder is not null").select("__folder").distinct().select("__folder", F.explode(levels).alias("level")).select("__folder", "level.depth", "level.above")
     nearest = above.join(spoken, "above").groupBy("__folder").agg(F.max(F.struct("depth", "above", "name")).alias("__near"))
     joined = placed.join(nearest, "__folder", "left")
     own = F.col(licence).isNotNull()
-    return joined.withColumn("licence", F.coalesce(F.col(licence), F.col("__near.name"))).withColumn("licence_from", F.when(own, F.col(path)).otherwise(F.col("__near.above"))).drop("__folder", "__near")
+    return joined.withColumn("licence", F.coalesce(F.col(licence), F.col("__near.name"))).withColumn("licence_from", F.when(own, F.col(path)).when(F.col("__near.name").isNotNull(), F.col("__near.above"))).drop("__folder", "__near")

@@ -118,12 +118,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of the tree source / language / block of ids; those with a licence line stand for licence files."""
+    """Documents as files of the tree source / language / block of ids; those of mostly licence text are its licence files."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
     scanned = license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), keep_text=False)
-    files = stage(scanned.withColumn("speaks", F.col("own_licence").isNotNull()), "licence-files")
-    return license_scan.inherit(files, speaks="speaks").select("doc_id", "path", "own_licence", "score", "licence_lines", "licence", "licence_from")
+    files = stage(scanned, "licence-files")
+    return license_scan.inherit(files).select("doc_id", "path", "own_licence", "score", "licence_lines", "licence_share", "licence", "licence_from")
 
 
 @query("op11_sentence_pieces")
