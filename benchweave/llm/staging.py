@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,30 +14,43 @@ from pyspark.sql import functions as F
 from benchweave.session import ensure_checkpoint_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_staged: dict[str, list[str]] = {}
+_scope = threading.local()
 
 
-def stage(df: DataFrame, label: str, held: bool = False) -> DataFrame:
+@contextmanager
+def collecting(tables: list[DataFrame]) -> Iterator[None]:
+    """Note in ``tables`` what this thread stages meanwhile, so that its caller can ``discard`` just that."""
+    before = getattr(_scope, "tables", None)
+    _scope.tables = tables
+    try:
+        yield
+    finally:
+        _scope.tables = before
+
+
+def stage(df: DataFrame, label: str, held: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     The written table survives lost executors and ends the lineage; the shuffle files of the write are removed as
-    soon as it has finished. ``release`` removes the table unless it is ``held``; ``discard`` removes it in any case.
+    soon as it has finished. ``discard`` removes the table; one that is not ``held`` is noted by ``collecting``.
+    With ``by`` the files are kept in a folder for each of its values, so that readers of one value skip the others.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    if not held:
-        _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    noted = getattr(_scope, "tables", None)
+    if noted is not None and not held:
+        noted.append(out)
     return out
 
 
@@ -44,18 +60,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove staged tables that no later step reads, that is, whose readers have all been staged themselves."""
+    """Remove staged tables that no later step reads, that is, whose readers have all been staged or written themselves."""
     for table in tables:
         _delete(table.sparkSession, table._staged_at)
-        known = _staged.get(table.sparkSession.sparkContext.applicationId, [])
-        if table._staged_at in known:
-            known.remove(table._staged_at)
-
-
-def release(spark: SparkSession) -> None:
-    """Remove every table staged so far; call it once the results that read them are written."""
-    for path in _staged.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
 
 
 def row_key(*cols: str) -> Column:

@@ -439,6 +439,66 @@ def test_licences_within_texts(spark):
     assert all(r.licence_lines == c[2] for r, c in zip(got, cases, strict=True) if c[2] is not None)
 
 
+def test_licence_of_a_long_text(spark):
+    """A licence on each of very many lines, and one line of very many words; products are held for a few units only."""
+    lines = "MIT License.\n" * 40_000
+    one = ("plain words and more of them " * 40_000) + "Licensed under the Apache License, Version 2.0. " + ("other words of all kinds " * 40_000)
+    got = license_scan.scan(spark.createDataFrame([(0, lines), (1, one)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.own_licence, r.licence_lines) for r in got] == [("MIT", 40_000), ("Apache-2.0", 1)]
+    assert got[0].licence_share == 1 and got[1].licence_share < 0.001
+
+
+def test_licences_in_conflict(spark):
+    """Folders whose licence files disagree hand on nothing; files that mention a licence in passing are no licence files."""
+    plain = "words of no licence at all"
+    rows = [
+        ("LICENSE", "Released under the MIT License."),
+        ("a/COPYING", "Released under the MIT License."),
+        ("a/LICENSE.txt", "# Licensed under the Apache License, Version 2.0."),
+        ("a/b/x", plain),
+        ("c/readme", "a long story of many plain words that goes on and on. Released under the GNU General Public License v3.0. and on and on it goes"),
+        ("c/x", plain),
+    ]
+    got = license_scan.inherit(license_scan.scan(spark.createDataFrame(rows, "path string, text string"))).collect()
+    found = {r.path: (r.licence, r.licence_from) for r in got}
+    assert found["a/b/x"] == (None, None) and found["c/x"] == ("MIT", "")
+    assert found["c/readme"][1] == "c/readme"
+
+
+def test_exact_slices(spark, corpus):
+    """The sliced filter lets few unique rows through, keeps every group, and hot texts need no task of their own."""
+    unique = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    copies = spark.range(4000, 6000).select(F.col("id").alias("doc_id"), F.lit("the same").alias("text"))
+    docs = unique.union(copies)
+    rows, bits, slices = exact_dedup._sliced(docs, [F.col("doc_id").alias("id")], "text")
+    assert slices == 1
+    whole = Counter(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    before = exact_dedup.MAX_BITS
+    exact_dedup.MAX_BITS = 1 << 14
+    try:
+        rows, bits, slices = exact_dedup._sliced(docs, [F.col("doc_id").alias("id")], "text")
+        assert bits == 1 << 14 and slices == 4
+        shuffled = exact_dedup._by_slice(rows, bits, slices, lambda tested: tested.where("__maybe and id < 4000"))
+        assert shuffled.count() < 0.05 * 4000
+        assert Counter(map(tuple, exact_dedup.exact_groups(docs).collect())) == whole
+        left = exact_dedup.drop_exact_copies(docs)
+        assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == list(range(4001))
+    finally:
+        exact_dedup.MAX_BITS = before
+
+
+def test_stages_remove_only_their_own_tables(spark):
+    """A lazy result of another operator can still be read after pipeline stages ran in the same session."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    other = exact_dedup.exact_groups(docs)
+    first = corpus_pipeline.exact_copies(spark, docs, "")
+    kept = first.count()
+    corpus_pipeline.pack_sequences(spark, docs, "")
+    assert other.where("kept").count() == kept
+
+
 def test_pipeline_small(spark):
     """Each filter takes effect on a small table and the last stage packs what is left."""
     import corpus_pipeline
