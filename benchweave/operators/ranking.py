@@ -17,6 +17,8 @@ from benchweave.session import cut_lineage, small_side, spread
 
 SAMPLE_PER_BUCKET = 32
 MAX_BUCKETS = 256
+FEW_VALUES = 1 << 16
+DIGITS = 1 << 16
 
 
 def range_bucket(df: DataFrame, order: Sequence, buckets: int | None = None) -> Column:
@@ -119,30 +121,83 @@ def running_max(
     return joined.withColumn(out, F.greatest("_inside", "_offset")).select(*df.columns, out)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation percentiles per key.
+def _magnitude(value: Column) -> Column:
+    """A digit that rises with a double: its sign and binary exponent, with places for zero, the infinities and NaN."""
+    power = F.floor(F.log2(F.abs(value))).cast("int") + 1200
+    inf = float("inf")
+    return F.when(F.isnan(value), 5000).when(value == inf, 4000).when(value == -inf, -4000).when(value == 0, 0).when(value > 0, power).otherwise(-power)
 
-    Equal values are counted first, the counts get running sums over buckets, and each percentile picks the
-    values at its two neighbouring ranks with plain ``min`` aggregates: no task holds a group's values.
+
+def _histogram(rows: DataFrame, place: Sequence[str], base: Column) -> DataFrame:
+    """Per place and ``_digit``: rows before it, rows, distinct values, least and most value. Digits per place are few."""
+    parts = rows.groupBy(*place, "_digit").agg(
+        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_distinct"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+    )
+    before = Window.partitionBy(*place).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)) + base)
+
+
+def select_ranks(counts: DataFrame, keys: Sequence[str], ranks: DataFrame, few: int = FEW_VALUES) -> DataFrame:
+    """``ranks`` with ``_v``, the value at ``_rank`` (from 0) among the rows of its key; exact, without sorting the rows.
+
+    ``counts`` holds every distinct double ``_v`` of a key once, with its number of rows ``_n``. The values are counted
+    by sign and exponent; only the digit that holds a wanted rank is looked into, cut into ``DIGITS`` equal ranges each
+    time, until it holds at most ``few`` distinct values, which are then put in order. Within one exponent three cuts reach
+    single values, so the rounds are few whatever the distribution. All keys and ranks share the rounds.
+    """
+    keys, bounds = list(keys), ["_least", "_most"]
+    first = _histogram(counts.withColumn("_digit", _magnitude(F.col("_v"))), keys, F.lit(0))
+    hit = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_rows"))
+    found = cut_lineage(small_side(ranks).join(first, keys).where(hit).drop("_digit"))
+    inside = lambda places: counts.join(small_side(places), keys).where(F.col("_v").between(F.col("_least"), F.col("_most")))
+    wide = (F.col("_distinct") > few) & (F.col("_least") < F.col("_most"))
+    done = None
+    while not (still := found.where(wide)).isEmpty():
+        closed = found.where(~wide)
+        done = closed if done is None else done.union(closed)
+        places = still.select(*keys, F.col("_before").alias("_base"), *bounds).distinct()
+        share = (F.col("_v") - F.col("_least")) / (F.col("_most") - F.col("_least"))
+        rows = inside(places).withColumn("_digit", F.least(F.floor(share * DIGITS).cast("int"), F.lit(DIGITS - 1)))
+        rows = rows.withColumnsRenamed({"_least": "_from", "_most": "_to"})
+        place = [*keys, "_base", "_from", "_to"]
+        finer = _histogram(rows, place, F.col("_base")).withColumnsRenamed({"_base": "_above"})
+        asked = still.select(*ranks.columns, F.col("_before").alias("_above"))
+        found = cut_lineage(asked.join(finer, [*keys, "_above"]).where(hit).select(*found.columns))
+    done = found if done is None else done.union(found)
+    single = F.col("_least") == F.col("_most")
+    places = done.where(~single).select(*keys, F.col("_before").alias("_base"), *bounds).distinct()
+    line = Window.partitionBy(*keys, "_base").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = inside(places).withColumn("_upto", F.col("_base") + F.sum("_n").over(line)).select(*keys, "_base", "_v", "_n", "_upto")
+    asked = done.where(~single).select(*ranks.columns, F.col("_before").alias("_base"))
+    at = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
+    picked = asked.join(ordered, [*keys, "_base"]).where(at).select(*ranks.columns, "_v")
+    return done.where(single).select(*ranks.columns, F.col("_least").alias("_v")).union(picked)
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], few: int = FEW_VALUES) -> DataFrame:
+    """Exact linear-interpolation percentiles per key, as doubles; NaN counts as the largest value, NULL not at all.
+
+    Equal values are counted first; ``select_ranks`` then finds the values at the two ranks beside each percentile, so
+    neither a task nor a sort holds a group's values.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("percentiles needs at least one key column")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    # The counts feed the boundary sample, the totals and the running sums: they are taken once.
-    counts = cut_lineage(counts)
-    totals = small_side(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")))
-    ranked = running_total(counts, keys, [value], "_n", "_upto")
-    ranked = ranked.join(totals, keys)
-    aggs = []
-    for name, p in points.items():
-        rank = (F.col("_total") - 1) * F.lit(float(p))
-        low, high = F.floor(rank), F.ceil(rank)
-        aggs.append(F.min(F.when(F.col("_upto") > low, F.col(value))).alias(f"_{name}_lo"))
-        aggs.append(F.min(F.when(F.col("_upto") > high, F.col(value))).alias(f"_{name}_hi"))
-        aggs.append(F.max(rank - low).alias(f"_{name}_w"))
-    picked = ranked.groupBy(*keys).agg(*aggs)
-    blends = [
-        (F.col(f"_{n}_lo") * (F.lit(1.0) - F.col(f"_{n}_w")) + F.col(f"_{n}_hi") * F.col(f"_{n}_w")).alias(n) for n in points
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(counts)  # read by the totals and by every round
+    at = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in points.items()}
+    wanted = [
+        F.struct(F.lit(f"{name}{side}").alias("_name"), edge(rank).cast("bigint").alias("_rank"), (rank - F.floor(rank)).alias("_w"))
+        for name, rank in at.items()
+        for side, edge in (("_lo", F.floor), ("_hi", F.ceil))
     ]
-    return picked.select(*keys, *blends)
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranks = totals.select(*keys, F.explode(F.array(*wanted)).alias("x")).select(*keys, "x.*")
+    chosen = select_ranks(counts, keys, ranks, few)
+    aggs = [F.max(F.when(F.col("_name") == f"{n}{side}", F.col("_v"))).alias(f"_{n}{side}") for n in points for side in ("_lo", "_hi")]
+    weights = [F.max(F.when(F.col("_name") == f"{n}_lo", F.col("_w"))).alias(f"_{n}_w") for n in points]
+    # A weight of zero leaves the lower value alone, also beside an infinite one.
+    blend = lambda n: F.when(F.col(f"_{n}_w") == 0, F.col(f"_{n}_lo")).otherwise(
+        F.col(f"_{n}_lo") * (F.lit(1.0) - F.col(f"_{n}_w")) + F.col(f"_{n}_hi") * F.col(f"_{n}_w")
+    )
+    return chosen.groupBy(*keys).agg(*aggs, *weights).select(*keys, *[blend(n).alias(n) for n in points])

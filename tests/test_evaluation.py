@@ -276,3 +276,29 @@ def test_confidences_outside_the_grid_stay_in_the_total(spark):
     curve = {round(r["tau"], 3): r for r in calibration.calibrate(df, 10).collect()}
     assert (curve[0.0]["coverage"], curve[0.0]["n_flagged"]) == (0.4, 3)
     assert (curve[1.0]["coverage"], curve[1.0]["precision"], curve[1.0]["n_flagged"]) == (0.2, 0.0, 4)
+
+
+def test_percentiles_in_rounds(spark):
+    """Ranks found by digits equal those of a sort: many magnitudes, ties, both signs, infinities, one hot key."""
+    rng = np.random.default_rng(3)
+    groups = {
+        "wide": rng.choice([-1, 1], 3000) * 10.0 ** rng.uniform(-300, 300, 3000),
+        "close": 1.0 + rng.integers(0, 4000, 6000) * 2.0**-52,
+        "ties": np.repeat([0.0, -0.0, 5.0], 700),
+        "small": rng.integers(-2000, 2000, 3000) * 5e-324,
+        "ends": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf]),
+        "one": np.array([7.25]),
+    }
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    points = {"p0": 0.0, "p05": 0.05, "med": 0.5, "p95": 0.95, "p1": 1.0}
+    for few in (1, 50, 1 << 16):
+        got = {r["k"]: r for r in percentiles(df, ["k"], "v", points, few).collect()}
+        assert set(got) == set(groups)
+        for k, vs in groups.items():
+            line = sorted(vs.tolist())
+            for name, p in points.items():
+                rank = (len(line) - 1) * p
+                low, w = math.floor(rank), rank - math.floor(rank)
+                want = line[low] if w == 0 else line[low] * (1.0 - w) + line[math.ceil(rank)] * w
+                assert got[k][name] == want, (few, k, name)
