@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from benchweave.functions.names import tokens
 from benchweave.functions.paths import join_path
 from benchweave.operators.filters import is_uncertain, status_class
-from benchweave.operators.ranking import running_total
+from benchweave.operators.ranking import row_numbers, running_total
 from benchweave.schemas import MANIFEST_COLUMNS, MODALITIES, OVERLAP_COLUMNS, PROTOCOLS, UNCERTAIN_COLUMNS
+from benchweave.session import cut_lineage
 
 
 def count_if(condition: Column) -> Column:
@@ -107,6 +108,25 @@ def taxonomy_summary(profile: DataFrame, catalogue: DataFrame) -> DataFrame:
     return per_modality.unionByName(coverage).unionByName(group_rows).unionByName(protocol_rows)
 
 
+def taxonomy_names(profile: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The sorted name lists beside ``taxonomy_summary``: (section, kind, position from 1, name), one row per name.
+
+    Kinds are ``extra_species`` and ``genus_only_species`` per modality, and ``missing_species``: catalogue names without
+    a matched row in the modality. Positions come from bucketed ranks, so a list may be of any length.
+    """
+    name = F.col("normalized_species_name")
+    outside = F.when(F.col("modality") == "macro", F.col("matched_species_name") == "").otherwise(F.col("protocol_usage") == "")
+    kinds = F.array_compact(
+        F.array(F.when(outside, F.lit("extra_species")), F.when(F.col("taxonomy_match_status") == "genus_match_only", F.lit("genus_only_species")))
+    )
+    rows = profile.where(name.isNotNull()).select(F.col("modality").alias("section"), F.explode(kinds).alias("kind"), name.alias("name"))
+    for modality in MODALITIES:
+        lost = missing_names(catalogue, profile, modality)
+        rows = rows.unionByName(lost.select(F.lit(modality).alias("section"), F.lit("missing_species").alias("kind"), F.col("species").alias("name")))
+    named = cut_lineage(rows.distinct())
+    return row_numbers(named, ["section", "kind"], ["name"], "position").select("section", "kind", "position", "name")
+
+
 def missing_names(catalogue: DataFrame, manifest: DataFrame, modality: str) -> DataFrame:
     """Catalogue names with no matched row in the modality."""
     seen = manifest.where((F.col("modality") == modality) & (F.col("matched_species_name") != ""))

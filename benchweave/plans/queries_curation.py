@@ -332,6 +332,21 @@ def _summary_sql() -> str:
 SUMMARY = _summary_sql()
 
 
+def _names_sql() -> str:
+    parts = []
+    for m in ("macro", "micro"):
+        extra = "matched_species_name = ''" if m == "macro" else "protocol_usage = ''"
+        parts.append(f"SELECT DISTINCT '{m}' AS section, 'extra_species' AS kind, normalized_species_name AS name FROM t WHERE modality = '{m}' AND {extra}")
+        parts.append(f"SELECT DISTINCT '{m}', 'genus_only_species', normalized_species_name FROM t WHERE modality = '{m}' AND taxonomy_match_status = 'genus_match_only'")
+        parts.append(f"SELECT DISTINCT '{m}', 'missing_species', species FROM catalogue WHERE species NOT IN (SELECT matched_species_name FROM t WHERE modality = '{m}')")
+    return "SELECT section, kind, row_number() OVER (PARTITION BY section, kind ORDER BY name) AS position, name FROM (" + " UNION ALL ".join(parts) + ") WHERE name IS NOT NULL"
+
+
+@query("agg_taxonomy_names", check("items catalogue", _names_sql(), t=TAGGED))
+def _(spark, sf):
+    return reports.taxonomy_names(reports.name_profile(tagged_items(spark, sf)), catalogue(spark, sf))
+
+
 @query("agg_taxonomy_summary", check("items catalogue", SUMMARY, t=TAGGED))
 def _(spark, sf):
     return reports.taxonomy_summary(reports.name_profile(tagged_items(spark, sf)), catalogue(spark, sf))
