@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from benchweave.plans.dialect import SparkDialect
 from benchweave.plans.queries_metrics import D_LOSS, D_PRED, D_STEPS, LOSSES
 from benchweave.plans.registry import query
 from benchweave.plans.views import check, view
+from benchweave.session import ensure_checkpoint_dir
 from benchweave.streaming import accumulators as S
 
 
@@ -55,6 +58,25 @@ def _(spark, sf):
     return S.drain(S.best_epochs(events))
 
 
+@query(
+    "str_history_json",
+    """SELECT user_id AS run, arg_min(event_id, event_id) FILTER (value = m) AS best_epoch, max(value) AS best_metric, count(*) AS epochs
+       FROM (SELECT cast(user_id AS varchar) AS user_id, event_id, value, max(value) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY user_id""",
+)
+def _(spark, sf):
+    """All events as an appended JSON-lines history, tailed as a stream."""
+    root = f"{ensure_checkpoint_dir(spark)}/histories/{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    records = events.select(
+        F.col("user_id").cast("string").alias("run"),
+        F.col("event_id").alias("epoch"),
+        F.col("event_type").alias("stage_name"),
+        F.create_map(F.lit("score"), F.col("value").cast("double")).alias("val_metrics"),
+    )
+    records.write.json(root)
+    return S.drain(S.best_epochs(S.metric_rows(S.history_stream(spark, root), "score")))
+
+
 def _double(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": batch["id"], "modality": batch["modality"], "total": [round(float(np.sum(v, dtype=np.float64)) * 2, 4) for v in batch["embedding"]]})
 

@@ -42,6 +42,11 @@ def history_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
     return read_stream(spark, path, HISTORY_SCHEMA, "json", files_per_batch)
 
 
+def metric_rows(history: DataFrame, metric: str, group: str = "val_metrics") -> DataFrame:
+    """(run, epoch, stage_name, metric) of one named metric; records without it have NULL."""
+    return history.select("run", "epoch", "stage_name", F.try_element_at(group, F.lit(metric)).alias("metric"))
+
+
 def best_epochs(history: DataFrame, metric: str = "metric", mode: str = "max", keys=("run",)) -> DataFrame:
     """Best epoch per run so far, the earliest one among equals; state holds one row per run.
 

@@ -208,3 +208,28 @@ def test_transform_needs_every_modality(spark):
     assert custom.map_items(df, lambda b: b, df.schema).count() == 2
     with pytest.raises(Exception, match="no transform"):
         custom.map_items(df, {"macro": lambda b: b}, df.schema).collect()
+
+
+def test_json_history_grows(spark, tmp_path):
+    """After every appended file, in any order of epochs, the drained stream equals the batch result over all files."""
+    import json
+
+    from benchweave.streaming import accumulators as S
+
+    folder = tmp_path / "history"
+    folder.mkdir()
+    spells = [
+        [("a", 3, 0.5), ("b", 1, None), ("a", 1, 0.2)],
+        [("a", 2, 0.5), ("b", 2, 0.1), ("c", 9, float("nan"))],
+        [("b", 0, 0.1), ("a", 7, 0.4), ("c", 1, 0.3)],
+    ]
+    best: dict = {}
+    for i, spell in enumerate(spells):
+        lines = [{"run": r, "epoch": e, "stage_name": "s", "val_metrics": {} if v is None else {"score": v, "other": 1.0}} for r, e, v in spell]
+        (folder / f"part{i}.json").write_text("\n".join(map(json.dumps, lines)) + "\n")
+        for r, e, v in spell:
+            if v is not None and v == v:
+                top, epochs = best.get(r, ((-1.0, 0), 0))
+                best[r] = (max(top, (v, -e)), epochs + 1)
+        rows = S.drain(S.best_epochs(S.metric_rows(S.history_stream(spark, str(folder)), "score")), str(tmp_path / "out")).collect()
+        assert {r.run: (r.best_metric, r.best_epoch, r.epochs) for r in rows} == {r: (v, -e, n) for r, ((v, e), n) in best.items()}
