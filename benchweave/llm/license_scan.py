@@ -217,12 +217,19 @@ class Matcher:
             product = products[np.searchsorted(near, stop)] - products[np.searchsorted(near, starts)]
             hopeful = (product > 0) & (product >= threshold * np.sqrt(squares[stop] - squares[starts]) - 1e-6)
             starts, stop = starts[hopeful], stop[hopeful]
-            scores = np.zeros(len(starts))
-            for at_window, (i, end) in enumerate(zip(starts, stop, strict=True)):
+            scores, known_scores = np.zeros(len(starts)), {}
+            for at_window, (i, end) in enumerate(zip(starts.tolist(), stop.tolist(), strict=True)):
                 inside = term[i:end]
+                same = inside.tobytes()  # equal windows, as in a notice repeated many times, are computed once
+                if same in known_scores:
+                    scores[at_window] = known_scores[same]
+                    continue
                 known, times = np.unique(inside[inside >= 0], return_counts=True)
                 length = ((times * self.idf[known]) ** 2).sum() + (inside < 0).sum() * self.rare**2
                 scores[at_window] = (times * self.gain[t][known]).sum() / np.sqrt(length)
+                if len(known_scores) >= UNITS:
+                    known_scores.clear()
+                known_scores[same] = scores[at_window]
             good = scores >= threshold
             out.append((starts[good], stop[good] - 1, np.full(good.sum(), t), np.minimum(1.0, scores[good])))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
