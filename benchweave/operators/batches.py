@@ -9,7 +9,7 @@ from benchweave.functions.hashing import hash_uniform, hex_prefix, stable_hash
 from benchweave.operators.metrics import inverse_frequency
 from benchweave.operators.ranking import row_numbers, running_total, top_rows
 from benchweave.schemas import MODALITIES
-from benchweave.session import cut_lineage, spread
+from benchweave.session import cut_lineage, small_side, spread
 
 ENTITY_BLOCK = 4096
 
@@ -47,9 +47,13 @@ def _intervals(entities: DataFrame, keys: list[str], slices: int) -> DataFrame:
 
 
 def _resolve(draws: DataFrame, intervals: DataFrame, keys: list[str], slices: int) -> DataFrame:
-    """The entity each uniform ``u`` falls on: an equi-join on the slice, then an interval test."""
+    """The entity each uniform ``u`` falls on: an equi-join on the slice, then an interval test.
+
+    Draws come from ``explode``, whose rows the planner does not count, so they must never be taken for the small side:
+    counted intervals are broadcast, and with too many of them both sides are shuffled.
+    """
     cut = draws.withColumn("_slice", F.least(F.floor(F.col("u") * slices), F.lit(slices - 1)))
-    hits = cut.join(intervals, [*keys, "_slice"]).where((F.col("u") >= F.col("_lo")) & (F.col("u") < F.col("_up")))
+    hits = cut.hint("merge").join(small_side(cut_lineage(intervals)), [*keys, "_slice"]).where((F.col("u") >= F.col("_lo")) & (F.col("u") < F.col("_up")))
     return hits.drop("_slice", "_lo", "_up")
 
 
@@ -64,7 +68,7 @@ def pick_entities(batches: DataFrame, entities: DataFrame, k: int, seed: int = 4
     goes on with exponential keys ``-ln(u) / weight`` over the entities it has not seen: the same law, and one step
     however uneven the weights are.
     """
-    pool = entities.select("species", "weight")
+    pool = cut_lineage(entities.select("species", "weight"))
     population = pool.count()
     k = min(k, population)
     if k <= 0:
@@ -80,7 +84,7 @@ def pick_entities(batches: DataFrame, entities: DataFrame, k: int, seed: int = 4
         return picked
     blocks = -(-population // ENTITY_BLOCK)
     cut = pool.withColumn("_block", F.pmod(F.xxhash64("species"), F.lit(blocks)).cast("int"))
-    open_pairs = short.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "_block")
+    open_pairs = short.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).hint("merge").join(small_side(cut), "_block")
     unseen = open_pairs.join(picked.select("batch_id", "species"), ["batch_id", "species"], "left_anti")
     keyed = unseen.withColumn("_key", -F.log1p(-hash_uniform(seed, F.lit(tag), F.lit("rest"), "batch_id", "species")) / F.col("weight"))
     ranked = top_rows(keyed, ["batch_id"], ["_key", "species"], k, "_r").withColumn("place", (F.col("_have") + F.col("_r")).cast("int"))

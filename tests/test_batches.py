@@ -63,3 +63,13 @@ def test_fewer_items_than_slots(spark):
     plan = batches.plan_batches(samples, 5).collect()
     assert Counter(r["id"] for r in plan) == {"a": 1, "b": 1, "c": 1}
     assert batches.plan_batches(samples, 5, drop_last=True).count() == 0
+
+
+def test_draws_are_never_the_broadcast_side(spark):
+    """Draws are exploded batches, which the planner takes for one row a batch."""
+    entities = spark.createDataFrame([(f"s{i}", 1.0 / (i + 1)) for i in range(20)], "species string, weight double")
+    draws = numbers(spark, 10_000).select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(500))).alias("j")).withColumn("u", F.rand(1)).withColumn("_all", F.lit(0))
+    intervals = batches._intervals(entities.withColumn("_all", F.lit(0)), ["_all"], 64)
+    plan = batches._resolve(draws, intervals, ["_all"], 64)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "BuildRight" in joins[0]
