@@ -227,6 +227,7 @@ def plan_batches(
         filled = ready.select("batch_id", F.posexplode(_fold_fill(classes)).alias("s", "species"))
         modality = F.element_at(F.array(*[F.lit(m) for m in slots]), F.col("s") + 1)
         picks = paired_rows.unionByName(filled.select("batch_id", "species", modality.alias("modality"), (F.col("s") + 2 * k).cast("int").alias("slot")))
+    picks = cut_lineage(picks)  # the walk over the fill slots is read by the ranks and by their offsets
     stride = max(1, -(-steps // spread(samples)))
     numbered = row_numbers(picks, ["species", "modality"], ["batch_id", "slot"], "_draw", bucket=F.floor(F.col("batch_id") / stride).cast("int"))
     sizes = samples.groupBy("species", "modality").agg(F.count(F.lit(1)).alias("_size"))
