@@ -17,6 +17,8 @@ from benchweave.session import cut_lineage, small_side
 
 # Similarities are compared after rounding, so that equal vectors tie whatever block they were in.
 TIE_DECIMALS = 9
+# Query rows whose products with a block of the gallery are held at a time.
+KERNEL_ROWS = 256
 # Seed steps of the confidence-interval tasks.
 R5_SEED_STEP = 10_003
 TASK_SEED_STEP = 100_000
@@ -54,7 +56,13 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int = 5, exclude_self: bool
         if not len(left) or not len(right):
             return pd.DataFrame(columns=columns)
         right = right.sort_values(["g_id", "g_species", "g_genus"], kind="stable", ignore_index=True)
-        sims = np.round(unit_matrix(left["q_embedding"]) @ unit_matrix(right["g_embedding"]).T, TIE_DECIMALS)
+        candidates = unit_matrix(right["g_embedding"]).T
+        pieces = [left.iloc[at : at + KERNEL_ROWS] for at in range(0, len(left), KERNEL_ROWS)]
+        return pd.concat([best(piece, right, candidates, columns) for piece in pieces], ignore_index=True)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, candidates: np.ndarray, columns: list[str]) -> pd.DataFrame:
+        sims = unit_matrix(left["q_embedding"]) @ candidates
+        np.round(sims, TIE_DECIMALS, out=sims)
         if exclude_self:
             sims[left["q_id"].to_numpy()[:, None] == right["g_id"].to_numpy()[None, :]] = -np.inf
         take = min(k, sims.shape[1])
