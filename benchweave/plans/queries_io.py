@@ -110,10 +110,10 @@ def _(spark, sf):
 
 @query("src_csv_split", "SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents")
 def _(spark, sf):
-    """Whole texts with their line breaks in one CSV file, read in pieces."""
+    """Whole texts with their line breaks in CSV files, one a range of ids, read in pieces."""
     path = scratch(spark)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").alias("o"))
-    ordered = docs.orderBy("o").coalesce(1).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ordered = docs.orderBy("o").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return tables.read_split_table(spark, path, ["doc_id", "text"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "position")
 
