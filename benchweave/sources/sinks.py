@@ -21,6 +21,8 @@ CSV_OPTIONS = {
     "emptyValue": "",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
+    # A file whose fields may hold line breaks is read by one task: no file takes more records than this, all are written.
+    "maxRecordsPerFile": "50000",
 }
 
 
