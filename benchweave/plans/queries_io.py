@@ -14,7 +14,7 @@ from benchweave.plans.queries_splits import CLASS_COUNTS, ROWS, rows
 from benchweave.plans.registry import query
 from benchweave.plans.views import check, view
 from benchweave.schemas import MANIFEST_COLUMNS
-from benchweave.session import cut_lineage, ensure_checkpoint_dir
+from benchweave.session import ensure_checkpoint_dir
 from benchweave.sources import embeddings, files, sinks, tables
 
 
@@ -172,16 +172,14 @@ def _(spark, sf):
 
 @query("snk_split_files", check("items", "SELECT 'P3' AS protocol, split, item_id FROM rows", **ROWS))
 def _(spark, sf):
-    done = cut_lineage(rows(spark, sf))
-    paths = sinks.write_splits(done, "P3", scratch(spark), splits.split_summary(done), splits.class_counts(done, "P3"))
+    paths = sinks.write_splits(rows(spark, sf), "P3", scratch(spark), splits.split_summary, lambda written: splits.class_counts(written, "P3"))
     return tables.read_table(spark, paths["splits"]).select("protocol", "split", "item_id")
 
 
 @query("snk_split_counts", CLASS_COUNTS)
 def _(spark, sf):
     """The class counts written next to the split files."""
-    done = cut_lineage(rows(spark, sf))
-    paths = sinks.write_splits(done, "P3", scratch(spark), splits.split_summary(done), splits.class_counts(done, "P3"))
+    paths = sinks.write_splits(rows(spark, sf), "P3", scratch(spark), splits.split_summary, lambda written: splits.class_counts(written, "P3"))
     back = tables.read_table(spark, f"{paths['class_counts']}/protocol=P3")
     text = ("protocol", "split", "species", "protocol_group")
     return back.select(*[F.col(c) if c in text else F.col(c).cast("bigint").alias(c) for c in back.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_table(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder as Parquet: compressed, and each reader takes only its columns.
+
+    For wide tables that several outputs read; a checkpoint would hold all their rows uncompressed.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kept/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the side stays under ``max_rows``.
 

@@ -233,3 +233,16 @@ def test_json_history_grows(spark, tmp_path):
                 best[r] = (max(top, (v, -e)), epochs + 1)
         rows = S.drain(S.best_epochs(S.metric_rows(S.history_stream(spark, str(folder)), "score")), str(tmp_path / "out")).collect()
         assert {r.run: (r.best_metric, r.best_epoch, r.epochs) for r in rows} == {r: (v, -e, n) for r, ((v, e), n) in best.items()}
+
+
+def test_written_files_are_bounded_and_manifests_packed(spark, tmp_path):
+    """All records are written, over files that one task can read; split reports come from the written rows."""
+    rows = spark.range(120_000).coalesce(1).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("split"), F.lit('a "b"\n').alias("t"))
+    sinks.write_csv(rows, str(tmp_path / "flat"), ["k", "t"])
+    assert len(list((tmp_path / "flat").glob("*.csv"))) == 3
+    assert tables.read_table(spark, str(tmp_path / "flat"), ["k", "t"]).distinct().count() == 120_000
+    count = lambda written: written.groupBy("split", "t").agg(F.count(F.lit(1)).alias("n"))
+    paths = sinks.write_splits(rows, "P3", str(tmp_path / "s"), count, count)
+    assert list((tmp_path / "s" / "splits" / "protocol=P3" / "split=val").glob("*.csv.gz"))
+    got = {(r["split"], r["t"], int(r["n"])) for r in tables.read_table(spark, f"{paths['class_counts']}/protocol=P3").collect()}
+    assert got == {("val", 'a "b"\n', 40_000), ("train", 'a "b"\n', 80_000)}
