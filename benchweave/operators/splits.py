@@ -19,7 +19,7 @@ from benchweave.functions.hashing import hex_prefix, stable_hash
 from benchweave.functions.names import non_blank
 from benchweave.operators.ranking import row_numbers, running_total, top_rows
 from benchweave.schemas import CLASS_COUNT_COLUMNS, MODALITIES, PHASES, SPLITS
-from benchweave.session import cut_lineage
+from benchweave.session import cut_lineage, keep_table
 
 STRATUM = ["species", "modality"]
 # Default ratios, weights of the distribution error, tolerated ratio deviation.
@@ -274,8 +274,11 @@ def best_move(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS,
     """At most one row: the single group move that lowers the distribution error most.
 
     Moves go from a split above its quota to one below it and never take the last group a required split has of an
-    entity or of its modality. Ties: smaller group, then hash. The search is one pass with a plain ``min``.
+    entity or of its modality. Ties: smaller group, then hash. The search is one pass with a plain ``min``. The groups are
+    read several times and kept first: a split that is computed from the group's key would otherwise be computed for every
+    sample, as filters on it go below the aggregates.
     """
+    assigned = keep_table(assigned)
     counts, quota = _constants(assigned, check_ratios(ratios))
     pairs = _open_moves(counts, quota)
     if not pairs:

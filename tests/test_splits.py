@@ -90,6 +90,25 @@ def test_best_move_equals_brute_force(spark):
     assert set(splits.coverage_gaps(fixed).collect()) <= set(splits.coverage_gaps(assigned).collect())
 
 
+def counted_rows(df):
+    """``df`` and the number of its rows that were computed so far."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(look, df.schema), seen
+
+
+def test_groups_and_samples_are_read_once(spark):
+    rows = random_units(120, 4)
+    assigned = units(spark, rows).withColumn("split", F.when(F.col("group_key") < "g5", "train").otherwise("val"))
+    watched, seen = counted_rows(assigned)
+    assert splits.best_move(watched).count() == 1 and seen.value == len(rows)
+
+
 def test_exchange_moves_many_at_once():
     """Two classes, one far above its quota: few steps, and no single group helps afterwards."""
     ratios = {"train": 0.5, "val": 0.25, "test": 0.25}
