@@ -12,14 +12,14 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchweave.functions.hashing import hex_prefix, stable_hash
 from benchweave.functions.names import non_blank
-from benchweave.operators.ranking import row_numbers, running_total, top_rows
+from benchweave.operators.ranking import row_numbers, top_rows
 from benchweave.schemas import CLASS_COUNT_COLUMNS, MODALITIES, PHASES, SPLITS
-from benchweave.session import cut_lineage, keep_table
+from benchweave.session import cut_lineage, keep_table, small_side
 
 STRATUM = ["species", "modality"]
 # Default ratios, weights of the distribution error, tolerated ratio deviation.
@@ -27,7 +27,8 @@ DEFAULT_RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 MODALITY_WEIGHT = 0.35
 PHASE_WEIGHT = 0.20
 RATIO_TOLERANCE = 0.01
-GROUPS_PER_PIECE = 8192
+# Leading hash digits that make a cut: a stratum has 4,096 of them at most.
+CUT_DIGITS = 3
 # Classes of groups that one repair pass brings to the driver.
 CLASSES_PER_PASS = 20_000
 # Smallest gain in distribution error that counts as one.
@@ -54,6 +55,12 @@ def group_units(samples: DataFrame, key: str = "group_key") -> DataFrame:
     )
 
 
+def group_sizes(samples: DataFrame, key: str = "group_key") -> DataFrame:
+    """One row per group: size and samples of the fixed phases. Numbers only, so that one hashed level does; enough for
+    ``quota_cuts`` and ``group_summary``."""
+    return samples.groupBy(key, *STRATUM).agg(F.count(F.lit(1)).alias("size"), *[F.count_if(F.col("phase") == p).alias(p) for p in PHASES])
+
+
 def _dimension_counts(units: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """(dimension, item, [extra], n): samples in total, per modality and per phase."""
     phases = F.transform(F.map_entries("phase_counts"), lambda e: F.struct(F.lit("phase").alias("d"), e["key"].alias("i"), e["value"].alias("n")))
@@ -118,17 +125,34 @@ def required_splits(units: DataFrame, seed: int = 42) -> DataFrame:
     return both.select("species", "modality", "n_groups", wanted.alias("required"))
 
 
-def _anchors(units: DataFrame, seed: int) -> DataFrame:
-    """Per stratum: group count, size, the seed groups and what is left after them."""
-    top = F.min(F.struct((-F.col("size")).alias("neg"), F.col("_h").alias("h"), F.col("group_key").alias("k")))
-    whole = units.groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_total"), top.alias("_top"))
-    small = top_rows(units.select(*STRATUM, "size", "_h", "group_key"), STRATUM, ["size", "_h", "group_key"], 3, "_r")
+def _hash_cuts(hashed: DataFrame) -> DataFrame:
+    """Per stratum and leading hash digits: groups, samples, and the least and most samples of a group. Numbers only, so that
+    this is one hashed aggregate; all further steps look at a few cuts of a stratum."""
+    sums = [F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_sum"), F.min("size").alias("_least"), F.max("size").alias("_most")]
+    return hashed.groupBy(*STRATUM, "_cut").agg(*sums)
+
+
+def _anchors(hashed: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
+    """Per stratum: group count, the seed groups, where they lie, and the samples that are left after them.
+
+    A group outside the three cuts that come first by (least size, cut) has three groups before it by (size, hash), and the
+    largest group lies in the first cut that holds its size: no other rows are ordered.
+    """
+    totals = cuts.groupBy(*STRATUM).agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_total"))
+    low_cuts = top_rows(cuts, STRATUM, ["_least", "_cut"], 3).select(*STRATUM, "_cut")
+    top_cuts = top_rows(cuts, STRATUM, [F.desc("_most"), "_cut"], 1).select(*STRATUM, "_cut")
+    near = hashed.select(*STRATUM, "size", "_h", "_cut", "group_key").join(small_side(low_cuts.union(top_cuts).distinct()), [*STRATUM, "_cut"])
+    top = F.min(F.struct((-F.col("size")).alias("neg"), F.col("_h").alias("h"), F.col("group_key").alias("k"), F.col("_cut").alias("c")))
+    whole = totals.join(near.groupBy(*STRATUM).agg(top.alias("_top")), STRATUM)
+    small = top_rows(near, STRATUM, ["size", "_h", "group_key"], 3, "_r")
     others = small.join(whole, STRATUM).where(F.col("group_key") != F.col("_top.k"))
-    spot = F.struct(F.col("_r").alias("r"), F.col("group_key").alias("k"), F.col("size").alias("s"))
+    spot = F.struct(F.col("_r").alias("r"), F.col("group_key").alias("k"), F.col("size").alias("s"), F.col("_cut").alias("c"))
     lows = others.groupBy(*STRATUM).agg(F.array_sort(F.collect_list(spot)).alias("_low"))
     out = whole.join(lows, STRATUM, "left")
     low = lambda i: F.get("_low", F.lit(i))
     kept = F.col("_n") >= 3
+    place = lambda spot: F.struct(spot["c"].alias("c"), spot["s"].alias("s"))
+    first = F.struct(F.col("_top.c").alias("c"), (-F.col("_top.neg")).alias("s"))
     return out.select(
         *STRATUM,
         "_n",
@@ -136,6 +160,7 @@ def _anchors(units: DataFrame, seed: int) -> DataFrame:
         low(0)["k"].alias("_k1"),
         F.when(kept, low(1)["k"]).alias("_k2"),
         F.when(kept, F.col("_total") + F.col("_top.neg") - low(0)["s"] - low(1)["s"]).otherwise(0).alias("_left"),
+        F.when(kept, F.array(first, place(low(0)), place(low(1)))).alias("_taken"),
     )
 
 
@@ -148,28 +173,66 @@ def _seed_split(seed: int) -> Column:
     return F.when(key == F.col("_k0"), "train").when(key == F.col("_k1"), first).when(key == F.col("_k2"), second)
 
 
+def _with_hash(units: DataFrame, seed: int) -> DataFrame:
+    hashed = units.withColumn("_h", stable_hash(seed, "group_key"))
+    return hashed.withColumn("_cut", F.substring("_h", 1, CUT_DIGITS))
+
+
+def _seeds(rows: DataFrame, anchors: DataFrame, seed: int) -> DataFrame:
+    return rows.join(small_side(anchors), STRATUM).withColumn("_seed", _seed_split(seed))
+
+
 def seed_groups(units: DataFrame, seed: int = 42) -> DataFrame:
     """The groups that guarantee coverage, with their splits."""
-    hashed = cut_lineage(units.withColumn("_h", stable_hash(seed, "group_key")))
-    rows = hashed.join(_anchors(hashed, seed), STRATUM).withColumn("split", _seed_split(seed))
-    return rows.where(F.col("split").isNotNull()).select(*units.columns, "split")
+    hashed = keep_table(_with_hash(units, seed))
+    anchors = cut_lineage(_anchors(hashed, cut_lineage(_hash_cuts(hashed)), seed))
+    return _seeds(hashed, anchors, seed).where(F.col("_seed").isNotNull()).select(*units.columns, F.col("_seed").alias("split"))
+
+
+def quota_cuts(units: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
+    """Per stratum: its seed groups and the (hash, key) where val and test begin among the other groups.
+
+    Running sizes rise with the hash, so that two places tell the split of every group, and samples need no join with the
+    groups (``split_by_cuts``). They are found from sums per cut and the groups of the four cuts that can hold them.
+    ``units`` needs group_key, species, modality and size; it is read once and kept with its hashes.
+    """
+    ratios = check_ratios(ratios)
+    limits = {"_val": ratios["train"], "_test": ratios["train"] + ratios["val"]}
+    hashed = keep_table(_with_hash(units.select("group_key", *STRATUM, "size"), seed))
+    cuts = cut_lineage(_hash_cuts(hashed))
+    anchors = cut_lineage(_anchors(hashed, cuts, seed))
+    seeds = anchors.select(*STRATUM, F.explode("_taken").alias("x")).groupBy(*STRATUM, F.col("x.c").alias("_cut"))
+    free = cuts.join(seeds.agg(F.sum("x.s").alias("_s"), F.count(F.lit(1)).alias("_t")), [*STRATUM, "_cut"], "left")
+    free = free.withColumn("_free", F.col("_sum") - F.coalesce("_s", F.lit(0))).where("_n > coalesce(_t, 0)")
+    line = Window.partitionBy(*STRATUM).orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
+    share = lambda reached: reached / F.greatest(F.col("_left"), F.lit(1))
+    upto = free.withColumn("_upto", F.sum("_free").over(line)).join(anchors.select(*STRATUM, "_left").where("_left > 0"), STRATUM)
+    # Where the sum first reaches a limit, its last group may still lie before it; the next cut's first group does not.
+    reaches = [F.sum((share(F.col("_upto")) >= limit).cast("int")).over(line).between(1, 2) for limit in limits.values()]
+    wanted = upto.select(*STRATUM, "_cut", (F.col("_upto") - F.col("_free")).alias("_offset"), (reaches[0] | reaches[1]).alias("_near")).where("_near").drop("_near")
+    rows = _seeds(hashed.join(small_side(cut_lineage(wanted)), [*STRATUM, "_cut"]), anchors, seed).where(F.col("_seed").isNull())
+    inside = Window.partitionBy(*STRATUM, "_cut").orderBy("_h", "group_key").rowsBetween(Window.unboundedPreceding, 0)
+    middle = rows.withColumn("_at", share(F.sum("size").over(inside) + F.col("_offset") - F.col("size") / 2.0))
+    places = [F.min(F.when(F.col("_at") >= limit, F.struct(F.col("_h").alias("h"), F.col("group_key").alias("k")))).alias(name) for name, limit in limits.items()]
+    found = middle.groupBy(*STRATUM).agg(*places)
+    return cut_lineage(anchors.select(*STRATUM, "_n", "_k0", "_k1", "_k2").join(found, STRATUM, "left"))
+
+
+def split_by_cuts(rows: DataFrame, cuts: DataFrame, seed: int = 42) -> DataFrame:
+    """Groups or samples (group_key, species, modality) with the split that ``quota_cuts`` gives their group."""
+    place = F.struct(stable_hash(seed, "group_key").alias("h"), F.col("group_key").alias("k"))
+    by_quota = F.when(F.col("_at") >= F.col("_test"), "test").when(F.col("_at") >= F.col("_val"), "val").otherwise("train")
+    joined = _seeds(rows, cuts, seed).withColumn("_at", place)
+    return joined.withColumn("split", F.coalesce("_seed", by_quota)).select(*rows.columns, "split")
 
 
 def grouped_split(units: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
     """Groups with their split.
 
-    The group table is read four times (anchors, offsets, running sums), so it is built once and kept on shared storage.
+    The group table is read several times, so it is built once and kept on shared storage.
     """
-    ratios = check_ratios(ratios)
-    hashed = cut_lineage(units.withColumn("_h", stable_hash(seed, "group_key")))
-    rows = hashed.join(_anchors(hashed, seed), STRATUM).withColumn("_seed", _seed_split(seed))
-    free = rows.withColumn("_free", F.when(F.col("_seed").isNull(), F.col("size")).otherwise(0))
-    # Hash ranges of about GROUPS_PER_PIECE groups: one for a small stratum, and no hot stratum in one task.
-    pieces = F.ceil(F.col("_n") / GROUPS_PER_PIECE)
-    ranked = running_total(free, STRATUM, ["_h", "group_key"], "_free", "_upto", bucket=F.floor(hex_prefix(F.col("_h"), 7) * pieces / F.lit(16**7)))
-    middle = (F.col("_upto") - F.col("size") / 2.0) / F.greatest(F.col("_left"), F.lit(1))
-    by_quota = F.when(middle < ratios["train"], "train").when(middle < ratios["train"] + ratios["val"], "val").otherwise("test")
-    return ranked.withColumn("split", F.coalesce("_seed", by_quota)).select(*units.columns, "split")
+    kept = keep_table(units)
+    return split_by_cuts(kept, quota_cuts(kept, ratios, seed), seed)
 
 
 def apply_split(samples: DataFrame, assigned: DataFrame, key: str = "group_key") -> DataFrame:
@@ -177,6 +240,14 @@ def apply_split(samples: DataFrame, assigned: DataFrame, key: str = "group_key")
     return samples.join(assigned.select(key, "split"), key)
 
 
+def apply_repaired(samples: DataFrame, cuts: DataFrame, repaired: DataFrame, seed: int = 42) -> DataFrame:
+    """Samples with the repaired split of their group: that of ``quota_cuts``, but for the groups that the repair moved."""
+    first = split_by_cuts(repaired.select("group_key", *STRATUM, F.col("split").alias("_to")), cuts, seed)
+    moved = cut_lineage(first.where(F.col("_to") != F.col("split")).drop("split"))
+    joined = split_by_cuts(samples, cuts, seed).join(small_side(moved), ["group_key", *STRATUM], "left")
+    return joined.withColumn("split", F.coalesce("_to", "split")).select(*samples.columns, "split")
+
+
 def leaks(rows: DataFrame, key: str = "group_key") -> DataFrame:
     """Groups found in more than one split; empty for a sound split."""
     per = rows.groupBy(key).agg(F.min("split").alias("_a"), F.max("split").alias("_b"))
@@ -455,7 +526,10 @@ def repaired_split(units: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIO
 
 def balance_stats(rows: DataFrame) -> DataFrame:
     """Per split: entities present and the least, most, mean and median samples per entity."""
-    per = rows.groupBy("split", "species").agg(F.count(F.lit(1)).alias("n"))
+    return _balance(rows.groupBy("split", "species").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _balance(per: DataFrame) -> DataFrame:
     return per.groupBy("split").agg(
         F.count(F.lit(1)).alias("present_species_count"),
         F.min("n").alias("min_samples_per_species"),
@@ -472,13 +546,13 @@ def class_counts(rows: DataFrame, protocol: str, entities: DataFrame | None = No
     """
     ident = F.coalesce(non_blank("specimen_id"), non_blank("source_id"), F.col("image_path"))
     macro, micro = F.col("modality") == "macro", F.col("modality") == "micro"
-    counts = rows.groupBy("split", "species").agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.count_distinct(ident).alias("groups_in_split"),
-        F.max("protocol_group").alias("_group"),
-        F.count_if(macro).alias("macro_samples"),
-        F.count_if(micro).alias("micro_samples"),
-        *[F.count_if(macro & (F.col("phase") == p)).alias(f"{p.lower()}_macro_samples") for p in PHASES],
+    # Rows are counted with a hashed aggregate first; the text maximum, which needs a sort, then sees one row per specimen.
+    figures = {"total_samples": F.count(F.lit(1)), "macro_samples": F.count_if(macro), "micro_samples": F.count_if(micro)}
+    figures |= {f"{p.lower()}_macro_samples": F.count_if(macro & (F.col("phase") == p)) for p in PHASES}
+    counted = rows.groupBy("split", "species", "protocol_group", ident.alias("_ident")).agg(*[n.alias(c) for c, n in figures.items()])
+    total = lambda c: F.sum(c).alias(c)
+    counts = counted.groupBy("split", "species").agg(
+        total("total_samples"), F.count_distinct("_ident").alias("groups_in_split"), F.max("protocol_group").alias("_group"), *[total(c) for c in figures if c != "total_samples"]
     )
     names = [c for c in counts.columns if c not in ("split", "species", "_group")]
     # At most one entry per split and entity: a lookup list of three, not a join, fills the gaps with zeros.
@@ -494,12 +568,17 @@ def class_counts(rows: DataFrame, protocol: str, entities: DataFrame | None = No
 
 def split_summary(rows: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS) -> DataFrame:
     """Per split: samples, target, ratio, modality and phase counts, entities, groups and balance figures."""
+    phases = [F.count_if(F.col("phase") == p).alias(p) for p in PHASES]
+    return group_summary(keep_table(rows.groupBy("split", "group_key", *STRATUM).agg(F.count(F.lit(1)).alias("size"), *phases)), ratios)
+
+
+def group_summary(groups: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS) -> DataFrame:
+    """``split_summary`` from counted groups (``group_sizes`` with a split): every sample is in one group, so that the samples
+    need not be read again."""
     ratios = check_ratios(ratios)
-    macro = F.col("modality") == "macro"
-    small = rows.groupBy("split", "group_key").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("modality") == m).alias(m) for m in MODALITIES],
-        *[F.count_if(macro & (F.col("phase") == p)).alias(p) for p in PHASES],
+    of = lambda m, c: F.sum(F.when(F.col("modality") == m, F.col(c)).otherwise(0))
+    small = groups.groupBy("split", "group_key").agg(
+        F.sum("size").alias("n"), *[of(m, "size").alias(m) for m in MODALITIES], *[of("macro", p).alias(p) for p in PHASES]
     )
     per = small.groupBy("split").agg(
         F.sum("n").alias("sample_count"),
@@ -507,10 +586,11 @@ def split_summary(rows: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS)
         *[F.sum(m).alias(f"{m}_samples") for m in MODALITIES],
         *[F.sum(p).alias(f"{p.lower()}_macro_samples") for p in PHASES],
     )
+    per = cut_lineage(per)  # one row a split
     total = float(per.agg(F.sum("sample_count")).first()[0] or 0)
     ratio = F.col("split")
     share = F.when(ratio == "train", ratios["train"]).when(ratio == "val", ratios["val"]).otherwise(ratios["test"])
-    out = per.join(balance_stats(rows), "split")
+    out = per.join(_balance(groups.groupBy("split", "species").agg(F.sum("size").alias("n"))), "split")
     return out.withColumns(
         {
             "target_sample_count": F.bround(F.lit(total) * share, 4),

@@ -11,6 +11,7 @@ from benchweave.plans.dialect import h16, unit
 from benchweave.plans.queries_names import D_GROUP_KEY
 from benchweave.plans.registry import query
 from benchweave.plans.views import check, view
+from benchweave.session import keep_table
 
 SEED = 42
 UNITS = {
@@ -49,7 +50,7 @@ def rough(spark, sf):
 
 def rows(spark, sf):
     every = samples(spark, sf)
-    return splits.apply_split(every, splits.grouped_split(splits.group_units(every), seed=SEED))
+    return splits.split_by_cuts(every, splits.quota_cuts(splits.group_sizes(every), seed=SEED), SEED)
 
 
 @query("agg_group_units", check("items", "SELECT group_key, species, modality, protocol_group, size, p1, p2 FROM units", **UNITS))
@@ -179,7 +180,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Class counts of the repaired split."""
     every = samples(spark, sf)
-    return splits.class_counts(splits.apply_split(every, splits.repaired_split(splits.group_units(every), seed=SEED)), "P3")
+    kept = keep_table(splits.group_units(every))
+    cuts = splits.quota_cuts(kept, seed=SEED)
+    repaired = splits.rebalance(splits.split_by_cuts(kept, cuts, SEED), seed=SEED)
+    return splits.class_counts(splits.apply_repaired(every, cuts, repaired, SEED), "P3")
 
 
 @query(
@@ -236,7 +240,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return splits.split_summary(rows(spark, sf))
+    groups = keep_table(splits.group_sizes(samples(spark, sf)))
+    return splits.group_summary(splits.split_by_cuts(groups, splits.quota_cuts(groups, seed=SEED), SEED))
 
 
 @query(

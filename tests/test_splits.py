@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -46,6 +47,44 @@ def test_split_ignores_order_and_partitioning(spark):
     assert splits.leaks(done).isEmpty() and splits.coverage_gaps(done).isEmpty()
 
 
+def brute_split(rows, ratios, seed=42):
+    """The rules over whole strata: seeds, then the rest by hash against the quotas."""
+    digest = lambda *parts: hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:16]
+    strata, out = defaultdict(list), {}
+    for key, species, modality, size in rows:
+        strata[species, modality].append((size, digest(seed, key), key))
+    for (species, modality), groups in strata.items():
+        val_first = int(digest(seed, species, "holdout")[15], 16) < 8
+        top = min(groups, key=lambda g: (-g[0], g[1], g[2]))
+        low = sorted(g for g in groups if g != top)
+        first = "val" if val_first != (len(groups) == 2 and modality == "micro") else "test"
+        out |= dict(zip([g[2] for g in (top, *low[:2])], ["train", first, "test" if val_first else "val"]))
+        upto, left = 0, sum(g[0] for g in low[2:])
+        for size, _, key in sorted(low[2:], key=lambda g: g[1:]):
+            upto += size
+            middle = (upto - size / 2.0) / max(left, 1)
+            out[key] = "train" if middle < ratios["train"] else "val" if middle < ratios["train"] + ratios["val"] else "test"
+    return out
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_cuts_equal_brute_force(spark, monkeypatch, digits):
+    """Samples get the split of their group without meeting the groups: one small table of places per stratum."""
+    monkeypatch.setattr(splits, "CUT_DIGITS", digits)
+    rows = random_units(1500, 11) + [("alone", "one", "macro", 2), ("pair a", "two", "micro", 3), ("pair b", "two", "micro", 3)]
+    ratios = {"train": 0.6, "val": 0.25, "test": 0.15}
+    want = brute_split(rows, ratios)
+    got = splits.grouped_split(units(spark, rows), ratios).collect()
+    assert {r["group_key"]: r["split"] for r in got} == want and len(got) == len(rows)
+    cuts = splits.quota_cuts(units(spark, rows), ratios)
+    samples = units(spark, rows).selectExpr("group_key", "species", "modality", "explode(sequence(1, int(size))) AS item")
+    done = splits.split_by_cuts(samples, cuts)
+    counted = {(r["group_key"], r["split"]): r["count"] for r in done.groupBy("group_key", "split").count().collect()}
+    assert counted == {(k, want[k]): n for k, _, _, n in rows}
+    done.collect()
+    assert "hashpartitioning" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_error(rows, where, ratios):
     total = 0.0
     dims = [(1.0, lambda r: [("all", r[3])]), (0.35, lambda r: [(r[2], r[3])]), (0.2, lambda r: [("Phase1", r[3])] if r[2] == "macro" else [])]
@@ -107,6 +146,13 @@ def test_groups_and_samples_are_read_once(spark):
     assigned = units(spark, rows).withColumn("split", F.when(F.col("group_key") < "g5", "train").otherwise("val"))
     watched, seen = counted_rows(assigned)
     assert splits.best_move(watched).count() == 1 and seen.value == len(rows)
+    samples = assigned.selectExpr("split", "group_key", "species", "modality", "explode(sequence(1, int(size))) AS item", "if(modality = 'macro', 'Phase1', '') AS phase")
+    watched, seen = counted_rows(samples)
+    got = {r["split"]: r for r in splits.split_summary(watched).collect()}
+    total = sum(r[3] for r in rows)
+    assert seen.value == total and sum(r["sample_count"] for r in got.values()) == total
+    assert got["train"]["group_count"] == sum(r[0] < "g5" for r in rows)
+    assert got["val"]["phase1_macro_samples"] == sum(r[3] for r in rows if r[0] >= "g5" and r[2] == "macro")
 
 
 def test_exchange_moves_many_at_once():
