@@ -35,14 +35,13 @@ def extension(path) -> Column:
 
 
 def stem(path) -> Column:
-    name = file_name(path)
-    return F.coalesce(non_blank(F.regexp_extract(name, r"^(.+)\.[^.]+$", 1)), name)
+    return F.regexp_replace(file_name(path), r"^(.+)\.[^.]+$", "$1")
 
 
 def parent_prefix(path) -> Column:
     """Directory part with its closing slash, blank at the root."""
     text = to_col(path)
-    return F.regexp_extract(text, r"^(.*/)[^/]*$", 1)
+    return F.substring(text, F.lit(1), F.length(text) - F.length(file_name(text)))
 
 
 def drop_suffix(path) -> Column:
@@ -76,11 +75,13 @@ def phase_of(path, fallback=None, phases=PHASES) -> Column:
 
 def specimen_of(path, folder) -> Column:
     """Directories below the entity folder, else a code in the file name, else the bare name."""
-    dirs = directories(path)
-    at = F.array_position(dirs, to_col(folder))
-    below = F.when(at > 0, F.concat_ws("/", F.slice(dirs, (at + 1).cast("int"), F.greatest(F.size(dirs) - at, F.lit(0)).cast("int"))))
-    name = stem(path)
-    return F.coalesce(non_blank(below), non_blank(F.regexp_extract(name, SPECIMEN_CODE, 1)), name)
+    # Plain text steps: each array step would be computed anew wherever its result is used.
+    text = F.concat(F.lit("/"), F.array_join(_parts(path), "/"))
+    own = F.when(~F.contains(to_col(folder), F.lit("/")), to_col(folder))
+    before = F.call_function("substring_index", text, F.concat(F.lit("/"), own, F.lit("/")), F.lit(1))
+    after = F.substring(text, F.length(before) + F.length(own) + 3, F.length(text))
+    below = F.substring(after, F.lit(1), F.length(after) - F.length(file_name(after)) - 1)
+    return F.coalesce(non_blank(below), F.regexp_replace(stem(path), SPECIMEN_CODE, "$1"))
 
 
 def source_id(dataset, path) -> Column:

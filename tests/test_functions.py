@@ -1,3 +1,5 @@
+import itertools
+import re
 import unicodedata
 
 import pytest
@@ -60,6 +62,23 @@ def test_text(spark):
     assert column(spark, [5, 1, 0, 2560], w, "bigint") == [2, 1, None, 1280]  # 2.5 and 0.5 round to even, at least 1
 
 
+def test_specimen_by_text_steps(spark):
+    """Odd paths and folders as by parts; no array step, which would be computed anew at each use of its result."""
+
+    def brute(path, folder):
+        parts = [p for p in path.split("/") if p]
+        below = parts[parts.index(folder) + 1 : -1] if folder in parts[:-1] else []
+        name = path.split("/")[-1]
+        name = re.sub(r"^(.+)\.[^.]+$", r"\1", name)
+        return "/".join(below) or re.sub(r"^([A-Za-z]{1,8}\d{2,}[A-Za-z0-9-]*)[_-].*$", r"\1", name)
+
+    pieces = ["a", "", "12. G x", "a.b", "AB12_c", ".hid", "x.", "é", "AB12-3_x.png", ".."]
+    rows = [("/".join(p), f) for n in (1, 2, 3) for p in itertools.product(pieces, repeat=n) for f in ("a", "", "12. G x", "a/a", None)]
+    df = spark.createDataFrame(rows, "x string, f string").select("x", "f", P.specimen_of("x", F.col("f")).alias("s"))
+    assert all(r["s"] == brute(r["x"], r["f"]) for r in df.collect())
+    assert "slice(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hashes(spark):
     import hashlib
 
