@@ -10,7 +10,7 @@ from benchweave.functions.names import canonical_name, non_blank, sanitize_meta,
 from benchweave.operators.matching import annotate_raw_first, attach, match_names
 from benchweave.operators.ranking import row_numbers
 from benchweave.schemas import MANIFEST_COLUMNS
-from benchweave.session import cut_lineage
+from benchweave.session import cut_lineage, keep_table, small_side
 
 
 def normalize_log(log: DataFrame, root: str) -> DataFrame:
@@ -156,11 +156,16 @@ def output_names(files: DataFrame, partition: tuple[str, ...] = (), suffix: str
     token = F.coalesce(non_blank(F.regexp_replace(P.extension("rel_path"), r"^\.", "")), F.lit("img"))
     renamed = F.concat(P.drop_suffix("rel_path"), F.lit("__from_"), token, F.lit(suffix))
     named = marked.withColumn("_name", F.when(F.col("_n").isNotNull(), renamed).otherwise(F.col("_plain")))
-    numbered = row_numbers(named, [*keys, "_name"], ["rel_path"], "_dup")
+    named = keep_table(named.drop("_plain", "_n"))
+    # Only names that several files still share are numbered; the rest is neither ordered nor sampled.
+    shared = cut_lineage(named.groupBy(*keys, "_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n"))
+    same = [named[k].eqNullSafe(shared[k]) for k in [*keys, "_name"]]
+    single = named.join(small_side(shared), same, "left_anti").withColumn("output_path", F.col("_name"))
+    numbered = row_numbers(named.join(small_side(shared), same, "left_semi"), [*keys, "_name"], ["rel_path"], "_dup")
     final = F.when(
         F.col("_dup") > 1, F.concat(P.drop_suffix("_name"), F.lit("__dup"), F.col("_dup").cast("string"), F.lit(suffix))
     ).otherwise(F.col("_name"))
-    return numbered.withColumn("output_path", final).drop("_plain", "_n", "_name", "_dup")
+    return single.unionByName(numbered.withColumn("output_path", final).drop("_dup")).drop("_name")
 
 
 def missing_outputs(planned: DataFrame, existing: DataFrame, on: str = "output_path") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from benchweave.operators import closeness, matching, reports
 from benchweave.operators import manifest as M
+from benchweave.operators.ranking import row_numbers
 from benchweave.schemas import MANIFEST_COLUMNS
 
 CAT = "species string, genus string, family string, group string, overlap_type string, protocol_usage string, group_order string, position bigint"
@@ -170,6 +171,18 @@ def test_collision_names(spark):
     assert got == {"d/b.tif": "d/b.jpg", "d/A.png": "d/A.jpg", "d/a.jpg": "d/a__from_jpg.jpg", "d/a.PNG": "d/a__from_png.jpg", "d/a.png": "d/a__from_png__dup2.jpg"}
 
 
+def test_output_names_order_only_shared_names(spark, monkeypatch):
+    """Files whose name is their own are not numbered, and no file is lost or named twice."""
+    asked = []
+    monkeypatch.setattr(M, "row_numbers", lambda df, *a, **o: asked.append(df.count()) or row_numbers(df, *a, **o))
+    paths = [f"d/{i}.png" for i in range(40)] + [f"e/x.{e}" for e in ("png", "PNG", "Png", "tif")] + ["e/x__from_tif.gif"]
+    files = spark.createDataFrame([(p,) for p in paths], "rel_path string")
+    got = {r["rel_path"]: r["output_path"] for r in M.output_names(files).collect()}
+    assert asked == [5] and set(got) == set(paths) and len(set(got.values())) == len(paths)
+    assert [got[p] for p in paths[40:]] == ["e/x__from_png__dup3.jpg", "e/x__from_png.jpg", "e/x__from_png__dup2.jpg", "e/x__from_tif.jpg", "e/x__from_tif__dup2.jpg"]
+    assert got["d/7.png"] == "d/7.jpg"
+
+
 def test_uncertain_keeps_rows_with_suggestions(spark):
     base = {c: "" for c in MANIFEST_COLUMNS}
     rows = [{**base, "taxonomy_match_status": "exact_species_match", "taxonomy_suggestions": "A b"}, {**base, "taxonomy_match_status": "unmatched"}, {**base, "taxonomy_match_status": "genus_match_only"}]
