@@ -61,14 +61,22 @@ def group_sizes(samples: DataFrame, key: str = "group_key") -> DataFrame:
     return samples.groupBy(key, *STRATUM).agg(F.count(F.lit(1)).alias("size"), *[F.count_if(F.col("phase") == p).alias(p) for p in PHASES])
 
 
+def _with_mix(units: DataFrame) -> DataFrame:
+    if "_mix" in units.columns:
+        return units
+    return units.withColumn("_mix", F.array_sort(F.coalesce(F.map_entries("phase_counts"), F.array().cast("array<struct<key:string,value:bigint>>"))))
+
+
 def _dimension_counts(units: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """(dimension, item, [extra], n): samples in total, per modality and per phase."""
-    phases = F.transform(F.map_entries("phase_counts"), lambda e: F.struct(F.lit("phase").alias("d"), e["key"].alias("i"), e["value"].alias("n")))
+    """(dimension, item, [extra], n): samples in total, per modality and per phase. Groups that look alike are counted first."""
+    alike = _with_mix(units).groupBy(*extra, "modality", "size", "_mix").agg(F.count(F.lit(1)).alias("_c"))
+    phases = F.transform("_mix", lambda e: F.struct(F.lit("phase").alias("d"), e["key"].alias("i"), (e["value"] * F.col("_c")).alias("n")))
+    samples = F.col("size") * F.col("_c")
     fixed = F.array(
-        F.struct(F.lit("total").alias("d"), F.lit("").alias("i"), F.col("size").alias("n")),
-        F.struct(F.lit("modality").alias("d"), F.col("modality").alias("i"), F.col("size").alias("n")),
+        F.struct(F.lit("total").alias("d"), F.lit("").alias("i"), samples.alias("n")),
+        F.struct(F.lit("modality").alias("d"), F.col("modality").alias("i"), samples.alias("n")),
     )
-    rows = units.select(*extra, F.explode(F.concat(fixed, phases)).alias("x"))
+    rows = alike.select(*extra, F.explode(F.concat(fixed, phases)).alias("x"))
     return rows.groupBy(F.col("x.d").alias("dimension"), F.col("x.i").alias("item"), *extra).agg(F.sum("x.n").alias("n"))
 
 
@@ -387,30 +395,32 @@ def _accept(candidates: list, counts: dict, quota: dict) -> dict[str, str]:
     return moved
 
 
+def _stay_hash(seed: int) -> Column:
+    return stable_hash(seed, F.lit("stay"), "group_key")
+
+
 def _movable(assigned: DataFrame, seed: int) -> DataFrame:
     """Groups that can leave their split whatever else leaves it: where a split must be reached, one group stays behind
-    of the stratum and one of the entity, the last by hash."""
+    of the stratum and one of the entity, the last by hash. ``_stay`` is the leading part of that hash: a number, so that
+    one hashed aggregate finds the few groups that may be last."""
     need = required_splits(assigned, seed)
-    hashed = assigned.withColumn("_h", stable_hash(seed, F.lit("stay"), "group_key"))
-    last = F.max(F.struct("_h", "group_key")).alias("_last")
-    per_stratum = hashed.groupBy(*STRATUM, "split").agg(last)
+    most = assigned.groupBy(*STRATUM, "split").agg(F.max("_stay").alias("_stay"))
+    near = assigned.select("group_key", *STRATUM, "split", "_stay").join(small_side(most), [*STRATUM, "split", "_stay"])
+    last = F.max(F.struct(_stay_hash(seed).alias("_h"), F.col("group_key"))).alias("_last")
+    per_stratum = cut_lineage(near.groupBy(*STRATUM, "split").agg(last))
     per_entity = per_stratum.groupBy("species", "split").agg(F.max("_last").alias("_last"))
     wanted = lambda rows: rows.select(*STRATUM, F.explode(F.split("required", ",")).alias("split"))
     stays = per_stratum.join(wanted(need.where("modality <> ''")), [*STRATUM, "split"]).select("_last.group_key")
     stays = stays.unionByName(per_entity.join(wanted(need.where("modality = ''")).drop("modality"), ["species", "split"]).select("_last.group_key"))
-    return assigned.join(stays.distinct(), "group_key", "left_anti")
+    return assigned.join(small_side(cut_lineage(stays.distinct())), "group_key", "left_anti")
 
 
 CLASS = ["split", "modality", "size", "_mix"]
 
 
-def _with_mix(assigned: DataFrame) -> DataFrame:
-    return assigned.withColumn("_mix", F.array_sort(F.coalesce(F.map_entries("phase_counts"), F.array().cast("array<struct<key:string,value:bigint>>"))))
-
-
 def _helpful_classes(movable: DataFrame, counts: dict, quota: dict, pairs: list[tuple[str, str]], limit: int) -> list:
     """Classes of groups that look alike to the error (split, modality, size, samples per phase), best first."""
-    classes = _with_mix(movable).where(F.col("split").isin(sorted({a for a, _ in pairs}))).groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"))
+    classes = movable.where(F.col("split").isin(sorted({a for a, _ in pairs}))).groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"))
     classes = classes.withColumn("phase_counts", F.map_from_entries("_mix"))
     errors = [F.when(F.col("split") == a, _error_expression(counts, quota, a, b)) for a, b in pairs]
     best = classes.withColumn("_e", F.array_min(F.array(*errors))).where(F.col("_e") < _current_error(counts, quota) - LEAST_GAIN)
@@ -482,10 +492,10 @@ def _apply_moves(assigned: DataFrame, movable: DataFrame, classes: Sequence, mov
         cuts.append((c["split"], c["modality"], c["size"], [(p, v) for p, v in c["_mix"]], start, start + n, receiver))
     schema = "split string, modality string, size long, _mix array<struct<key:string,value:bigint>>, _from long, _upto long, _to string"
     ranges = F.broadcast(spark.createDataFrame(cuts, schema))  # at most a few rows per collected class
-    rows = _with_mix(movable).select("group_key", *CLASS).join(F.broadcast(ranges.select(*CLASS).distinct()), CLASS)
+    rows = movable.select("group_key", *CLASS).join(F.broadcast(ranges.select(*CLASS).distinct()), CLASS)
     ranked = row_numbers(rows.withColumn("_h", stable_hash(seed, F.lit("move"), "group_key")), CLASS, ["_h", "group_key"], "_r", bucket=hex_prefix(F.col("_h"), 2))
-    going = ranked.join(ranges, CLASS).where("_r > _from AND _r <= _upto").select("group_key", "_to")
-    return assigned.join(going, "group_key", "left").withColumn("split", F.coalesce("_to", "split")).select(*assigned.columns)
+    going = cut_lineage(ranked.join(ranges, CLASS).where("_r > _from AND _r <= _upto").select("group_key", "_to"))
+    return assigned.join(small_side(going), "group_key", "left").withColumn("split", F.coalesce("_to", "split")).select(*assigned.columns)
 
 
 def rebalance(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42, per_pass: int = 10_000) -> DataFrame:
@@ -498,25 +508,26 @@ def rebalance(assigned: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS,
     move lowers the error, so passes end. The result of each pass is kept on shared storage.
     """
     ratios = check_ratios(ratios)
-    current = cut_lineage(assigned)
+    stay = F.conv(F.substring(_stay_hash(seed), 1, 15), 16, 10).cast("bigint")
+    current = keep_table(_with_mix(assigned).withColumn("_stay", stay))
     while True:
         counts, quota = _constants(current, ratios)
         pairs = _open_moves(counts, quota)
         if not pairs:
-            return current
+            return current.select(*assigned.columns)
         movable = _movable(current, seed)
         classes = _helpful_classes(movable, counts, quota, pairs, CLASSES_PER_PASS)
         moves = exchange(classes, counts, quota)
         if moves:
-            current = cut_lineage(_apply_moves(current, movable, classes, moves, seed))
+            current = keep_table(_apply_moves(current, movable, classes, moves, seed))
             continue
         candidates = _helpful_moves(current, counts, quota, pairs, seed).orderBy("m").limit(per_pass).collect()
         moved = _accept(candidates, counts, quota)
         if not moved:
-            return current
+            return current.select(*assigned.columns)
         single = current.sparkSession.createDataFrame(list(moved.items()), "group_key string, _to string")
         joined = current.join(F.broadcast(single), "group_key", "left")
-        current = cut_lineage(joined.withColumn("split", F.coalesce("_to", "split")).select(*assigned.columns))
+        current = keep_table(joined.withColumn("split", F.coalesce("_to", "split")).select(*current.columns))
 
 
 def repaired_split(units: DataFrame, ratios: Mapping[str, float] = DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
