@@ -42,7 +42,7 @@ MANIFEST_LIST = ", ".join(MANIFEST_COLUMNS)
 @query("src_csv", check("items", f"SELECT {MANIFEST_LIST} FROM items"))
 def _(spark, sf):
     path = scratch(spark)
-    sinks.write_csv(view(spark, sf, "items"), path, MANIFEST_COLUMNS)
+    sinks.write_csv(view(spark, sf, "items"), path, MANIFEST_COLUMNS, packed=True)
     return tables.read_table(spark, path, MANIFEST_COLUMNS)
 
 

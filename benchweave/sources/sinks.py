@@ -61,8 +61,9 @@ def fixed_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[text(c).alias(c) for c in columns])
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str], mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
-    writer = fixed_columns(df, columns).write.mode(mode).options(**CSV_OPTIONS)
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], mode: str = "overwrite", partition_by: Sequence[str] = (), packed: bool = False) -> None:
+    """Exactly ``columns`` of all rows. ``packed`` writes gzip files, for tables as long as the input."""
+    writer = fixed_columns(df, columns).write.mode(mode).options(**(PACKED if packed else CSV_OPTIONS))
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 

@@ -246,3 +246,15 @@ def test_written_files_are_bounded_and_manifests_packed(spark, tmp_path):
     assert list((tmp_path / "s" / "splits" / "protocol=P3" / "split=val").glob("*.csv.gz"))
     got = {(r["split"], r["t"], int(r["n"])) for r in tables.read_table(spark, f"{paths['class_counts']}/protocol=P3").collect()}
     assert got == {("val", 'a "b"\n', 40_000), ("train", 'a "b"\n', 80_000)}
+
+
+def test_long_tables_are_written_packed(spark, tmp_path):
+    """src_csv keeps its manifest as gzip files; quotes, blanks and line breaks come back as they were."""
+    from __spark_entry__ import queries
+
+    names = queries()["src_csv"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    rng = random.Random(5)
+    want = [(str(i), hostile_text(rng, 'x",\n é', 40)) for i in range(500)]
+    sinks.write_csv(spark.createDataFrame(want, "k string, t string"), str(tmp_path / "p"), ["k", "t"], packed=True)
+    assert sorted(map(tuple, tables.read_table(spark, str(tmp_path / "p"), ["k", "t"]).collect())) == sorted(want)
