@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchweave.functions.hashing import hash_uniform, hex_prefix, stable_hash
 from benchweave.operators.metrics import inverse_frequency
-from benchweave.operators.ranking import row_numbers, running_total, top_rows
+from benchweave.operators.ranking import dense_index, row_numbers, running_total, top_rows
 from benchweave.schemas import MODALITIES
-from benchweave.session import cut_lineage, small_side, spread
+from benchweave.session import cut_lineage, keep_table, small_side, spread
 
 ENTITY_BLOCK = 4096
+# Batches drawn by one task, and items of a pool that are put in order together.
+BATCHES_AT_ONCE = 4096
+POOL_BLOCK = 8192
 
 
 def entity_weights(samples: DataFrame, power: float = 0.5) -> DataFrame:
@@ -82,13 +85,48 @@ def pick_entities(batches: DataFrame, entities: DataFrame, k: int, seed: int = 4
     short = picked.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_have")).where(F.col("_have") < k)
     if short.isEmpty():
         return picked
+    return picked.unionByName(_rest(short, picked, pool, population, k, seed, tag))
+
+
+def _rest(short: DataFrame, picked: DataFrame, pool: DataFrame, population: int, k: int, seed: int, tag: str) -> DataFrame:
+    """What batches with only ``_have`` of ``k`` entities draw from those they have not ``picked``: (batch_id, species, place)."""
     blocks = -(-population // ENTITY_BLOCK)
     cut = pool.withColumn("_block", F.pmod(F.xxhash64("species"), F.lit(blocks)).cast("int"))
     open_pairs = short.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).hint("merge").join(small_side(cut), "_block")
     unseen = open_pairs.join(picked.select("batch_id", "species"), ["batch_id", "species"], "left_anti")
     keyed = unseen.withColumn("_key", -F.log1p(-hash_uniform(seed, F.lit(tag), F.lit("rest"), "batch_id", "species")) / F.col("weight"))
     ranked = top_rows(keyed, ["batch_id"], ["_key", "species"], k, "_r").withColumn("place", (F.col("_have") + F.col("_r")).cast("int"))
-    return picked.unionByName(ranked.where(F.col("place") <= k).select("batch_id", "species", "place"))
+    return ranked.where(F.col("place") <= k).select("batch_id", "species", "place")
+
+
+def _draw_batches(steps: int, entities: DataFrame, orders: dict[str, tuple[str, int]], slots: list[str], seed: int) -> DataFrame:
+    """A row per batch: for every tag in ``orders`` the array of its distinct entities, and ``own``, the draw of each slot.
+
+    ``orders`` names a tag's law (``entities`` holds law, species, weight) and how many entities it wants, as drawn by
+    ``pick_entities``. All draws of a batch are made, resolved and gathered in the task that holds its number, so no draw
+    is shuffled, and only the arrays are kept.
+    """
+    spark = entities.sparkSession
+    laws = cut_lineage(entities)
+    slices = _slices(laws.count())
+    layout = [(t, law, j) for t, (law, k) in orders.items() for j in range(4 * k + 16)] + [("fill", m, s) for s, m in enumerate(slots)]
+    one = lambda t, law, j: F.struct(F.lit(t).alias("tag"), F.lit(law).alias("law"), F.lit(j).alias("j"))
+    batches = spark.range(0, steps, 1, max(spark.sparkContext.defaultParallelism, -(-steps // BATCHES_AT_ONCE)))
+    draws = batches.select(F.col("id").alias("batch_id"), F.explode(F.array(*[one(*x) for x in layout])).alias("x")).select("batch_id", "x.*")
+    named = _resolve(draws.withColumn("u", hash_uniform(seed, "tag", "batch_id", "j")), _intervals(laws, ["law"], slices), ["law"], slices)
+    listed = lambda t: F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.struct("j", "species")))).alias(t)
+    per = named.groupBy("batch_id").agg(*[listed(t) for t in (*orders, "fill")])
+    names = lambda t: F.transform(t, lambda x: x["species"])
+    drawn = keep_table(per.select("batch_id", *[F.slice(F.array_distinct(names(t)), 1, k).alias(t) for t, (_, k) in orders.items()], names("fill").alias("own")))
+    out = drawn
+    for t, (law, k) in orders.items():
+        short = drawn.where(F.size(t) < k)
+        if not short.isEmpty():
+            pool = laws.where(F.col("law") == law).select("species", "weight")
+            rest = _rest(short.select("batch_id", F.size(t).alias("_have")), short.select("batch_id", F.explode(t).alias("species")), pool, pool.count(), k, seed, t)
+            more = rest.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "species"))), lambda x: x["species"]).alias("_more"))
+            out = out.join(small_side(cut_lineage(more)), "batch_id", "left").withColumn(t, F.concat(t, F.coalesce("_more", F.array().cast("array<string>")))).drop("_more")
+    return out
 
 
 def fill_modalities(batch_size: int, pairs: int, target_macro: int) -> list[str]:
@@ -104,11 +142,12 @@ def fill_modalities(batch_size: int, pairs: int, target_macro: int) -> list[str]
     return out
 
 
-def _fold_fill(classes: int) -> Column:
+def _fold_fill(classes: int, pairs: int) -> Column:
     """Walk the fill slots of a batch: new entities while fewer than ``classes`` are present, then the slot's own draw.
 
     A fresh entity is the first of the modality's order without replacement that is not present yet. Fewer than
     ``classes`` are present then, so an order of ``classes`` entities holds one whenever the modality has one at all.
+    Each of the first slots then adds one, so the walk mostly ends after ``classes - pairs`` slots.
     """
     start = F.struct(F.col("used").alias("used"), F.array().cast("array<string>").alias("picks"))
 
@@ -118,29 +157,82 @@ def _fold_fill(classes: int) -> Column:
         choice = F.when(F.size(acc["used"]) < classes, F.coalesce(fresh, slot["species"])).otherwise(slot["species"])
         return F.struct(F.array_union(acc["used"], F.array(choice)).alias("used"), F.concat(acc["picks"], F.array(choice)).alias("picks"))
 
-    return F.aggregate("slots", start, step, lambda acc: acc["picks"])
+    first = max(0, classes - pairs)
+    own = F.transform(F.col("slots"), lambda x: x["species"])
+
+    def end(acc: Column) -> Column:
+        after = F.when(F.size("slots") > first, F.slice(own, first + 1, F.size("slots"))).otherwise(F.array().cast("array<string>"))
+        whole = F.aggregate("slots", start, step, lambda done: done["picks"])
+        return F.when(F.size(acc["used"]) >= classes, F.concat(acc["picks"], after)).otherwise(whole)
+
+    return F.aggregate(F.slice("slots", 1, first), start, step, end)
+
+
+def _blocks(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and ``_block``: the places ``_from`` to before ``_to`` that its items take in the key's hash order."""
+    counts = items.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    return cut_lineage(counts.withColumn("_to", F.sum("_n").over(upto)).withColumn("_from", F.col("_to") - F.col("_n")).drop("_n"))
+
+
+def _block(mark: Column, size: Column) -> Column:
+    """Block of a hash text in a key of ``size`` items: about POOL_BLOCK of them, and never against the hash order."""
+    return F.shiftright(hex_prefix(mark, 7).cast("bigint") * F.ceil(size / POOL_BLOCK), 28).cast("int")
 
 
-def _top_up(plan: DataFrame, samples: DataFrame, steps: int, want: dict[str, int], pools: dict[str, int], salt: int) -> DataFrame:
-    """Fill the slots that an item met twice has left empty: same modality first, then the other one.
+def _locate(wanted: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` with the block that holds its ``_pos``: an equi-join on stretches of places, then an interval test."""
+    stretch = lambda c: F.floor(c / POOL_BLOCK)
+    touched = blocks.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.col("_to") - 1))))
+    hits = wanted.withColumn("_stretch", stretch(F.col("_pos"))).hint("merge").join(small_side(touched), [*keys, "_stretch"])
+    hits = hits.where((F.col("_pos") >= F.col("_from")) & (F.col("_pos") < F.col("_to")))
+    return hits.withColumn("_at", (F.col("_pos") - F.col("_from")).cast("int")).drop("_stretch", "_from", "_to", "_pos")
+
+
+def _items_at(located: DataFrame, items: DataFrame, blocks: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``located`` rows with the ``fields`` of the item at ``_at`` in its block; items of other blocks are not moved.
+
+    Either side is shuffled once, by block: the items of a block become one ordered list, which its rows look into.
+    """
+    place = [*keys, "_block"]
+    inside = items.select(*place, "_mark", *fields).join(small_side(blocks.select(*place)), place, "left_semi")
+    lists = inside.repartition(*place).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("_mark", *fields))).alias("_items"))
+    found = located.hint("merge").join(lists, place).withColumn("_item", F.get("_items", F.col("_at")))
+    return found.select(*[c for c in located.columns if c not in (*fields, "_at", "_block")], *[F.col("_item")[f].alias(f) for f in fields])
+
+
+def _repeated(planned: DataFrame) -> DataFrame:
+    """(batch_id, slot) of items that stand in an earlier slot of their batch too.
+
+    Batch and id meet as one hash each, and whole rows are compared only where equal hashes were found.
+    """
+    marked = planned.withColumn("_both", F.xxhash64("batch_id", "id"))
+    twice = marked.select("_both").repartition("_both").groupBy("_both").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_both")
+    rows = marked.join(small_side(cut_lineage(twice)), "_both", "left_semi")
+    first = Window.partitionBy("batch_id", "id").orderBy("slot", "species", "modality")
+    return rows.withColumn("_r", F.row_number().over(first)).where("_r > 1").select("batch_id", "slot")
+
+
+def _top_up(plan: DataFrame, samples: DataFrame, steps: int, layout: list[str], pools: dict[str, int], salt: int) -> DataFrame:
+    """Fill the slots that an item met twice leaves empty: same modality first, then the other one.
 
     Every short batch walks its modality's shuffled items from a place of its own. A walk of twice the batch size passes
     at least a batch of items that are not in it yet, so a batch stays short only when no items are left at all.
+    ``plan`` is kept on shared storage and holds a slot at most once; ``layout`` is the modality of each slot.
     """
-    size = sum(want.values())
-    done = cut_lineage(plan)
-    have = done.groupBy("batch_id").agg(
-        *[F.count_if(F.col("modality") == m).alias(f"_n_{m}") for m in want], F.collect_list(F.col("slot").cast("int")).alias("_taken")
-    )
-    gaps = {f"_need_{m}": F.lit(n) - F.coalesce(f"_n_{m}", F.lit(0)) for m, n in want.items()}
-    free = F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), F.coalesce("_taken", F.array().cast("array<int>")))
-    every = done.sparkSession.range(steps).select(F.col("id").alias("batch_id")).join(have, "batch_id", "left")
-    short = every.select("batch_id", free.alias("_free"), *[c.alias(n) for n, c in gaps.items()]).where(F.size("_free") > 0)
-    if short.isEmpty():
+    size = len(layout)
+    lost = cut_lineage(_repeated(plan))
+    repeated = not lost.isEmpty()
+    done = plan.join(small_side(lost), ["batch_id", "slot"], "left_anti").select(*plan.columns) if repeated else plan
+    gaps = lost
+    if plan.count() < steps * size:
+        every = plan.sparkSession.range(steps).select(F.col("id").alias("batch_id"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
+        gaps = cut_lineage(every.hint("merge").join(done.select("batch_id", "slot"), ["batch_id", "slot"], "left_anti"))
+    elif not repeated:
         return done
-    shuffled = samples.select("id", "species", "modality").withColumn("_h", stable_hash(salt, F.lit("top_up"), "modality", "id"))
-    items = row_numbers(shuffled, ["modality"], ["_h", "id"], "_p", bucket=hex_prefix(F.col("_h"), 3))
-    items = items.select("id", "species", "modality", (F.col("_p") - 1).cast("bigint").alias("_pos"))
+    kind = F.get(F.array(*[F.lit(m) for m in layout]), F.col("slot"))
+    needs = [F.count_if(kind == m).alias(f"_need_{m}") for m in MODALITIES]
+    short = cut_lineage(gaps.groupBy("batch_id").agg(F.array_sort(F.collect_list("slot")).alias("_free"), *needs))
     walks = None
     for m, n in pools.items():
         if n:
@@ -150,9 +242,17 @@ def _top_up(plan: DataFrame, samples: DataFrame, steps: int, want: dict[str, int
             walks = walk if walks is None else walks.unionByName(walk)
     if walks is None:
         return done
-    new = walks.join(items, ["modality", "_pos"]).join(done.select("batch_id", "id"), ["batch_id", "id"], "left_anti")
+    mark = stable_hash(salt, F.lit("top_up"), "modality", "id")
+    total = F.when(F.col("modality") == "macro", pools["macro"]).otherwise(pools["micro"])
+    items = samples.where(F.col("modality").isin(*MODALITIES)).withColumns({"_mark": F.unhex(mark), "_block": _block(mark, total)})
+    blocks = _blocks(items, ["modality"])
+    located = _locate(walks, blocks, ["modality"])
+    met = cut_lineage(located.select("modality", "_block").distinct())
+    new = _items_at(located, items, met, ["modality"], ["id", "species"])
+    held = done.select("batch_id", "id").join(small_side(short.select("batch_id")), "batch_id", "left_semi")
+    new = new.join(held, ["batch_id", "id"], "left_anti")
     new = top_rows(new, ["batch_id", "modality"], ["_step"], size, "_r")
-    found = new.groupBy("batch_id").agg(*[F.count_if(F.col("modality") == m).alias(f"_found_{m}") for m in want])
+    found = new.groupBy("batch_id").agg(*[F.count_if(F.col("modality") == m).alias(f"_found_{m}") for m in MODALITIES])
     other = {"macro": "micro", "micro": "macro"}
     take = {m: F.least(F.col(f"_found_{m}"), F.col(f"_need_{m}") + F.greatest(F.lit(0), F.col(f"_need_{o}") - F.col(f"_found_{o}"))) for m, o in other.items()}
     ready = new.join(short.join(found, "batch_id").withColumns({f"_take_{m}": c for m, c in take.items()}), "batch_id")
@@ -185,11 +285,11 @@ def plan_batches(
         raise ValueError("batch_size must be positive")
     if not 0.0 <= macro_fraction <= 1.0:
         raise ValueError("macro_fraction must be between 0 and 1")
-    spark = samples.sparkSession
+    samples = keep_table(samples.select("id", "species", "modality"))
     entities = cut_lineage(entity_weights(samples, power))
     paired = entities.where((F.col("macro") > 0) & (F.col("micro") > 0))
-    sums = entities.agg(F.sum("macro"), F.sum("micro"), F.count(F.lit(1))).first()
-    n_macro, n_micro, n_entities = (int(v or 0) for v in sums)
+    sums = entities.agg(F.sum("macro"), F.sum("micro"), F.count(F.lit(1)), *[F.count_if(F.col(m) > 0) for m in MODALITIES]).first()
+    n_macro, n_micro, n_entities, *held = (int(v or 0) for v in sums)
     total = n_macro + n_micro
     steps = total // batch_size if drop_last else -(-total // batch_size)
     n_paired = paired.count()
@@ -199,51 +299,43 @@ def plan_batches(
     k = max(min(n_paired, wanted), min(min_pairs, n_paired, half))
     fraction = macro_fraction if n_macro and n_micro else 1.0 if n_macro else 0.0
     slots = fill_modalities(batch_size, k, round(batch_size * fraction))
-    batches = spark.range(steps).select(F.col("id").alias("batch_id"))
     salt = seed + epoch
-    duo = pick_entities(batches, paired, k, salt, "pair")
-    sides = F.array(*[F.struct(F.lit(m).alias("modality"), F.lit(i).alias("i")) for i, m in enumerate(MODALITIES)])
-    paired_rows = duo.select("batch_id", "species", F.explode(sides).alias("x"), "place")
-    paired_rows = paired_rows.select("batch_id", "species", "x.modality", (2 * (F.col("place") - 1) + F.col("x.i")).cast("int").alias("slot"))
-    picks = paired_rows
-    if slots:
-        flags = F.array(*[F.when(F.col(m) > 0, F.lit(m)) for m in MODALITIES])
-        by_modality = entities.select("species", "weight", F.explode(flags).alias("modality")).where(F.col("modality").isNotNull())
-        slices = _slices(n_entities)
-        intervals = _intervals(by_modality, ["modality"], slices)
-        layout = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(m).alias("modality")) for i, m in enumerate(slots)])
-        draws = batches.select("batch_id", F.explode(layout).alias("x")).select("batch_id", "x.s", "x.modality")
-        named = _resolve(draws.withColumn("u", hash_uniform(salt, F.lit("fill"), "batch_id", "s")), intervals, ["modality"], slices)
-        per_batch = named.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("s", "modality", "species"))).alias("slots"))
-        used = duo.groupBy("batch_id").agg(F.collect_set("species").alias("used"))
-        ready = per_batch.join(used, "batch_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
-        for m in MODALITIES:
-            if k < classes and m in slots:
-                order = pick_entities(batches, by_modality.where(F.col("modality") == m), classes, salt, f"fresh_{m}")
-                names = F.transform(F.array_sort(F.collect_list(F.struct("place", "species"))), lambda x: x["species"])
-                ready = ready.join(order.groupBy("batch_id").agg(names.alias(f"fresh_{m}")), "batch_id", "left")
-            else:
-                ready = ready.withColumn(f"fresh_{m}", F.array().cast("array<string>"))
-        filled = ready.select("batch_id", F.posexplode(_fold_fill(classes)).alias("s", "species"))
-        modality = F.element_at(F.array(*[F.lit(m) for m in slots]), F.col("s") + 1)
-        picks = paired_rows.unionByName(filled.select("batch_id", "species", modality.alias("modality"), (F.col("s") + 2 * k).cast("int").alias("slot")))
-    picks = cut_lineage(picks)  # the walk over the fill slots is read by the ranks and by their offsets
+    laws = paired.select(F.lit("pair").alias("law"), "species", "weight")
+    for m in MODALITIES:
+        laws = laws.unionByName(entities.where(F.col(m) > 0).select(F.lit(m).alias("law"), "species", "weight"))
+    orders = {"pair": ("pair", k)} if k else {}
+    orders |= {f"fresh_{m}": (m, min(classes, n)) for m, n in zip(MODALITIES, held) if n and k < classes and m in slots}
+    drawn = _draw_batches(steps, laws, orders, slots, salt)
+    none = F.array().cast("array<string>")
+    ready = drawn.withColumns({t: none for t in ("pair", "fresh_macro", "fresh_micro") if t not in orders}).withColumn("used", F.col("pair"))
+    kinds = F.array(*[F.lit(m) for m in slots]) if slots else none
+    ready = ready.withColumn("slots", F.transform("own", lambda x, i: F.struct(F.get(kinds, i).alias("modality"), x.alias("species"))))
+    both = F.flatten(F.transform("pair", lambda x: F.array(x, x)))
+    named = keep_table(ready.select("batch_id", F.concat(both, _fold_fill(classes, k)).alias("names")))
+    layout = [*MODALITIES] * k + slots
+    picks = named.select("batch_id", F.posexplode("names").alias("slot", "species"))
+    picks = picks.withColumn("modality", F.get(F.array(*[F.lit(m) for m in layout]), F.col("slot")))
+    pool_key = ["species", "modality"]
+    drawn_from = picks.groupBy(*pool_key).agg(F.count(F.lit(1)).alias("_draws"))
+    pools = samples.groupBy(*pool_key).agg(F.count(F.lit(1)).alias("_size")).join(drawn_from, pool_key)
+    pools = cut_lineage(dense_index(pools, pool_key, "_pool").withColumn("_pool", F.col("_pool").cast("int")))
     stride = max(1, -(-steps // spread(samples)))
-    numbered = row_numbers(picks, ["species", "modality"], ["batch_id", "slot"], "_draw", bucket=F.floor(F.col("batch_id") / stride).cast("int"))
-    sizes = samples.groupBy("species", "modality").agg(F.count(F.lit(1)).alias("_size"))
-    placed = numbered.join(sizes, ["species", "modality"]).withColumn("_draw", F.col("_draw") - 1)
-    placed = placed.withColumns({"_cycle": F.floor(F.col("_draw") / F.col("_size")), "_pos": F.pmod("_draw", "_size")})
-    cycles = placed.groupBy("species", "modality").agg(F.max("_cycle").alias("_last"))
-    pool = samples.select("id", "species", "modality").join(cycles, ["species", "modality"])
-    pool = pool.withColumn("_cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))).drop("_last")
-    pool = pool.withColumn("_h", stable_hash(salt, "species", "modality", "_cycle", "id"))
-    shuffled = row_numbers(pool, ["species", "modality", "_cycle"], ["_h", "id"], "_p", bucket=hex_prefix(F.col("_h"), 2))
-    shuffled = shuffled.select("id", "species", "modality", "_cycle", (F.col("_p") - 1).alias("_pos"))
-    planned = placed.join(shuffled, ["species", "modality", "_cycle", "_pos"])
-    once = planned.groupBy("batch_id", "id").agg(F.min(F.struct("slot", "species", "modality")).alias("r"))
-    plan = once.select("batch_id", "r.slot", "id", "r.species", "r.modality")
-    want = {m: k + slots.count(m) for m in MODALITIES}
-    plan = _top_up(plan, samples, steps, want, {"macro": n_macro, "micro": n_micro}, salt)
+    coded = picks.hint("merge").join(small_side(pools.select(*pool_key, "_pool", "_size")), pool_key).select("batch_id", "slot", "_pool", "_size")
+    numbered = row_numbers(coded, ["_pool"], ["batch_id", "slot"], "_draw", bucket=F.floor(F.col("batch_id") / stride).cast("int"))
+    draw = F.col("_draw") - 1
+    placed = numbered.select("batch_id", "slot", "_pool", F.floor(draw / F.col("_size")).alias("_cycle"), F.pmod(draw, F.col("_size")).alias("_pos"))
+    # Items once for every round of their pool; the last round only as far as it is drawn from.
+    rounds = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_draws") - 1) / F.col("_size")))
+    items = samples.join(small_side(pools), pool_key).withColumn("_cycle", F.explode(rounds))
+    mark = stable_hash(salt, *pool_key, "_cycle", "id")
+    items = items.withColumns({"_mark": F.unhex(mark), "_block": _block(mark, F.col("_size"))})
+    keys = ["_pool", "_cycle"]
+    blocks = _blocks(items, keys).join(small_side(pools.select("_pool", "_size", "_draws")), "_pool")
+    blocks = cut_lineage(blocks.where(F.col("_from") < F.col("_draws") - F.col("_cycle") * F.col("_size")).drop("_size", "_draws"))
+    planned = _items_at(_locate(placed, blocks, keys), items, blocks, keys, ["id"])
+    planned = planned.join(small_side(pools.select("_pool", *pool_key)), "_pool")
+    plan = keep_table(planned.select("batch_id", "slot", "id", *pool_key))
+    plan = _top_up(plan, samples, steps, layout, {"macro": n_macro, "micro": n_micro}, salt)
     if drop_last:
         whole = plan.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == batch_size)
         plan = plan.join(whole.select("batch_id"), "batch_id", "left_semi")

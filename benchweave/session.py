@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_SIDE_ROWS = 200_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(app: str = "benchweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -53,11 +54,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def keep_table(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder as Parquet: compressed, and each reader takes only its columns.
 
-    For wide tables that several outputs read; a checkpoint would hold all their rows uncompressed.
+    For wide tables that several outputs read; a checkpoint would hold all their rows uncompressed. The shuffle files of
+    the write are removed as soon as it has finished.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kept/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:

@@ -1,5 +1,7 @@
 """Batch plans on thin pools, uneven weights and small populations."""
 
+import hashlib
+import os
 from collections import Counter, defaultdict
 
 import pytest
@@ -73,3 +75,44 @@ def test_draws_are_never_the_broadcast_side(spark):
     plan = batches._resolve(draws, intervals, ["_all"], 64)._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert len(joins) == 1 and "BuildRight" in joins[0]
+
+
+def catalogue_items(spark, n):
+    """Items of 25 species, three in four of them macro; ids as long as those of the registered query."""
+    name = F.concat_ws("-", F.col("id"), F.col("id") % 7, F.col("id") * 31 % 20_011, F.lit("1996-09-13"))
+    kind = F.when(F.col("id") % 4 == 0, "micro").otherwise("macro")
+    return spark.range(n).select(name.alias("id"), F.concat(F.lit("Species s"), F.col("id") % 25).alias("species"), kind.alias("modality"))
+
+
+def test_items_follow_the_hash_order_of_their_pool(spark, monkeypatch):
+    """Blocks of few items give each pool's items in hash order, round after round."""
+    samples = catalogue_items(spark, 3000)
+    whole = sorted(map(tuple, batches.plan_batches(samples, 16, seed=3).collect()))
+    monkeypatch.setattr(batches, "POOL_BLOCK", 7)
+    plan = sorted(map(tuple, batches.plan_batches(samples, 16, seed=3).collect()))
+    assert plan == whole and len(plan) == 3008
+    mark = lambda s, m, c, i: hashlib.sha256(f"3|{s}|{m}|{c}|{i}".encode()).hexdigest()[:16]
+    pools, drawn = defaultdict(list), defaultdict(list)
+    for r in samples.collect():
+        pools[r["species"], r["modality"]].append(r["id"])
+    for _, _, _, i, s, m in plan:
+        drawn[s, m].append(i)
+    rounds = 0
+    for (s, m), got in drawn.items():
+        n = len(pools[s, m])
+        rounds = max(rounds, -(-len(got) // n))
+        order = [i for c in range(-(-len(got) // n)) for i in sorted(pools[s, m], key=lambda i: mark(s, m, c, i))]
+        assert got == order[: len(got)]
+    assert rounds > 1
+
+
+def test_plan_keeps_little_on_shared_storage(spark):
+    """Items, picks and rows are kept compressed; picks and the whole plan were checkpointed row by row."""
+    from benchweave.session import ensure_checkpoint_dir
+
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top) for f in names)
+    samples, before = catalogue_items(spark, 60_000), size()
+    plan = batches.plan_batches(samples, 128, classes=24, pairs=12)
+    assert size() - before < 40 * 60_000
+    assert plan.count() == 469 * 128 and "ExistingRDD" not in plan._jdf.queryExecution().executedPlan().toString()
