@@ -45,7 +45,7 @@ def _intervals(entities: DataFrame, keys: list[str], slices: int) -> DataFrame:
     joined = summed.join(totals, keys)
     low, high = (F.col("_hi") - F.col("_units")) / F.col("_sum"), F.col("_hi") / F.col("_sum")
     marked = joined.select(*keys, "species", low.alias("_lo"), high.alias("_up"))
-    first, last = F.floor(F.col("_lo") * slices), F.least(F.floor(F.col("_up") * slices), F.lit(slices - 1))
+    first, last = F.floor(F.col("_lo") * slices).cast("int"), F.least(F.floor(F.col("_up") * slices), F.lit(slices - 1)).cast("int")
     return marked.withColumn("_slice", F.explode(F.sequence(F.least(first, last), last)))
 
 
@@ -53,9 +53,10 @@ def _resolve(draws: DataFrame, intervals: DataFrame, keys: list[str], slices: in
     """The entity each uniform ``u`` falls on: an equi-join on the slice, then an interval test.
 
     Draws come from ``explode``, whose rows the planner does not count, so they must never be taken for the small side:
-    counted intervals are broadcast, and with too many of them both sides are shuffled.
+    counted intervals are broadcast, and with too many of them both sides are shuffled. ``u`` is never null; unless the
+    planner knows, it tests that before the join by hashing every draw twice more.
     """
-    cut = draws.withColumn("_slice", F.least(F.floor(F.col("u") * slices), F.lit(slices - 1)))
+    cut = draws.withColumn("u", F.coalesce("u", F.lit(0.0))).withColumn("_slice", F.least(F.floor(F.col("u") * slices), F.lit(slices - 1)).cast("int"))
     hits = cut.hint("merge").join(small_side(cut_lineage(intervals)), [*keys, "_slice"]).where((F.col("u") >= F.col("_lo")) & (F.col("u") < F.col("_up")))
     return hits.drop("_slice", "_lo", "_up")
 
@@ -107,10 +108,11 @@ def _draw_batches(steps: int, entities: DataFrame, orders: dict[str, tuple[str,
     is shuffled, and only the arrays are kept.
     """
     spark = entities.sparkSession
-    laws = cut_lineage(entities)
+    codes = {law: i for i, law in enumerate(("pair", *MODALITIES))}  # two whole numbers make a join key of one long
+    laws = cut_lineage(entities.withColumn("law", F.array_position(F.array(*[F.lit(law) for law in codes]), F.col("law")).cast("int") - 1))
     slices = _slices(laws.count())
     layout = [(t, law, j) for t, (law, k) in orders.items() for j in range(4 * k + 16)] + [("fill", m, s) for s, m in enumerate(slots)]
-    one = lambda t, law, j: F.struct(F.lit(t).alias("tag"), F.lit(law).alias("law"), F.lit(j).alias("j"))
+    one = lambda t, law, j: F.struct(F.lit(t).alias("tag"), F.lit(codes[law]).alias("law"), F.lit(j).alias("j"))
     batches = spark.range(0, steps, 1, max(spark.sparkContext.defaultParallelism, -(-steps // BATCHES_AT_ONCE)))
     draws = batches.select(F.col("id").alias("batch_id"), F.explode(F.array(*[one(*x) for x in layout])).alias("x")).select("batch_id", "x.*")
     named = _resolve(draws.withColumn("u", hash_uniform(seed, "tag", "batch_id", "j")), _intervals(laws, ["law"], slices), ["law"], slices)
@@ -122,7 +124,7 @@ def _draw_batches(steps: int, entities: DataFrame, orders: dict[str, tuple[str,
     for t, (law, k) in orders.items():
         short = drawn.where(F.size(t) < k)
         if not short.isEmpty():
-            pool = laws.where(F.col("law") == law).select("species", "weight")
+            pool = laws.where(F.col("law") == codes[law]).select("species", "weight")
             rest = _rest(short.select("batch_id", F.size(t).alias("_have")), short.select("batch_id", F.explode(t).alias("species")), pool, pool.count(), k, seed, t)
             more = rest.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "species"))), lambda x: x["species"]).alias("_more"))
             out = out.join(small_side(cut_lineage(more)), "batch_id", "left").withColumn(t, F.concat(t, F.coalesce("_more", F.array().cast("array<string>")))).drop("_more")
@@ -153,7 +155,7 @@ def _fold_fill(classes: int, pairs: int) -> Column:
 
     def step(acc: Column, slot: Column) -> Column:
         order = F.when(slot["modality"] == "macro", F.col("fresh_macro")).otherwise(F.col("fresh_micro"))
-        fresh = F.get(F.filter(order, lambda n: ~F.array_contains(acc["used"], n)), F.lit(0))
+        fresh = F.get(F.array_except(order, acc["used"]), F.lit(0))
         choice = F.when(F.size(acc["used"]) < classes, F.coalesce(fresh, slot["species"])).otherwise(slot["species"])
         return F.struct(F.array_union(acc["used"], F.array(choice)).alias("used"), F.concat(acc["picks"], F.array(choice)).alias("picks"))
 
@@ -177,7 +179,8 @@ def _blocks(items: DataFrame, keys: list[str]) -> DataFrame:
 
 def _block(mark: Column, size: Column) -> Column:
     """Block of a hash text in a key of ``size`` items: about POOL_BLOCK of them, and never against the hash order."""
-    return F.shiftright(hex_prefix(mark, 7).cast("bigint") * F.ceil(size / POOL_BLOCK), 28).cast("int")
+    number = F.shiftright(hex_prefix(mark, 7).cast("bigint") * F.ceil(size / POOL_BLOCK), 28).cast("int")
+    return F.coalesce(number, F.lit(0))  # never null, see ``_resolve``
 
 
 def _locate(wanted: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
